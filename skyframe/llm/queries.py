@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("bpe", "minhash_dedup", "quality_rules", "token_counts", "quality_classifier")
+MODULES = ("lm_scoring", "bpe", "minhash_dedup", "quality_rules", "token_counts", "quality_classifier")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
