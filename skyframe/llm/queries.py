@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lm_scoring", "bpe", "minhash_dedup", "mixing", "sharding", "quality_rules", "token_counts", "quality_classifier")
+MODULES = ("lm_scoring", "topk_search", "bpe", "minhash_dedup", "mixing", "sharding", "quality_rules", "token_counts", "quality_classifier")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
