@@ -50,20 +50,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """64-bit hashes of the distinct shingles of a text."""
 
     def __init__(self, words: int):
         self.k = words
-        self.cache: dict[bytes, int] = {}
+        self.cache = _WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode().lower().split() if text else []
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        for w in set(words) - cache.keys():
-            cache[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
         if not len(h):
             return h
