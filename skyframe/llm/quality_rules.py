@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let, split_words
+from .common import documents, let, split_words, stage_table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -83,12 +83,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return staged.select(*docs.columns, F.struct(*(c.alias(k) for k, c in values.items())).alias("m"))
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document: its columns (but for any of these names), measurements ``m`` and failure bits ``fail_bits`` (long)."""
+def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The stored ledger: one row per document with its columns (or those in ``keep``), measurements ``m`` and failure
+    bits ``fail_bits`` (long). Policies filter the stored bits and never reach the rules again."""
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measure(docs, text).withColumn("fail_bits", bits)
+    rows = measure(docs, text).withColumn("fail_bits", bits)
+    return stage_table(rows if keep is None else rows.select(*keep, "m", "fail_bits"), "ledger")
 
 
 def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:
@@ -113,7 +115,7 @@ def ablations(rows: DataFrame, version: str = "v1") -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(documents(spark, sf_dir).select("doc_id", "text")))
+    rows = apply_policy(ledger(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"]))
     base_bits = F.lit(mask(BASE)).cast("long")
     return rows.select(
         "doc_id",
