@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 from pathlib import Path
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,8 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 GAPS = regex.compile(rf"[{SPACE}]+")
 #: Characters at which str.split() parts and the tokenizer doesn't.
 ODD_GAPS = "\x1c\x1d\x1e\x1f"
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
+BLOCK_ROWS = 256
 
 
 def byte_characters() -> list[str]:
@@ -50,6 +51,21 @@ def byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+class _Cache(dict):
+    """Results of a function by its argument; forgets all when it holds too many."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+
+
 class WordBpe:
     """Tables of a byte-level BPE vocabulary with word ends, built from the JSON text of a tokenizer file."""
 
@@ -77,7 +93,8 @@ class WordBpe:
         self.byte_char = byte_characters()
         self.compatible: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.pieces = _Cache(self._piece)
+        self.chunks = _Cache(self._chunk)
 
     @staticmethod
     def _closed(token: str) -> str:
@@ -149,36 +166,31 @@ class WordBpe:
                 token = longest[at]
         return out
 
-    def _chunk(self, chunk: str) -> list[int]:
-        found = self.cache.get(chunk)
-        if found is None:
-            lower = chunk.replace("Σ", "σ").lower()  # case by character: no final sigma
-            found = [i for piece in PIECES.findall(lower) for i in self.encode_piece(piece)]
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[chunk] = found
-        return found
-
-    def _plain(self, text: str, out: list[int]) -> None:
+    def _piece(self, piece: str) -> bytes:
+        return np.array(self.encode_piece(piece), np.int32).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        lower = chunk.replace("Σ", "σ").lower()  # case by character: no final sigma
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(lower)))
+
+    def _plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        chunks = GAPS.split(text) if any(c in text for c in ODD_GAPS) else text.split()
-        cache, one = self.cache, self._chunk
-        for c in chunks:
-            out += cache.get(c) or one(c)
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        at = 0
+        split = GAPS.split(text) if any(c in text for c in ODD_GAPS) else text.split()
+        self.chunks.trim()
+        self.pieces.trim()
+        return b"".join(map(self.chunks.__getitem__, split))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a whole text."""
+        parts: list[bytes] = []
+        text, at = text or "", 0
         if "<|" in text:
             for m in self.special_pattern.finditer(text):
-                self._plain(text[at : m.start()], out)
-                out.append(self.special[m.group()])
+                parts += self._plain(text[at : m.start()]), np.int32(self.special[m.group()]).tobytes()
                 at = m.end()
-        self._plain(text[at:], out)
-        return out
+        parts.append(self._plain(text[at:]))
+        return np.frombuffer(b"".join(parts), np.int32)
 
     @cached_property
     def offsets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +223,11 @@ def _share(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: lists of ids take much more memory than the texts that Arrow batches."""
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK_ROWS):
+            yield b.slice(at, BLOCK_ROWS)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -220,26 +235,33 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     shared = _share(docs.sparkSession, path)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*(f for f in rows.schema if f.name != "__text"), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(shared)
-        for b in batches:
-            yield b[keep].assign(ids=[np.array(bpe.encode(t), np.int32) for t in b["__text"]])
+        for b in _blocks(batches):
+            lists = [bpe.encode(t) for t in b.column(len(keep)).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *lists])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*keep, "ids"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``, the text of the tokens in ``ids``; a null list decodes to an empty text."""
     shared = _share(df.sparkSession, path)
+    df = df.drop("decoded")
+    names, at = df.columns, df.columns.index(ids)
+    schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(shared)
-        for b in batches:
-            yield b.assign(decoded=[bpe.decode(np.asarray(x, np.int64)) if x is not None else "" for x in b[ids]])
+        for b in _blocks(batches):
+            texts = [bpe.decode(x.values.to_numpy().astype(np.int64)) if x.is_valid else "" for x in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return df.mapInPandas(run, _schema(df, "decoded", T.StringType()))
+    return df.mapInArrow(run, schema)
 
 
 def vocabulary_path() -> str:
