@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash, links confirmed on full shingle sets.
 
 1. One pass over the texts gives for each document the number of distinct shingles, a 128-bit hash of the set, the
-   keys of ``BANDS`` bands of ``ROWS`` minima, and a signature that keeps two hashed bits of each of 256 minima.
+   keys of ``BANDS`` bands of ``ROWS`` minima, and a signature that keeps two hashed bits of each of 256 of the minima.
 2. Documents with the same set form a class; from here on one row stands for a class, so copies cost nothing.
 3. Classes that share a band meet in a bucket. Each member is paired with one pivot; pairs whose collision-corrected
    similarity, estimated from the bits that agree, may reach the threshold are confirmed on the full sets, and
@@ -11,7 +11,7 @@
    and there is no cap on bucket sizes.
 4. A document's component is the smallest id it can reach.
 
-A pair at the threshold of 0.8 shares no band with probability (1 - 0.8**5)**50, about 2e-9, and falls below the
+A pair at the threshold of 0.8 shares no band with probability (1 - 0.8**7)**72, about 4e-8, and falls below the
 estimate's margin of six standard deviations about as seldom.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; fewer words than a shingle count
@@ -33,14 +33,18 @@ from pyspark.sql.window import Window
 
 from .common import documents, stage_table
 
-BANDS, ROWS, HASHES, LONGS = 50, 5, 256, 8
-#: Pivots that a bucket adds in each later round.
-PIVOTS = 64
+BANDS, ROWS, HASHES = 72, 7, 512
+#: Minima that the signature keeps two bits of, in so many longs.
+KEPT, LONGS = 256, 8
+#: Pairs that a bucket looks at in each later round, about, and its fewest and most pivots then.
+ROUND_PAIRS, LEAST_PIVOTS, MOST_PIVOTS = 1 << 17, 64, 2048
+#: Documents sketched at once inside a task.
+BLOCK_ROWS = 2048
 CACHE_WORDS = 1 << 19
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32)
-_C = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_C = _RANDOM.integers(0, 2**63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -110,11 +114,11 @@ def sketch(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         place = np.uint64(2) * np.arange(32, dtype=np.uint64)
-        for b in batches:
+        for b in (whole.slice(at, BLOCK_ROWS) for whole in batches for at in range(0, whole.num_rows, BLOCK_ROWS)):
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             full = [k for k, s in enumerate(sets) if len(s)]
             minima = _minima([sets[k] for k in full])
-            two = ((minima * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64).reshape(-1, LONGS, 32)
+            two = ((minima[:, :KEPT] * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64).reshape(-1, LONGS, 32)
             bits = np.bitwise_or.reduce(two << place, axis=2)
             parts = minima[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
             keys = _mix((_mix(parts + np.uint64(1)) * _C[:ROWS]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
@@ -162,13 +166,13 @@ def agreeing(a: Column, b: Column) -> Column:
         x = F.get(a, k).bitwiseXOR(F.get(b, k))
         differ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
         each.append(F.bit_count(differ))
-    return F.lit(HASHES) - reduce(lambda p, q: p + q, each)
+    return F.lit(KEPT) - reduce(lambda p, q: p + q, each)
 
 
 def least_agreeing(percent: int) -> int:
     """Places that agree at the threshold, less six standard deviations; unequal minima agree in 1 of 4 places."""
     p = 0.25 + 0.75 * percent / 100
-    return int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5)
+    return int(KEPT * p - 6 * (KEPT * p * (1 - p)) ** 0.5)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,8 +243,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
         placed = live.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
         if main is None:  # the bucket's main component is that of this node from now on
             sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("c"), F.min("node").alias("least"))
-            many = sizes.groupBy("band").agg(F.max_by("least", "c").alias("anchor"), F.count("*").alias("comps")).filter("comps > 1")
-            main = stage_table(many.select("band", "anchor", F.lit(-(2**63)).cast("long").alias("last")), "main")
+            many = sizes.groupBy("band").agg(F.max_by("least", "c").alias("anchor"), F.sum("c").alias("members"), F.count("*").alias("comps"))
+            quota = F.greatest(F.lit(LEAST_PIVOTS), F.floor(F.lit(ROUND_PAIRS) / F.col("members"))).cast("int")
+            main = stage_table(many.filter("comps > 1").select("band", "anchor", quota.alias("quota"), F.lit(-(2**63)).cast("long").alias("last")), "main")
             live = stage_table(live.join(main, "band", "left_semi"), "live")
             placed = live.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
         placed = stage_table(placed, "placed")
@@ -248,7 +253,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
         of_main = anchored.filter("node = anchor").select("band", F.col("comp").alias("main_comp"))
         rest = anchored.join(of_main, "band").filter("comp <> main_comp AND node > last")
         rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        pivots = stage_table(rest.withColumn("r", rank).filter(F.col("r") <= PIVOTS).select("band", F.col("node").alias("p"), F.col("comp").alias("p_comp")), "pivots")
+        pivots = stage_table(rest.withColumn("r", rank).filter((F.col("r") <= MOST_PIVOTS) & (F.col("r") <= F.col("quota"))).select("band", F.col("node").alias("p"), F.col("comp").alias("p_comp")), "pivots")
         if pivots.isEmpty():
             break
         met = placed.join(pivots, "band").filter("comp <> p_comp")
@@ -261,7 +266,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
                 links = links.union(found)
                 labels = components(links)
         done = pivots.groupBy("band").agg(F.max("p").alias("to"))
-        main = stage_table(main.join(done, "band").select("band", "anchor", F.col("to").alias("last")), "main")
+        main = stage_table(main.join(done, "band").select("band", "anchor", "quota", F.col("to").alias("last")), "main")
         live = live.join(main, "band", "left_semi")
 
     placed = classes.select("node", "key").join(labels, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
