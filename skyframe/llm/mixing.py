@@ -56,7 +56,7 @@ def targets(sizes: list[int], share: float = SHARE, most: float = MOST, weights:
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take so that their sizes add up to nearly ``budget``.
 
-    First the same part of every count, rounded down, then a few of the largest that still fit; the rest of the
+    First the same part of every count, rounded down and one less, then a few of the largest that still fit; the rest of the
     budget, now about the largest size, goes to a bounded knapsack over the counts that are left.
     """
     total = int((sizes * counts).sum())
@@ -65,7 +65,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return taken
     if budget >= total:
         return counts.copy()
-    taken = np.floor(counts * (budget / total)).astype(np.int64)
+    taken = np.maximum(np.floor(counts * (budget / total)).astype(np.int64) - 1, 0)
     rest = budget - int((sizes * taken).sum())
     reserve = int(2 * sizes[-1])
     for k in np.argsort(-sizes, kind="stable"):
