@@ -236,15 +236,20 @@ def register_score(fields: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a + b, each)
 
 
-def comm_b(mb: Column) -> Column:
+def register_scores(mb: Column) -> Column:
+    """Scores of the registers 4,0, 5,0 and 6,0, in this order."""
+    return F.array(register_score(bds40(mb)), register_score(bds50(mb)), register_score(bds60(mb)))
+
+
+def comm_b(mb: Column, scores: Column) -> Column:
     """Struct (register, bds40, bds50, bds60) of a 56-bit Comm-B field; null unless one register leads by 4."""
+    ordered = F.array_sort(scores)
+    best, lead = F.get(ordered, F.lit(2)), F.get(ordered, F.lit(2)) - F.get(ordered, F.lit(1))
+    first = F.array_position(scores, best)
     registers = {"bds40": bds40(mb), "bds50": bds50(mb), "bds60": bds60(mb)}
-    scores = {k: register_score(f) for k, f in registers.items()}
-    ordered = F.array_sort(F.array(*scores.values()))
-    best, second = F.get(ordered, F.lit(2)), F.get(ordered, F.lit(1))
-    name = reduce(lambda rest, k: F.when(scores[k] == best, k).otherwise(rest), ("bds50", "bds40"), F.lit("bds60"))
-    parts = [F.when(name == k, F.struct(*(c.alias(n) for n, c in f.items()))).alias(k) for k, f in registers.items()]
-    return F.when((best > 0) & (best - second >= 4), F.struct(name.alias("register"), *parts))
+    parts = [F.when(first == k + 1, F.struct(*(c.alias(n) for n, c in f.items()))).alias(name) for k, (name, f) in enumerate(registers.items())]
+    name = F.element_at(F.array(*(F.lit(k) for k in registers)), first.cast("int"))
+    return F.when((best > 0) & (lead >= 4), F.struct(name.alias("register"), *parts))
 
 
 def decode_messages(frames: DataFrame) -> DataFrame:
@@ -259,7 +264,7 @@ def decode_messages(frames: DataFrame) -> DataFrame:
     code = number(F.substring("hex", 5, 4)).bitwiseAND(F.lit(0x1FFF))
     is_ = lambda k: F.col("msg_type") == k
     rows = rows.withColumn("msg_type", kind).filter("crc_ok AND msg_type IS NOT NULL")
-    v = velocity(m)
+    rows = rows.withColumn("__scores", F.when(df.isin(20, 21), register_scores(m)))
     return rows.withColumns({
         "callsign": F.when(is_("identification"), callsign(m)),
         "category": F.when(is_("identification"), bits(m, 6, 3).cast("int")),
@@ -268,7 +273,7 @@ def decode_messages(frames: DataFrame) -> DataFrame:
         "cpr_odd": F.when(is_("position"), bits(m, 22, 1) == 1),
         "cpr_lat": F.when(is_("position"), bits(m, 23, 17)),
         "cpr_lon": F.when(is_("position"), bits(m, 40, 17)),
-        "velocity": F.when(is_("velocity"), v),
+        "velocity": F.when(is_("velocity"), velocity(m)),
         "squawk": F.when(is_("squawk"), squawk_13(code)),
-        "comm_b": F.when(df.isin(20, 21), comm_b(m)),
-    }).drop("me")
+        "comm_b": F.when(df.isin(20, 21), comm_b(m, F.col("__scores"))),
+    }).drop("me", "__scores")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import base
 
-for _name in ("positions", "aggregates", "detectors"):
+for _name in ("positions", "aggregates", "detectors", "frames", "tables"):
     importlib.import_module(f"{__package__}.{_name}")
 
 
