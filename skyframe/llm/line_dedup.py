@@ -40,7 +40,7 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _fingerprints(hashed: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, g)."""
+    """(doc_id, th, g): the fingerprint at each line's place, null where the line has none."""
     h, w = F.col("h"), F.col("w")
     gram = F.transform(
         "h",
@@ -54,40 +54,52 @@ def _fingerprints(hashed: DataFrame) -> DataFrame:
             (F.get(w, i) >= LONG) | (F.coalesce(F.get(g, i + 1), x + 1) > x) | (F.coalesce(F.get(g, i - 1), x) >= x), x
         ),
     )
-    return grams.select("doc_id", "th", F.posexplode(chosen).alias("pos", "g")).filter("g IS NOT NULL")
-
-
-def _runs(h: Column, w: Column, h0: Column, shift: Column) -> Column:
-    """Places k of h in runs where h[k] = h0[k - shift] that hold enough words."""
-    start = F.struct(F.lit(0).alias("from"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("out"))
-
-    def close(s: Column, k: Column) -> Column:
-        return F.when(s["words"] >= MIN_WORDS, F.concat(s["out"], F.sequence(s["from"], k - 1))).otherwise(s["out"])
-
-    def step(s: Column, x: Column) -> Column:
-        same = F.coalesce(x["h"] == F.get(h0, x["k"] - shift), F.lit(False))
-        more = F.struct(s["from"].alias("from"), (s["words"] + x["w"]).alias("words"), s["out"].alias("out"))
-        end = F.struct((x["k"] + 1).alias("from"), F.lit(0).alias("words"), close(s, x["k"]).alias("out"))
-        return F.when(same, more).otherwise(end)
-
-    places = F.transform(h, lambda x, k: F.struct(x.alias("h"), k.alias("k"), F.get(w, k).alias("w")))
-    return F.aggregate(places, start, step, lambda s: close(s, F.size(h)))
+    return grams.select("doc_id", "th", chosen.alias("g"))
+
+
+def _pairs(hashed: DataFrame) -> DataFrame:
+    """(doc_id, th, doc_id0, th0, shift): where a document may repeat an earlier one, or itself.
+
+    Of a fingerprint that a document holds several times, the first is joined with its first occurrence anywhere; each
+    later one is matched with the one before it, so a text of one repeated line has one shift, not one for each line.
+    """
+    prints = stage_table(_fingerprints(hashed), "prints")
+    g = F.col("g")
+    single = F.transform("g", lambda x, i: F.when(F.array_position(g, x) == i + 1, x))
+    own = prints.select("doc_id", "th", F.posexplode(single).alias("pos", "g")).filter("g IS NOT NULL")
+    first = own.groupBy("g").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    met = own.join(first.select("g", F.col("f.doc_id").alias("doc_id0"), F.col("f.th").alias("th0"), F.col("f.pos").alias("pos0")), "g")
+    across = met.select("doc_id", "th", "doc_id0", "th0", (F.col("pos") - F.col("pos0")).alias("shift")).distinct()
+    across = across.filter("NOT (doc_id <=> doc_id0 AND th = th0)")
+
+    back = F.transform("g", lambda x, i: F.when(F.array_position(g, x) <= i, F.array_position(F.reverse(F.slice(g, F.lit(1), i)), x)))
+    again = prints.select("doc_id", "th", F.explode(F.array_distinct(back)).alias("shift")).filter("shift > 0")
+    return across.union(again.select("doc_id", "th", F.col("doc_id").alias("doc_id0"), F.col("th").alias("th0"), F.col("shift").cast("int").alias("shift")))
+
+
+def _runs(both: DataFrame) -> DataFrame:
+    """(doc_id, th, cut): the places k of h in runs of h[k] = h0[k - shift] that hold enough words."""
+    lo, hi = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("h"), F.size("h0") + F.col("shift"))
+    rows = both.withColumns({"lo": lo, "hi": hi}).filter("hi > lo")
+    h, h0, shift, w = F.col("h"), F.col("h0"), F.col("shift"), F.col("w")
+    unlike = F.filter(F.sequence(F.col("lo"), F.col("hi") - 1), lambda k: F.get(h, k) != F.get(h0, k - shift))
+    rows = rows.withColumn("ends", F.concat(unlike, F.array("hi")))
+    ends = F.col("ends")
+    spans = F.transform(ends, lambda e, j: F.struct(F.when(j == 0, F.col("lo")).otherwise(F.get(ends, j - 1) + 1).alias("from"), e.alias("to")))
+    spans = F.filter(spans, lambda s: s["to"] > s["from"])
+    enough = F.filter(spans, lambda s: F.aggregate(F.slice(w, s["from"] + 1, s["to"] - s["from"]), F.lit(0), lambda a, x: a + x) >= MIN_WORDS)
+    return rows.select("doc_id", "th", F.flatten(F.transform(enough, lambda s: F.sequence(s["from"], s["to"] - 1))).alias("cut"))
 
 
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, th, cut): the lines to delete from each document that has any."""
     hashed = stage_table(_hashed(docs, text).dropDuplicates(["doc_id", "th"]), "lines")
-    prints = _fingerprints(hashed)
-    first = prints.groupBy("g").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    met = prints.join(first.select("g", F.col("f.doc_id").alias("doc_id0"), F.col("f.th").alias("th0"), F.col("f.pos").alias("pos0")), "g")
-    pairs = met.select("doc_id", "th", "doc_id0", "th0", (F.col("pos") - F.col("pos0")).alias("shift")).distinct()
-    pairs = stage_table(pairs.filter("NOT (doc_id <=> doc_id0 AND th = th0 AND shift = 0)"), "pairs")
-
+    pairs = stage_table(_pairs(hashed), "pairs")
     a = hashed.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), "h", "w")
     b = hashed.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"), F.col("h").alias("h0"))
     both = pairs.join(a, pairs["doc_id"].eqNullSafe(a["a_id"]) & (pairs["th"] == a["a_th"])).select(*pairs.columns, "h", "w")
     both = both.join(b, both["doc_id0"].eqNullSafe(b["b_id"]) & (both["th0"] == b["b_th"]))
-    runs = both.select("doc_id", "th", _runs(F.col("h"), F.col("w"), F.col("h0"), F.col("shift")).alias("cut")).filter(F.size("cut") > 0)
+    runs = stage_table(_runs(both.select("doc_id", "th", "shift", "h", "w", "h0")), "runs").filter(F.size("cut") > 0)
     return runs.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
 
 
