@@ -25,6 +25,11 @@ def number(hex_: Column) -> Column:
     return F.conv(hex_, 16, 10).cast("long")
 
 
+def _table(values: list[int]) -> Column:
+    """A literal array, parsed at once instead of put together value by value."""
+    return F.expr(f"array({', '.join(map(str, values))})")
+
+
 def _remainders(n: int) -> list[int]:
     """What each of n data bits, last first, leaves after division by the generator."""
     out, r = [], GENERATOR & 0xFFFFFF
@@ -45,7 +50,7 @@ def _xor_bytes(value: Column, n: int, first: int) -> Column:
     terms = []
     for k in range(n):
         table = [reduce(lambda x, bit: x ^ (left[8 * k + bit] if byte >> bit & 1 else 0), range(8), 0) for byte in range(256)]
-        terms.append(F.get(F.lit(table), F.shiftright(value, 8 * k).bitwiseAND(F.lit(255)).cast("int")))
+        terms.append(F.get(_table(table), F.shiftright(value, 8 * k).bitwiseAND(F.lit(255)).cast("int")))
     return reduce(lambda a, b: a.bitwiseXOR(b), terms).cast("long")
 
 
@@ -120,17 +125,21 @@ def parse_frames(frames: DataFrame, validate_icao: bool = True, ttl: float = 60.
     return rows.drop("residual")
 
 
+def _from_gray(bits_: int) -> list[int]:
+    """The number for each Gray code of so many bits."""
+    out = [0] * (1 << bits_)
+    for n in range(1 << bits_):
+        out[n ^ (n >> 1)] = n
+    return out
+
+
 def gillham(code: Column) -> Column:
     """Altitude of a Gray-coded 13-bit field (its bits in the order C1 A1 C2 A2 C4 A4 M B1 Q B2 D2 B4 D4)."""
     b = lambda k: F.shiftright(code, k).bitwiseAND(F.lit(1))
-    c = b(8) * 4 + b(10) * 2 + b(12)
-    c = c.bitwiseXOR(F.shiftright(c, 2))
-    c = c.bitwiseXOR(F.shiftright(c, 1))
-    ab = (b(7) * 4 + b(9) * 2 + b(11)) * 8 + (b(1) * 4 + b(3) * 2 + b(5))
-    for k in (4, 2, 1):
-        ab = ab.bitwiseXOR(F.shiftright(ab, k))
-    altitude = ab * 500 + c * 100 - 1200
-    return F.when(c.between(1, 5) & altitude.between(-1200, 126750), altitude.cast("int"))
+    c = F.get(_table(_from_gray(3)), (b(8) * 4 + b(10) * 2 + b(12)).cast("int"))
+    ab = F.get(_table(_from_gray(6)), (b(7) * 32 + b(9) * 16 + b(11) * 8 + b(1) * 4 + b(3) * 2 + b(5)).cast("int"))
+    # hundreds run from 1 to 5, so the result lies between -1100 and 30800
+    return F.when(c.between(1, 5), (ab * 500 + c * 100 - 1200).cast("int"))
 
 
 def altitude_12(code: Column) -> Column:
@@ -261,14 +270,16 @@ def decode_messages(frames: DataFrame) -> DataFrame:
         F.when(tc.between(1, 4), "identification").when(tc.between(5, 18) | tc.between(20, 22), "position")
         .when((tc == 19) & bits(m, 6, 3).between(1, 4), "velocity").when(df.isin(0, 4, 16, 20), "altitude").when(df.isin(5, 21), "squawk")
     )
-    code = number(F.substring("hex", 5, 4)).bitwiseAND(F.lit(0x1FFF))
+    code = F.col("__code")
     is_ = lambda k: F.col("msg_type") == k
     rows = rows.withColumn("msg_type", kind).filter("crc_ok AND msg_type IS NOT NULL")
-    rows = rows.withColumn("__scores", F.when(df.isin(20, 21), register_scores(m)))
+    rows = rows.withColumns({
+        "__code": number(F.substring("hex", 5, 4)).bitwiseAND(F.lit(0x1FFF)), "__alt": bits(m, 9, 12), "__scores": F.when(df.isin(20, 21), register_scores(m)),
+    })
     return rows.withColumns({
         "callsign": F.when(is_("identification"), callsign(m)),
         "category": F.when(is_("identification"), bits(m, 6, 3).cast("int")),
-        "altitude_ft": F.when(is_("position") & (tc >= 9), altitude_12(bits(m, 9, 12))).when(is_("altitude"), altitude_13(code)),
+        "altitude_ft": F.when(is_("position") & (tc >= 9), altitude_12(F.col("__alt"))).when(is_("altitude"), altitude_13(code)),
         "is_surface": F.when(is_("position"), tc < 9),
         "cpr_odd": F.when(is_("position"), bits(m, 22, 1) == 1),
         "cpr_lat": F.when(is_("position"), bits(m, 23, 17)),
@@ -276,4 +287,4 @@ def decode_messages(frames: DataFrame) -> DataFrame:
         "velocity": F.when(is_("velocity"), velocity(m)),
         "squawk": F.when(is_("squawk"), squawk_13(code)),
         "comm_b": F.when(df.isin(20, 21), comm_b(m, F.col("__scores"))),
-    }).drop("me", "__scores")
+    }).drop("me", "__scores", "__code", "__alt")

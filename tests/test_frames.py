@@ -1,5 +1,7 @@
 """Published frames, hand-made tracks, and the streaming fold against the batch fold."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,19 +41,25 @@ def test_position_pairs(spark):
 
 
 def test_fold_uses_the_last_fix_and_stream_equals_batch(spark, tmp_path):
-    even, odd = FRAMES[2], FRAMES[3]
+    even, odd = (False, 93000, 51372), (True, 74158, 50194)
     # the pair gives a fix; an even report alone much later is resolved against that fix
-    rows = [("r", 0, odd, 0.0), ("r", 1, even, 1.0), ("r", 2, even, 30.0), ("q", 3, even, 0.0)]
-    table = spark.createDataFrame(rows, "receiver string, seq long, hex string, timestamp double")
-    batch = {r.seq: r for r in track.resolve_positions(modes.decode_messages(modes.parse_frames(table, False))).collect()}
+    rows = [("r", "40621D", k, t, "position", *m) for k, (t, m) in enumerate([(0.0, odd), (1.0, even), (30.0, even)])]
+    rows.append(("q", "40621D", 3, 0.0, "position", *even))
+    table = spark.createDataFrame(rows, "receiver string, icao string, seq long, timestamp double, msg_type string, cpr_odd boolean, cpr_lat long, cpr_lon long")
+    batch = {r.seq: r for r in track.resolve_positions(table).collect()}
     assert set(batch) == {1, 2} and batch[2].lat == pytest.approx(52.2572, abs=1e-3) and batch[1].stored and batch[2].stored
-    assert track.resolve_positions(modes.decode_messages(modes.parse_frames(table, False)), (52.2, 3.9)).count() == 4
+    assert track.resolve_positions(table, (52.2, 3.9)).count() == 4
 
     for k, r in enumerate(rows):  # one file and so one micro-batch for each row
         spark.createDataFrame([r], table.schema).coalesce(1).write.parquet(str(tmp_path / f"in/f{k}"))
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    query = jobs.resolve_positions(jobs.decode(stream)).writeStream.format("memory").queryName("fixes").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    query.awaitTermination(120)
+    query = jobs.resolve_positions(stream).writeStream.format("memory").queryName("fixes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    # a query with timeouts runs batches without data too, and so never counts as done
+    for _ in range(240):
+        if len(query.recentProgress) and sum(p["numInputRows"] for p in query.recentProgress) >= len(rows):
+            break
+        time.sleep(0.5)
+    query.stop()
     got = {r.seq: tuple(r) for r in spark.sql("SELECT * FROM fixes").collect()}
     assert got == {k: tuple(v) for k, v in batch.items()}
 
