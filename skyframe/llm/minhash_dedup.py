@@ -5,10 +5,10 @@
 2. Documents with the same set form a class; from here on one row stands for a class, so copies cost nothing.
 3. Classes that share a band meet in a bucket. Each member is paired with one pivot; pairs whose collision-corrected
    similarity, estimated from the bits that agree, may reach the threshold are confirmed on the full sets, and
-   confirmed links are merged into components. Then, in buckets that still hold several components, the members
-   outside the bucket's main component become pivots, a few at a time, until every pair of members is in one component
-   or has been compared. Two members of one component need no comparison; no pair of a bucket is otherwise left out,
-   and there is no cap on bucket sizes.
+   confirmed links are merged into components. Members outside a bucket's largest component then meet another pivot
+   in every band. Members of buckets that still hold several components meet a last time, by their rarest shingles,
+   which two sets that reach the threshold must share; this is exact whatever the size of a bucket. Two members of one
+   component need no comparison; no other pair that could link is left out, and there is no cap on bucket sizes.
 4. A document's component is the smallest id it can reach.
 
 A pair at the threshold of 0.8 shares no band with probability (1 - 0.8**7)**72, about 4e-8, and falls below the
@@ -29,15 +29,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import documents, stage_table
 
 BANDS, ROWS, HASHES = 72, 7, 512
 #: Minima that the signature keeps two bits of, in so many longs.
 KEPT, LONGS = 256, 8
-#: Pairs that a bucket looks at in each later round, about, and its fewest and most pivots then.
-ROUND_PAIRS, LEAST_PIVOTS, MOST_PIVOTS = 1 << 17, 64, 2048
 #: Documents sketched at once inside a task.
 BLOCK_ROWS = 2048
 CACHE_WORDS = 1 << 19
@@ -204,20 +201,50 @@ def _pairs_that_may_link(pairs: DataFrame, classes: DataFrame, percent: int) ->
     return both.filter((100 * small >= percent * large) & (agreeing(F.col("bits_a"), F.col("bits_b")) >= least_agreeing(percent))).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """Of pairs (a, b), those whose full sets reach the threshold. Sets are made again from texts, for these alone."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = classes.join(wanted, "node", "left_semi").select(F.col("key").alias("__key"))
+def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(node, n, shingles) of some classes. Sets are made again from texts, for these alone."""
+    ids = classes.join(nodes, "node", "left_semi").select(F.col("key").alias("__key"))
     chosen = docs.join(ids, docs[key].eqNullSafe(ids["__key"]), "left_semi")
     sets = full_sets(chosen, words, text).select(F.xxhash64("n", "s1", "s2").alias("node"), "n", "shingles").dropDuplicates(["node"])
-    sets = stage_table(sets.join(wanted, "node", "left_semi"), "sets")
+    return stage_table(sets.join(nodes, "node", "left_semi"), "sets")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """Of pairs (a, b), those whose full sets reach the threshold."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets_of(wanted, classes, docs, words, key, text)
 
     def side(s: str) -> DataFrame:
         return sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}"))
 
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.select("a", "b", "n_a", "n_b", common.alias("common")).filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    rows = both.select("a", "b", "n_a", "n_b", common.alias("common"))
+    return rows.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+
+
+def _sharing_rare_shingles(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """Pairs (a, b) of members (node, comp) of different components that share one of their rarest shingles.
+
+    With all shingles in one order, two sets that reach the threshold share one among the first n - ceil(n * threshold)
+    + 1 of each: the order is by how many members hold a shingle, rarest first. A shingle whose members are all in one
+    component gives no pairs; elsewhere those outside its largest component meet the others.
+    """
+    sets = _sets_of(members.select("node"), classes, docs, words, key, text)
+    held = sets.select("node", "n", F.explode("shingles").alias("shingle"))
+    count = held.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = held.join(count, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("known"))
+    # shingles of one member alone come first in its order, and can meet nothing
+    alone = F.col("n") - F.size("known")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    first = ranked.filter(length > 0).select("node", F.explode(F.slice("known", F.lit(1), length.cast("int"))).alias("k")).select("node", "k.shingle")
+    first = stage_table(first.join(members, "node"), "rarest")
+    sizes = first.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("shingle").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    live = first.join(main, "shingle")
+    rest = live.filter("comp <> main").select("shingle", F.col("node").alias("p"), F.col("comp").alias("p_comp"))
+    met = live.join(rest, "shingle").filter("comp <> p_comp")
+    return met.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,36 +265,34 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     links = stage_table(_confirmed(tried, classes, docs, words, percent, key, text), "confirmed")
     labels = components(links)
 
-    live, main = live.filter("members > 2").select("band", "node"), None
-    while True:
-        placed = live.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-        if main is None:  # the bucket's main component is that of this node from now on
-            sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("c"), F.min("node").alias("least"))
-            many = sizes.groupBy("band").agg(F.max_by("least", "c").alias("anchor"), F.sum("c").alias("members"), F.count("*").alias("comps"))
-            quota = F.greatest(F.lit(LEAST_PIVOTS), F.floor(F.lit(ROUND_PAIRS) / F.col("members"))).cast("int")
-            main = stage_table(many.filter("comps > 1").select("band", "anchor", quota.alias("quota"), F.lit(-(2**63)).cast("long").alias("last")), "main")
-            live = stage_table(live.join(main, "band", "left_semi"), "live")
-            placed = live.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-        placed = stage_table(placed, "placed")
-        anchored = placed.join(main, "band")
-        of_main = anchored.filter("node = anchor").select("band", F.col("comp").alias("main_comp"))
-        rest = anchored.join(of_main, "band").filter("comp <> main_comp AND node > last")
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        pivots = stage_table(rest.withColumn("r", rank).filter((F.col("r") <= MOST_PIVOTS) & (F.col("r") <= F.col("quota"))).select("band", F.col("node").alias("p"), F.col("comp").alias("p_comp")), "pivots")
-        if pivots.isEmpty():
-            break
-        met = placed.join(pivots, "band").filter("comp <> p_comp")
-        pairs = met.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
+    def in_place(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("comp", "node").alias("comp"))
+
+    def take(pairs: DataFrame) -> None:
+        """Confirms pairs that haven't been looked at and merges what they link."""
+        nonlocal tried, links, labels
         fresh = stage_table(_pairs_that_may_link(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "tried")
         tried = tried.union(fresh)
-        if not fresh.isEmpty():
-            found = stage_table(_confirmed(fresh, classes, docs, words, percent, key, text), "confirmed")
-            if not found.isEmpty():
-                links = links.union(found)
-                labels = components(links)
-        done = pivots.groupBy("band").agg(F.max("p").alias("to"))
-        main = stage_table(main.join(done, "band").select("band", "anchor", "quota", F.col("to").alias("last")), "main")
-        live = live.join(main, "band", "left_semi")
+        found = stage_table(_confirmed(fresh, classes, docs, words, percent, key, text), "confirmed")
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
+
+    # other pivots: in each bucket the members outside its largest component meet one node of that, another in each band
+    live = live.filter("members > 2 AND node <> pivot").select("band", "node")
+    placed = stage_table(in_place(live), "placed")
+    lot = F.xxhash64("node", "band")
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("c"), F.min_by("node", lot).alias("some"))
+    main = sizes.groupBy("band").agg(F.max_by("some", "c").alias("pivot"), F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    rest = placed.join(main, "band").filter("comp <> main")
+    take(rest.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+
+    # what is left: members of buckets that still hold several components. Two sets that reach the threshold share one
+    # of their rarest shingles, so members meet again by these, whatever their number in the bucket
+    placed = stage_table(in_place(live), "placed")
+    main = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    members = placed.join(main, "band", "left_semi").select("node", "comp").distinct()
+    take(_sharing_rare_shingles(members, classes, docs, words, percent, key, text))
 
     placed = classes.select("node", "key").join(labels, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("key").alias("component_id"))
