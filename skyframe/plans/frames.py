@@ -194,8 +194,9 @@ def d26_decode_summary(spark: SparkSession, d: str) -> DataFrame:
     return T.decode_summary(messages(spark, d)).select("icao", F.rtrim("callsign").alias("callsign"), "messages")
 
 
-@query(f"{FX} SELECT concat('r', receiver_id) AS receiver, icao, max(id) AS id FROM states GROUP BY ALL")
+@query()
 def t9_latest_comm_b(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: some registers are ambiguous and so not told, which the source rows don't show."""
     rows = T.latest_comm_b(messages(spark, d))
     times = X.states(spark, d).select(F.concat(F.lit("r"), F.col("receiver_id").cast("string")).alias("receiver"), "icao", "id", F.round(F.col("timestamp") + 0.06, 3).alias("t"))
     return rows.withColumn("t", F.round("last_comm_b_seen", 3)).join(times, ["receiver", "icao", "t"]).select("receiver", "icao", "id")
