@@ -33,7 +33,7 @@ ORDER = 5
 #: No valid UTF-8 text holds this byte: it stands before the first and after the last symbol.
 EDGE = 255
 SYMBOLS = 256
-HOT_GRAMS, HOT_WORDS = 1 << 20, 1 << 16
+HOT_GRAMS, HOT_WORDS = 1 << 23, 1 << 20
 #: Bytes of text handled at once inside a task.
 BLOCK = 1 << 21
 
