@@ -63,9 +63,11 @@ def _pairs(hashed: DataFrame) -> DataFrame:
     Of a fingerprint that a document holds several times, the first is joined with its first occurrence anywhere; each
     later one is matched with the one before it, so a text of one repeated line has one shift, not one for each line.
     """
-    prints = stage_table(_fingerprints(hashed), "prints")
+    prints = _fingerprints(hashed)
+    there = F.filter("g", lambda x: x.isNotNull())
+    prints = stage_table(prints.withColumn("twice", F.size(F.array_distinct(there)) < F.size(there)), "prints")
     g = F.col("g")
-    single = F.transform("g", lambda x, i: F.when(F.array_position(g, x) == i + 1, x))
+    single = F.when(F.col("twice"), F.transform("g", lambda x, i: F.when(F.array_position(g, x) == i + 1, x))).otherwise(g)
     own = prints.select("doc_id", "th", F.posexplode(single).alias("pos", "g")).filter("g IS NOT NULL")
     first = own.groupBy("g").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     met = own.join(first.select("g", F.col("f.doc_id").alias("doc_id0"), F.col("f.th").alias("th0"), F.col("f.pos").alias("pos0")), "g")
@@ -73,7 +75,7 @@ def _pairs(hashed: DataFrame) -> DataFrame:
     across = across.filter("NOT (doc_id <=> doc_id0 AND th = th0)")
 
     back = F.transform("g", lambda x, i: F.when(F.array_position(g, x) <= i, F.array_position(F.reverse(F.slice(g, F.lit(1), i)), x)))
-    again = prints.select("doc_id", "th", F.explode(F.array_distinct(back)).alias("shift")).filter("shift > 0")
+    again = prints.filter("twice").select("doc_id", "th", F.explode(F.array_distinct(back)).alias("shift")).filter("shift > 0")
     return across.union(again.select("doc_id", "th", F.col("doc_id").alias("doc_id0"), F.col("th").alias("th0"), F.col("shift").cast("int").alias("shift")))
 
 
@@ -92,7 +94,7 @@ def _runs(both: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, th, cut): the lines to delete from each document that has any."""
+    """(doc_id, th, n_lines, cut): the lines of each distinct document, and those to delete (null for none)."""
     hashed = stage_table(_hashed(docs, text).dropDuplicates(["doc_id", "th"]), "lines")
     pairs = stage_table(_pairs(hashed), "pairs")
     a = hashed.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), "h", "w")
@@ -100,7 +102,10 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     both = pairs.join(a, pairs["doc_id"].eqNullSafe(a["a_id"]) & (pairs["th"] == a["a_th"])).select(*pairs.columns, "h", "w")
     both = both.join(b, both["doc_id0"].eqNullSafe(b["b_id"]) & (both["th0"] == b["b_th"]))
     runs = stage_table(_runs(both.select("doc_id", "th", "shift", "h", "w", "h0")), "runs").filter(F.size("cut") > 0)
-    return runs.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cuts = runs.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cuts = cuts.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "cut")
+    sizes = hashed.select("doc_id", "th", F.size("h").cast("long").alias("n_lines"))
+    return sizes.join(cuts, sizes["doc_id"].eqNullSafe(cuts["c_id"]) & (sizes["th"] == cuts["c_th"]), "left").drop("c_id", "c_th")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -108,16 +113,16 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.drop("n_lines", "n_deleted", "words_deleted")
     cuts = stage_table(repeated(docs, text), "cuts")
     keyed = docs.withColumn("__th", F.xxhash64(text))
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("th").alias("__cut_th"), F.col("cut").alias("__cut"))
-    joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["__id"]) & (keyed["__th"] == cuts["__cut_th"]), "left").drop("__th", "__id", "__cut_th")
-    staged = joined.withColumn("__lines", _lines(F.col(text)))
+    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("th").alias("__cut_th"), "n_lines", F.col("cut").alias("__cut"))
+    joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["__id"]) & (keyed["__th"] == cuts["__cut_th"])).drop("__th", "__id", "__cut_th")
+    staged = joined.withColumn("__lines", F.when(F.col("__cut").isNotNull(), _lines(F.col(text))))
     cut, lines = F.col("__cut"), F.col("__lines")
     gone = F.array_join(F.transform(F.array_sort(cut), lambda k: F.get(lines, k)), "")
     words = F.size(F.filter(F.split(gone, GAP), lambda x: x != ""))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut), lambda k: F.get(lines, k)), "")
     return staged.select(
         *(F.when(cut.isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns),
-        F.size(lines).cast("long").alias("n_lines"),
+        "n_lines",
         F.when(cut.isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_deleted"),
         F.when(cut.isNull(), 0).otherwise(words).cast("long").alias("words_deleted"),
     )
