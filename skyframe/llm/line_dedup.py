@@ -74,7 +74,8 @@ def _pairs(hashed: DataFrame) -> DataFrame:
     across = met.select("doc_id", "th", "doc_id0", "th0", (F.col("pos") - F.col("pos0")).alias("shift")).distinct()
     across = across.filter("NOT (doc_id <=> doc_id0 AND th = th0)")
 
-    back = F.transform("g", lambda x, i: F.when(F.array_position(g, x) <= i, F.array_position(F.reverse(F.slice(g, F.lit(1), i)), x)))
+    # the place before is looked at first: a line said over and over needs no search
+    back = F.transform("g", lambda x, i: F.when(F.get(g, i - 1) == x, 1).when(F.array_position(g, x) <= i, F.array_position(F.reverse(F.slice(g, F.lit(1), i)), x)))
     again = prints.filter("twice").select("doc_id", "th", F.explode(F.array_distinct(back)).alias("shift")).filter("shift > 0")
     return across.union(again.select("doc_id", "th", F.col("doc_id").alias("doc_id0"), F.col("th").alias("th0"), F.col("shift").cast("int").alias("shift")))
 
