@@ -1,17 +1,18 @@
-"""Line dedup by winnowing: later copies of repeated runs of lines are deleted, the first one stays.
+"""Line dedup by windows of lines: later copies of repeated runs of lines are deleted, the first one stays.
 
 Texts are cut after line ends and after sentence ends, so that a passage is found inside a longer line too; such a
-piece is called a line here. Hashes of neighbouring lines (or of one line of ``LONG`` words or more) are winnowed: of
-every two neighbours the smaller is kept as a fingerprint, and long lines always are. So two texts that share three
-lines in a row, or one long line, share a fingerprint. Every fingerprint is joined with its first occurrence (by
-document id, then place); each pair of documents and shift found so is compared line by line over its whole length,
-which extends the matches both ways; and runs of at least ``MIN_WORDS`` words are deleted from the later document.
+piece is called a line here. A line is deleted if it lies in a run of lines of at least ``MIN_WORDS`` words in all that
+is also found before: in an earlier document (by document id, then hash of the text) or earlier in the same one.
 
-A fingerprint that is in very many documents is joined with one row, its first occurrence, never with all others.
+This is settled without comparing documents. From each line on there is one shortest run of ``MIN_WORDS`` words, and
+one that ends with it; what these windows hold depends on their own lines only, so every copy of a run has the same
+ones, and together they cover it. Windows are compared by hash, and each but the first of its hash is deleted.
+Each window meets one row, its first occurrence, however many documents hold it.
 
 Defined results: a null text stays null and has no lines; null ids come before all others; rows with the same id and
-text count as one document and get the same result; blank lines belong to the run around them; an empty table gives an
-empty table; extra columns pass through, but for n_lines, n_deleted and words_deleted, which are replaced.
+text count as one document and get the same result; blank lines are passed over in runs and go with the line before
+them; an empty table gives an empty table; extra columns pass through, but for n_lines, n_deleted and words_deleted,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import GAP, documents, stage_table
 
-LONG, MIN_WORDS = 25, 25
+MIN_WORDS = 25
 #: Pieces keep the characters that end them, so that the kept ones make up the text.
 CUT = r"(?<=\n)|(?<=[.!?] )"
 
@@ -31,82 +32,60 @@ def _lines(text: Column) -> Column:
 
 
 def _hashed(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, th, h, w) of each distinct document: hashes and words of its lines; th is the hash of the text."""
+    """(doc_id, th, n_lines, at, h, w): places, hashes and words of a text's lines that aren't blank; th is its hash."""
     cut = docs.select("doc_id", F.xxhash64(text).alias("th"), _lines(F.col(text)).alias("lines"))
     words = F.transform("lines", lambda x: F.trim(F.regexp_replace(x, GAP, " ")))
+    rows = cut.select("doc_id", "th", F.size("lines").cast("long").alias("n_lines"), words.alias("words"))
+    at = F.filter(F.transform("words", lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "th", "n_lines", at.alias("at"), F.filter("words", lambda x: x != "").alias("words"))
     h = F.transform("words", lambda x: F.xxhash64(x))
-    w = F.transform("words", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " "))))
-    return cut.select("doc_id", "th", words.alias("words")).select("doc_id", "th", h.alias("h"), w.alias("w"))
-
-
-def _fingerprints(hashed: DataFrame) -> DataFrame:
-    """(doc_id, th, g): the fingerprint at each line's place, null where the line has none."""
-    h, w = F.col("h"), F.col("w")
-    gram = F.transform(
-        "h",
-        lambda x, i: F.when(F.get(w, i) >= LONG, F.xxhash64(x)).when((F.get(w, i) + F.get(w, i + 1)) > 0, F.xxhash64(x, F.get(h, i + 1))),
-    )
-    grams = hashed.select("doc_id", "th", "w", gram.alias("gs"))
-    g = F.col("gs")
-    chosen = F.transform(
-        "gs",
-        lambda x, i: F.when(
-            (F.get(w, i) >= LONG) | (F.coalesce(F.get(g, i + 1), x + 1) > x) | (F.coalesce(F.get(g, i - 1), x) >= x), x
-        ),
-    )
-    return grams.select("doc_id", "th", chosen.alias("g"))
-
-
-def _pairs(hashed: DataFrame) -> DataFrame:
-    """(doc_id, th, doc_id0, th0, shift): where a document may repeat an earlier one, or itself.
-
-    Of a fingerprint that a document holds several times, the first is joined with its first occurrence anywhere; each
-    later one is matched with the one before it, so a text of one repeated line has one shift, not one for each line.
-    """
-    prints = _fingerprints(hashed)
-    there = F.filter("g", lambda x: x.isNotNull())
-    prints = stage_table(prints.withColumn("twice", F.size(F.array_distinct(there)) < F.size(there)), "prints")
-    g = F.col("g")
-    single = F.when(F.col("twice"), F.transform("g", lambda x, i: F.when(F.array_position(g, x) == i + 1, x))).otherwise(g)
-    own = prints.select("doc_id", "th", F.posexplode(single).alias("pos", "g")).filter("g IS NOT NULL")
-    first = own.groupBy("g").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    met = own.join(first.select("g", F.col("f.doc_id").alias("doc_id0"), F.col("f.th").alias("th0"), F.col("f.pos").alias("pos0")), "g")
-    across = met.select("doc_id", "th", "doc_id0", "th0", (F.col("pos") - F.col("pos0")).alias("shift")).distinct()
-    across = across.filter("NOT (doc_id <=> doc_id0 AND th = th0)")
-
-    # the place before is looked at first: a line said over and over needs no search
-    back = F.transform("g", lambda x, i: F.when(F.get(g, i - 1) == x, 1).when(F.array_position(g, x) <= i, F.array_position(F.reverse(F.slice(g, F.lit(1), i)), x)))
-    again = prints.filter("twice").select("doc_id", "th", F.explode(F.array_distinct(back)).alias("shift")).filter("shift > 0")
-    return across.union(again.select("doc_id", "th", F.col("doc_id").alias("doc_id0"), F.col("th").alias("th0"), F.col("shift").cast("int").alias("shift")))
-
-
-def _runs(both: DataFrame) -> DataFrame:
-    """(doc_id, th, cut): the places k of h in runs of h[k] = h0[k - shift] that hold enough words."""
-    lo, hi = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("h"), F.size("h0") + F.col("shift"))
-    rows = both.withColumns({"lo": lo, "hi": hi}).filter("hi > lo")
-    h, h0, shift, w = F.col("h"), F.col("h0"), F.col("shift"), F.col("w")
-    unlike = F.filter(F.sequence(F.col("lo"), F.col("hi") - 1), lambda k: F.get(h, k) != F.get(h0, k - shift))
-    rows = rows.withColumn("ends", F.concat(unlike, F.array("hi")))
-    ends = F.col("ends")
-    spans = F.transform(ends, lambda e, j: F.struct(F.when(j == 0, F.col("lo")).otherwise(F.get(ends, j - 1) + 1).alias("from"), e.alias("to")))
-    spans = F.filter(spans, lambda s: s["to"] > s["from"])
-    enough = F.filter(spans, lambda s: F.aggregate(F.slice(w, s["from"] + 1, s["to"] - s["from"]), F.lit(0), lambda a, x: a + x) >= MIN_WORDS)
-    return rows.select("doc_id", "th", F.flatten(F.transform(enough, lambda s: F.sequence(s["from"], s["to"] - 1))).alias("cut"))
+    w = F.transform("words", lambda x: F.size(F.split(x, " ")))
+    return rows.select("doc_id", "th", "n_lines", "at", h.alias("h"), w.alias("w"))
+
+
+def _needed(k: Column, step: int) -> Column:
+    """How many lines from place k on, or back from it, hold ``MIN_WORDS`` words; null if the text ends before."""
+    w = F.col("w")
+    total, known = F.get(w, k), F.when(F.get(w, k) >= MIN_WORDS, 1)
+    for n in range(1, 4):
+        total = total + F.get(w, k + step * n)
+        known = known.when(total >= MIN_WORDS, n + 1)
+    # no line is without words, so that no window is longer than this
+    near = F.slice(w, k + 1, F.lit(MIN_WORDS)) if step > 0 else F.reverse(F.slice(w, F.greatest(k + 2 - MIN_WORDS, F.lit(1)), F.least(k + 1, F.lit(MIN_WORDS))))
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+    more = lambda a, x: F.when(a["words"] >= MIN_WORDS, a).otherwise(F.struct((a["words"] + x).alias("words"), (a["n"] + 1).alias("n")))
+    return known.otherwise(F.aggregate(near, start, more, lambda a: F.when(a["words"] >= MIN_WORDS, a["n"])))
+
+
+def _windows(hashed: DataFrame) -> DataFrame:
+    """(doc_id, th, n_lines, at, windows): the shortest runs of enough words that start, or end, with each line."""
+    ahead = F.transform("w", lambda _, k: _needed(k, 1))
+    back = F.transform("w", lambda _, k: _needed(k, -1))
+    rows = hashed.withColumns({"ahead": ahead, "back": back})
+    window = lambda k, n: F.struct(k.alias("k"), n.alias("n"), F.xxhash64(F.slice("h", k + 1, n)).alias("g"))
+    starting = F.transform("ahead", lambda n, k: F.when(n.isNotNull(), window(k, n)))
+    # most of those that end with a line also start with one
+    ending = F.transform("back", lambda n, k: F.when(F.get("ahead", k + 1 - n) < n, window(k + 1 - n, n)))
+    there = F.filter(F.concat(starting, ending), lambda x: x.isNotNull())
+    return rows.select("doc_id", "th", "n_lines", "at", there.alias("windows"))
 
 
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, th, n_lines, cut): the lines of each distinct document, and those to delete (null for none)."""
-    hashed = stage_table(_hashed(docs, text).dropDuplicates(["doc_id", "th"]), "lines")
-    pairs = stage_table(_pairs(hashed), "pairs")
-    a = hashed.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), "h", "w")
-    b = hashed.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"), F.col("h").alias("h0"))
-    both = pairs.join(a, pairs["doc_id"].eqNullSafe(a["a_id"]) & (pairs["th"] == a["a_th"])).select(*pairs.columns, "h", "w")
-    both = both.join(b, both["doc_id0"].eqNullSafe(b["b_id"]) & (both["th0"] == b["b_th"]))
-    runs = stage_table(_runs(both.select("doc_id", "th", "shift", "h", "w", "h0")), "runs").filter(F.size("cut") > 0)
-    cuts = runs.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
-    cuts = cuts.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "cut")
-    sizes = hashed.select("doc_id", "th", F.size("h").cast("long").alias("n_lines"))
-    return sizes.join(cuts, sizes["doc_id"].eqNullSafe(cuts["c_id"]) & (sizes["th"] == cuts["c_th"]), "left").drop("c_id", "c_th")
+    texts = stage_table(_windows(_hashed(docs, text)), "windows")
+    own = texts.select("doc_id", "th", F.explode("windows").alias("x")).select("doc_id", "th", "x.g", "x.k", "x.n")
+    often = own.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1").select("g")
+    shared = stage_table(own.join(often, "g", "left_semi"), "shared")
+    first = shared.groupBy("g").agg(F.min(F.struct("doc_id", "th", "k")).alias("f"))
+    later = shared.join(first, "g").filter("NOT (doc_id <=> f.doc_id AND th = f.th AND k = f.k)")
+    runs = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("k", "n")).alias("runs"))
+    runs = runs.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["k"], x["k"] + x["n"] - 1)))).alias("ks"))
+    sizes = texts.select("doc_id", "th", "n_lines", "at").dropDuplicates(["doc_id", "th"])
+    both = sizes.join(runs, sizes["doc_id"].eqNullSafe(runs["c_id"]) & (sizes["th"] == runs["c_th"]), "left")
+    # a line goes with the blank ones behind it
+    end = lambda k: F.coalesce(F.get("at", k + 1), F.col("n_lines").cast("int")) - 1
+    cut = F.flatten(F.transform("ks", lambda k: F.sequence(F.get("at", k), end(k))))
+    return both.select("doc_id", "th", "n_lines", cut.alias("cut"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:

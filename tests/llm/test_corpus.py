@@ -147,6 +147,43 @@ def test_line_dedup(spark, rows, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def _repeated_lines(texts):
+    """By the rule itself: places of the lines that lie in a run of 25 words or more that is also found before."""
+    out, seen = [], set()
+    for lines in texts:
+        cut, n = set(), [len(x.split()) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(n[a:b]) >= 25:
+                    run = tuple(x.strip() for x in lines[a:b])
+                    if run in seen:
+                        cut |= set(range(a, b))
+                    seen.add(run)
+        out.append(cut)
+    return out
+
+
+def test_line_dedup_finds_every_run_of_lines(spark):
+    """Lines that are common on their own, in runs whose two-line parts first occur elsewhere; short lines and long ones."""
+    import random
+
+    r = random.Random(11)
+    line = lambda n: prose(r, n).replace(".", "")
+    a, b, c, d = (line(9) for _ in range(4))
+    x, y = line(13), line(14)
+    texts = [[line(40), a, b], [b, c, line(41)], [c, d, line(42)], [line(43), a, b, c, d], [line(44), a, b, c, d, line(45)]]
+    texts += [[line(3), x, y, line(50)], [line(6), x, y, line(51)]] * 3  # two lines of 27 words between others
+    pool = [line(r.choice([1, 2, 5, 8, 12, 20, 30])) for _ in range(14)]
+    texts += [[r.choice(pool) for _ in range(r.randint(1, 14))] for _ in range(60)]
+    want = _repeated_lines(texts)
+    assert want[4] == {1, 2, 3, 4}
+    out = line_dedup.dedup_lines(table(spark, [(k, "\n".join(t) + "\n", None) for k, t in enumerate(texts)])).collect()
+    got = {x.doc_id: x for x in out}
+    for k, t in enumerate(texts):
+        assert got[k].text == "".join(x + "\n" for j, x in enumerate(t) if j not in want[k])
+        assert got[k].n_lines == len(t) + 1 and got[k].n_deleted in (len(want[k]), len(want[k]) + 1)
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     x = (r.normal(size=(1500, 6)) / 3).astype(np.float32)
