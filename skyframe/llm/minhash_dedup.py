@@ -309,10 +309,18 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near duplicates, the one with the smallest id."""
-    kept = link(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    joined = docs.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return joined.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Pipeline stage: one row of each group of near duplicates, and every row whose text has no words.
+
+    It is the row with the smallest id, one with an id before one without; of texts with the same id, the one with the
+    smallest hash; of rows with the same id and text, the smallest by all columns. Rows are told apart by id and text,
+    so that texts that share an id, or have none, are kept or dropped each by its own links.
+    """
+    full = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("th"))
+    rows = docs.filter(full).withColumn("__row", row)
+    kept = link(rows, words=5, percent=80, key="__row").filter("kept").select("__row").distinct()
+    one = rows.join(kept, "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return one.select("r.*").unionByName(docs.filter(~full))
 
 
 QUERIES = {"op7_minhash_dedup": op7_minhash_dedup}

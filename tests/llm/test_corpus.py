@@ -123,6 +123,20 @@ def test_near_duplicates_in_families(spark):
     _check_links(spark, rows, 2)
 
 
+def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
+    import random
+
+    r = random.Random(8)
+    a, b, c, d, e, f = (prose(r, 60) for _ in range(6))
+    rows = [(1, a, "s0"), (2, a + " more", "s0"), (2, b, "s0"), (3, b, "s1"), (3, c, "s0"), (4, d, "s1"), (4, d, "s0")]
+    rows += [(None, e, None), (None, f, None), (None, f, "s0"), (None, a, "s0"), (None, None, "s1"), (None, None, "s1"), (5, " \n", None), (5, None, None)]
+    docs = table(spark, rows).repartition(3)
+    out = minhash_dedup.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(1, a, "s0"), (2, b, "s0"), (3, c, "s0"), (4, d, "s0"), (None, e, None), (None, f, None), *rows[-4:]]
+    assert Counter((x.doc_id, x.text, x.source) for x in out.collect()) == Counter(want)
+
+
 def test_no_documents_to_link(empty):
     assert minhash_dedup.link(empty).count() == 0
 
