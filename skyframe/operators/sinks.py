@@ -24,37 +24,76 @@ def export_json(positions: DataFrame, path: str) -> None:
     positions.write.mode("overwrite").json(path)
 
 
-def nested_json(aircraft: DataFrame, positions: DataFrame, newest: int = 1000) -> DataFrame:
-    """(icao, last_seen, json): each aircraft with its newest positions, newest first."""
-    rows = newest_per_key(positions, ["icao"], newest)
-    key = F.struct((-F.col("timestamp")).alias("t"), (-F.col("id")).alias("i"), F.struct("lat", "lon", "altitude_ft", "timestamp").alias("r"))
-    packed = rows.groupBy("icao").agg(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["r"]).alias("positions"))
-    joined = aircraft.join(packed, "icao", "left")
-    return joined.select("icao", "last_seen", F.to_json(F.struct(*aircraft.columns, "positions")).alias("json"))
+#: Bits of the number of positions in one part of an export; below 33, which number the rows of a partition.
+PART_BITS = 10
 
 
-def _chain(positions: DataFrame, point: Column) -> DataFrame:
-    order = F.sort_array(F.collect_list(F.struct("timestamp", "id", point.alias("p"))))
-    return positions.groupBy("icao").agg(F.transform(order, lambda x: x["p"]).alias("chain"), F.count("*").alias("n"))
+def _parts(rows: DataFrame, item: Column, newest_first: bool = False) -> DataFrame:
+    """(icao, part, chain, first, last): each aircraft's items in time order, cut into parts of 1,024 at most.
+
+    Rows are dealt out by aircraft and time and numbered where they lie, so an aircraft with many positions is spread
+    over tasks and rows. Parts of an aircraft are in order of their number, which has gaps.
+    """
+    order = [F.col(c).desc() if newest_first else F.col(c).asc() for c in ("timestamp", "id")]
+    dealt = rows.repartitionByRange("icao", *order).sortWithinPartitions("icao", *order)
+    numbered = dealt.select("icao", F.monotonically_increasing_id().alias("at"), item.alias("p"))
+    packed = numbered.groupBy("icao", F.shiftright("at", PART_BITS).alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("chain"))
+    parts = packed.select("icao", "part", F.transform("chain", lambda x: x["p"]).alias("chain"))
+    ends = parts.groupBy("icao").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    return parts.join(ends, "icao").select("icao", "part", "chain", (F.col("part") == F.col("lo")).alias("first"), (F.col("part") == F.col("hi")).alias("last"))
+
+
+def _framed(head: Column, body: Column, tail: Column, gap: str) -> Column:
+    """One part's text: the head before the first part, a gap before each other one, the tail after the last."""
+    return F.concat(F.when(F.col("first"), head).otherwise(gap), body, F.when(F.col("last"), tail).otherwise(""))
+
+
+def _bare(array: Column) -> Column:
+    """The elements of an array as JSON, without the brackets."""
+    text = F.to_json(array)
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def nested_json(aircraft: DataFrame, positions: DataFrame, newest: int | None = 1000) -> DataFrame:
+    """(icao, last_seen, part, json): each aircraft with its newest positions, or all, newest first.
+
+    The texts of an aircraft's parts, joined in order, are one document; an aircraft without positions has one part.
+    """
+    rows = positions if newest is None else newest_per_key(positions, ["icao"], newest)
+    parts = _parts(rows, F.struct("lat", "lon", "altitude_ft", "timestamp"), newest_first=True)
+    joined = aircraft.join(parts, "icao", "left")
+    alone = F.to_json(F.struct(*aircraft.columns))
+    text = _framed(F.concat(F.substring(alone, F.lit(1), F.length(alone) - 1), F.lit(',"positions":[')), _bare(F.col("chain")), F.lit("]}"), ",")
+    return joined.select("icao", "last_seen", F.coalesce("part", F.lit(0)).alias("part"), F.when(F.col("part").isNull(), alone).otherwise(text).alias("json"))
 
 
 def kml_fragments(positions: DataFrame, aircraft: DataFrame) -> DataFrame:
-    """(icao, fragment): one line per aircraft in time order, heights in metres; aircraft without positions have none."""
+    """(icao, part, fragment): one line per aircraft in time order, heights in metres; aircraft without positions have none.
+
+    The fragments of an aircraft's parts, joined in order, are its placemark.
+    """
     metres = F.format_string("%.0f", F.round(F.coalesce(F.col("altitude_ft"), F.lit(0)) * FT_M))
     point = F.concat_ws(",", F.col("lon").cast("string"), F.col("lat").cast("string"), metres)
-    rows = _chain(positions, point).join(aircraft, "icao", "left")
+    rows = _parts(positions, point).join(aircraft, "icao", "left")
     label = F.concat(F.coalesce("registration", "icao"), F.when(F.col("country").isNotNull(), F.concat(F.lit(" ("), "country", F.lit(")"))).otherwise(""))
-    text = F.concat(F.lit("<Placemark><name>"), label, F.lit("</name><LineString><coordinates>"), F.array_join("chain", " "), F.lit("</coordinates></LineString></Placemark>"))
-    return rows.select("icao", text.alias("fragment"))
+    head = F.concat(F.lit("<Placemark><name>"), label, F.lit("</name><LineString><coordinates>"))
+    text = _framed(head, F.array_join("chain", " "), F.lit("</coordinates></LineString></Placemark>"), " ")
+    return rows.select("icao", "part", text.alias("fragment"))
 
 
 def geojson_fragments(positions: DataFrame) -> DataFrame:
-    """(icao, kind, feature): a Point for the latest position and, for more than one, a LineString with their number."""
-    rows = _chain(positions, F.array("lon", "lat"))
-    last = F.element_at("chain", -1)
-    feature = lambda kind, coordinates, extra: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct("icao", *extra).alias("properties")))
-    points = rows.select("icao", F.lit("Point").alias("kind"), feature("Point", last, ()).alias("feature"))
-    lines = rows.filter("n > 1").select("icao", F.lit("LineString").alias("kind"), feature("LineString", F.col("chain"), (F.col("n").alias("position_count"),)).alias("feature"))
+    """(icao, kind, part, feature): a Point for the latest position and, for more than one, a LineString with their number.
+
+    A Point has one part; the texts of a LineString's parts, joined in order, are its feature.
+    """
+    latest = F.max_by(F.array("lon", "lat"), F.struct("timestamp", "id"))
+    known = positions.groupBy("icao").agg(latest.alias("last_at"), F.count("*").alias("n"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.col("last_at").alias("coordinates")).alias("geometry"), F.struct("icao").alias("properties")))
+    points = known.select("icao", F.lit("Point").alias("kind"), F.lit(0).cast("long").alias("part"), feature.alias("feature"))
+    head = F.lit('{"type":"Feature","geometry":{"type":"LineString","coordinates":[')
+    tail = F.concat(F.lit(']},"properties":'), F.to_json(F.struct("icao", F.col("n").alias("position_count"))), F.lit("}"))
+    parts = _parts(positions, F.array("lon", "lat")).join(known.filter("n > 1").select("icao", "n"), "icao")
+    lines = parts.select("icao", F.lit("LineString").alias("kind"), "part", _framed(head, _bare(F.col("chain")), tail, ",").alias("feature"))
     return points.unionByName(lines)
 
 

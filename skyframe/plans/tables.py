@@ -164,23 +164,24 @@ def k1_csv_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{FX} SELECT icao, count(*) AS n FROM positions GROUP BY icao")
 def k3_nested_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = K.nested_json(X.aircraft(spark, d), X.positions(spark, d), 1_000_000)
-    parsed = F.from_json("json", "positions ARRAY<STRUCT<timestamp: DOUBLE>>")
-    return rows.select("icao", F.size(parsed["positions"]).cast("long").alias("n"))
+    rows = K.nested_json(X.aircraft(spark, d), X.positions(spark, d), newest=None)
+    return rows.groupBy("icao").agg(F.sum(F.regexp_count("json", F.lit('"timestamp":'))).alias("n"))
 
 
 @query(f"{FX} SELECT icao, length(string_agg('x', '')) AS points FROM positions GROUP BY icao")
 def k4_kml(spark: SparkSession, d: str) -> DataFrame:
     craft = X.aircraft(spark, d).select("icao", F.lit(None).cast("string").alias("registration"), F.lit(None).cast("string").alias("country"))
     rows = K.kml_fragments(X.positions(spark, d), craft)
-    return rows.select("icao", F.size(F.split(F.regexp_extract("fragment", "<coordinates>(.*)</coordinates>", 1), " ")).cast("long").alias("points"))
+    chain = F.regexp_replace("fragment", "<Placemark>.*<coordinates>|</coordinates>.*", "")
+    return rows.groupBy("icao").agg(F.sum(F.size(F.split(F.trim(chain), " "))).alias("points"))
 
 
 @query(f"{FX}, a AS (SELECT icao, count(*) AS n, max_by(lat, (timestamp, id)) AS lat FROM positions GROUP BY icao) SELECT icao, 'Point' AS kind, lat, NULL AS n FROM a UNION ALL SELECT icao, 'LineString', NULL, n FROM a WHERE n > 1")
 def k5_geojson(spark: SparkSession, d: str) -> DataFrame:
     rows = K.geojson_fragments(X.positions(spark, d))
-    point, line = F.get_json_object("feature", "$.geometry.coordinates[1]"), F.get_json_object("feature", "$.properties.position_count")
-    return rows.select("icao", "kind", F.when(F.col("kind") == "Point", point.cast("double")).alias("lat"), line.cast("long").alias("n"))
+    point, line = F.get_json_object("feature", "$.geometry.coordinates[1]"), F.regexp_extract("feature", '"position_count":([0-9]+)', 1)
+    rows = rows.select("icao", "kind", F.when(F.col("kind") == "Point", point.cast("double")).alias("lat"), F.when(line != "", line.cast("long")).alias("n"))
+    return rows.groupBy("icao", "kind").agg(F.max("lat").alias("lat"), F.max("n").alias("n"))
 
 
 @query(f"{FX} SELECT 'adsb' AS layer, CAST('2024-01-01' AS DATE) + CAST(floor((timestamp - 1704067200) / 86400) AS INT) AS dt, icao, lat, speed_kts FROM positions")
