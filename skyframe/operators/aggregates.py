@@ -36,9 +36,9 @@ def heatmap_sample(positions: DataFrame, minutes: float, limit: int, seed: int =
     return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(limit)
 
 
-def density_grid(positions: DataFrame, hours: float, size: float, now: float | None = None) -> DataFrame:
-    """(lat_b, lon_b, cnt): floor cells of the window."""
-    rows = positions.filter(F.col("timestamp") >= clock(positions, now) - hours * 3600)
+def density_grid(positions: DataFrame, hours: float | None, size: float, now: float | None = None) -> DataFrame:
+    """(lat_b, lon_b, cnt): floor cells of the window, or of all positions where hours is None."""
+    rows = positions if hours is None else positions.filter(F.col("timestamp") >= clock(positions, now) - hours * 3600)
     return rows.groupBy(*(F.floor(F.col(c) / size).cast("int").alias(f"{c}_b") for c in ("lat", "lon"))).agg(F.count("*").alias("cnt"))
 
 

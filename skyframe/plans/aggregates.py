@@ -156,6 +156,7 @@ SCORED = (
     "scored AS (SELECT *, f1::INT + f2::INT + 0.5::DOUBLE * f3::INT + 2 * f4::INT + f5::INT + 0.5::DOUBLE * f6::INT AS rule_score, "
     "concat_ws(',', CASE WHEN f1 THEN 'extreme_speed' END, CASE WHEN f2 THEN 'extreme_vertical_rate' END, CASE WHEN f3 THEN 'nonmonotonic_time' END, CASE WHEN f4 THEN 'position_teleport' END, CASE WHEN f5 THEN 'altitude_jump' END, CASE WHEN f6 THEN 'stuck_position' END) AS flags FROM f)"
 )
+#: The grid counts the whole table, as its SQL does; the reference's window of 168 hours is in a query of its own above.
 GRID = (
     "grid AS (SELECT CAST(floor(lat / 0.1) AS INT) AS lat_b, CAST(floor(lon / 0.1) AS INT) AS lon_b, count(*) AS cnt FROM positions GROUP BY 1, 2), "
     "sums AS (SELECT sum(cnt) AS total, count(*) AS cells FROM grid), codes AS (SELECT cnt, sum(cnt) AS weight, -ln((cnt + 1) / ((SELECT total FROM sums) + (SELECT cells FROM sums))) AS code FROM grid GROUP BY cnt), "
@@ -174,12 +175,12 @@ DENSITY = "density AS (SELECT p.id, greatest(0.0, least(5.0, -ln((coalesce(g.cnt
 @query(f"{FX}, {GRID}, {DENSITY} SELECT id, round(density_score, 6) AS density_score FROM density")
 def g2_density_score(spark: SparkSession, d: str) -> DataFrame:
     rows = X.positions(spark, d)
-    return _rounded(G.density_score(rows, A.density_grid(rows, 168, 0.1)).select("id", "density_score"))
+    return _rounded(G.density_score(rows, A.density_grid(rows, None, 0.1)).select("id", "density_score"))
 
 
 @query(f"{FX}, {GRID} SELECT round(o, 6) AS offset, CAST(total AS BIGINT) AS total, cells FROM off, sums")
 def g3_grid_offset(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(G.grid_offset(A.density_grid(X.positions(spark, d), 168, 0.1)))
+    return _rounded(G.grid_offset(A.density_grid(X.positions(spark, d), None, 0.1)))
 
 
 @query(f"{FX}, {SCORED}, {GRID}, {DENSITY}, {LATEST_SIGHTING}, r AS (SELECT s.*, density_score, row_number() OVER (PARTITION BY icao ORDER BY timestamp DESC, s.id DESC) AS rn FROM scored s JOIN density USING (id)) "
@@ -188,11 +189,11 @@ def g3_grid_offset(spark: SparkSession, d: str) -> DataFrame:
        "FROM r LEFT JOIN aircraft USING (icao) LEFT JOIN latest_sighting USING (icao) WHERE rn = 1")
 def g4_latest_scored(spark: SparkSession, d: str) -> DataFrame:
     rows = X.positions(spark, d)
-    scored = G.combined_score(G.density_score(G.score_positions(rows), A.density_grid(rows, 168, 0.1)))
+    scored = G.combined_score(G.density_score(G.score_positions(rows), A.density_grid(rows, None, 0.1)))
     last = P.enrich_positions(P.latest_per_key(scored, ["icao"]), X.aircraft(spark, d), X.sightings(spark, d))
     return last.select("id", "icao", "lat", "lon", "altitude_ft", "timestamp", "is_military", "callsign", F.round("anomaly_score", 6).alias("anomaly_score"), G.tier(F.col("anomaly_score")).alias("tier"))
 
 
 @query(f"{FX}, {GRID} SELECT cells, CAST(total AS BIGINT) AS total, 1.5::DOUBLE AS refreshed_at FROM sums")
 def g6_baseline_health(spark: SparkSession, d: str) -> DataFrame:
-    return G.baseline_health(A.density_grid(X.positions(spark, d), 168, 0.1), 1.5)
+    return G.baseline_health(A.density_grid(X.positions(spark, d), None, 0.1), 1.5)
