@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, source mixing, BPE ids.
 
 Every stage takes what the one before kept, written as Parquet and read again, and all but the last return the
-columns of ``documents``. Its rows can't be expressed in SQL (ORACLE_SQL); tests hold each stage against brute force.
+columns of ``documents``. Its rows can't be expressed in SQL (ORACLE_SQL); ``tests/llm/test_pipeline.py``
+holds the first three stages against brute force, and the last two as parts of the whole.
 """
 
 from __future__ import annotations
