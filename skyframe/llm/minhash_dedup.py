@@ -5,10 +5,10 @@
 2. Documents with the same set form a class; from here on one row stands for a class, so copies cost nothing.
 3. Classes that share a band meet in a bucket. Each member is paired with one pivot; pairs whose collision-corrected
    similarity, estimated from the bits that agree, may reach the threshold are confirmed on the full sets, and
-   confirmed links are merged into components. Members outside a bucket's largest component then meet another pivot
-   in every band. Members of buckets that still hold several components meet a last time, by their rarest shingles,
-   which two sets that reach the threshold must share; this is exact whatever the size of a bucket. Two members of one
-   component need no comparison; no other pair that could link is left out, and there is no cap on bucket sizes.
+   confirmed links are merged into components. Members of buckets that still hold several components meet once more,
+   by the rarest of their differences from the largest component's centre; two that link must share one of these, so
+   this is exact whatever the size of a bucket. Two members of one component need no comparison; no other pair that
+   could link is left out, and there is no cap on bucket sizes.
 4. A document's component is the smallest id it can reach.
 
 A pair at the threshold of 0.8 shares no band with probability (1 - 0.8**7)**72, about 4e-8, and falls below the
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage_table
+from .common import discard, documents, stage_table
 
 BANDS, ROWS, HASHES = 72, 7, 512
 #: Minima that the signature keeps two bits of, in so many longs.
@@ -176,7 +176,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of edges (a, b): the smallest node of each connected component.
 
     Labels move along links and then jump to the label's label, so the rounds grow with the logarithm of the longest
-    path. Each round is a stage table.
+    path. Each round is a stage table; those of earlier rounds go.
     """
     both = stage_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     labels = stage_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
@@ -185,8 +185,10 @@ def components(edges: DataFrame) -> DataFrame:
         moved = labels.join(near, "node").select("node", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         up = labels.select(F.col("node").alias("to"), F.col("comp").alias("up"))
         step = stage_table(moved.join(up, "to", "left").select("node", F.least("to", "up").alias("comp"), "was"), "labels")
+        discard(labels)
         labels = step.select("node", "comp")
         if step.filter("comp <> was").isEmpty():
+            discard(both)
             return labels
 
 
@@ -210,41 +212,75 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """Of pairs (a, b), those whose full sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    """Of distinct pairs (a, b), those whose full sets reach the threshold."""
+    tried = stage_table(_pairs_that_may_link(pairs, classes, percent), "tried")
+    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
     sets = _sets_of(wanted, classes, docs, words, key, text)
 
     def side(s: str) -> DataFrame:
         return sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}"))
 
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = tried.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     rows = both.select("a", "b", "n_a", "n_b", common.alias("common"))
-    return rows.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
-
-
-def _sharing_rare_shingles(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """Pairs (a, b) of members (node, comp) of different components that share one of their rarest shingles.
-
-    With all shingles in one order, two sets that reach the threshold share one among the first n - ceil(n * threshold)
-    + 1 of each: the order is by how many members hold a shingle, rarest first. A shingle whose members are all in one
-    component gives no pairs; elsewhere those outside its largest component meet the others.
+    links = rows.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    links = stage_table(links, "links")
+    discard(tried, sets)
+    return links
+
+
+def _meeting_by_differences(placed: DataFrame, links: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare in buckets of several components, as (links, pairs): links found on the way, and pairs
+    (a, b) that may link. placed: (band, node, comp).
+
+    Members of a bucket are written as differences D from the set p of a node at the centre of the bucket's largest
+    component. With r = (100 - percent) / (100 + percent), x and y link if |D(x) ^ D(y)| = |x ^ y| <= r (|x| + |y|), so
+    they share at least (|D(x)| + |D(y)| - r (|x| + |y|)) / 2 differences. One of a pair isn't linked with p (else both
+    are in its component), say x: |D(x)| > r (|x| + |p|). Then the pair shares over (|D(y)| + r (|p| - |y|)) / 2
+    differences, whatever x, and at least (|D(x)| - r (|x| + |p|)) / 2, whatever y. With all differences in one order,
+    rarest first, two sets that share t of them share one among the first |D| - t + 1 of each; the first one shared
+    also leaves room for the rest behind it on both sides. Members of one family differ from its centre mostly in
+    places of their own, so that few meet.
     """
-    sets = _sets_of(members.select("node"), classes, docs, words, key, text)
-    held = sets.select("node", "n", F.explode("shingles").alias("shingle"))
-    count = held.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = held.join(count, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("known"))
-    # shingles of one member alone come first in its order, and can meet nothing
-    alone = F.col("n") - F.size("known")
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    first = ranked.filter(length > 0).select("node", F.explode(F.slice("known", F.lit(1), length.cast("int"))).alias("k")).select("node", "k.shingle")
-    first = stage_table(first.join(members, "node"), "rarest")
-    sizes = first.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("shingle").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    live = first.join(main, "shingle")
-    rest = live.filter("comp <> main").select("shingle", F.col("node").alias("p"), F.col("comp").alias("p_comp"))
-    met = live.join(rest, "shingle").filter("comp <> p_comp")
-    return met.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    near = stage_table(placed.join(main, "band").select("node", "comp", "main").distinct(), "near")
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("c")).join(labels, "node")
+    centres = degree.groupBy(F.col("comp").alias("main")).agg(F.max_by("node", F.struct("c", "node")).alias("p"))
+    # a component without links is one node, and has its name
+    near = near.join(centres, "main", "left").withColumn("p", F.coalesce("p", "main"))
+    sets = _sets_of(near.select("node").union(near.select("p")).distinct(), classes, docs, words, key, text)
+    centre = sets.select(F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("shingles").alias("set_p"))
+    both = near.join(sets, "node").join(centre, "p")
+    both = both.withColumns({"more": F.array_except("shingles", "set_p"), "less": F.array_except("set_p", "shingles")})
+    common = F.col("n") - F.size("more")
+    linked = 100 * common >= percent * (F.col("n") + F.col("n_p") - common)
+    rows = both.select("node", "p", "main", "n", "n_p", linked.alias("linked"), F.when(linked, F.col("main")).otherwise(F.col("comp")).alias("comp"), (F.col("comp") != F.col("main")).alias("apart"), F.concat("more", "less").alias("d"))
+    rows = stage_table(rows, "differences")
+    discard(sets)
+    found = rows.filter("linked AND apart").select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b"))
+
+    rows = rows.withColumn("u", F.size("d").cast("long")).drop("apart", "p")
+    held = rows.select("main", "node", F.explode("d").alias("e"))
+    count = held.groupBy("main", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    known = held.join(count, ["main", "e"]).groupBy("main", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("known"))
+    whole, part = 100 + percent, 100 - percent
+    # how many of the first differences a member is met by: by any that isn't linked with p, and as one of these by any
+    by = F.col("u") - F.expr(f"({whole} * u + {part} * (n_p - n)) div {2 * whole}")
+    of = F.when(~F.col("linked") & (F.col("comp") != F.col("main")), F.col("u") + 1 - F.greatest(F.lit(1), F.expr(f"({whole} * u - {part} * (n + n_p) + {2 * whole - 1}) div {2 * whole}")))
+    # differences of one member alone come first in its order, and can meet nothing
+    alone = F.col("u") - F.size("known")
+    ranked = rows.drop("d").join(known, ["main", "node"]).withColumns({"by": by, "of": of, "alone": alone})
+    length = F.greatest("by", F.coalesce("of", F.lit(0))) - F.col("alone")
+    first = ranked.filter(length > 0).select("main", "node", "comp", "n", "u", "by", "of", "alone", F.posexplode(F.slice("known", F.lit(1), length.cast("int"))).alias("k", "e"))
+    first = first.select("main", F.col("e.e").alias("e"), "node", "comp", "n", "u", "by", "of", (F.col("alone") + F.col("k") + 1).alias("at"))
+    first = stage_table(first, "marks")
+    x = first.filter("at <= of").select("main", "e", *(F.col(c).alias(f"{c}_x") for c in ("node", "comp", "n", "u", "at")))
+    y = first.filter("at <= by")
+    room = 2 * whole * (1 + F.least(F.col("u") - F.col("at"), F.col("u_x") - F.col("at_x")))
+    needed = whole * (F.col("u") + F.col("u_x")) - part * (F.col("n") + F.col("n_x"))
+    met = x.join(y, ["main", "e"]).filter((F.col("comp") != F.col("comp_x")) & (room >= needed))
+    return found, met.select(F.greatest("node", "node_x").alias("a"), F.least("node", "node_x").alias("b")).distinct()
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,50 +290,29 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     """
     docs = docs.select(key, text)
     sketches = stage_table(sketch(docs, words, key, text), "sketches")
-    classes = sketches.filter("n_shingles > 0").groupBy("node")
-    classes = stage_table(classes.agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("node", F.explode("bands").alias("band"))
+    rows = stage_table(sketches.select("key", "n_shingles", "node"), "rows")
+    members = sketches.filter("node IS NOT NULL").select("node", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     live = stage_table(members.join(shared, "band"), "buckets")
+    ids = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"))
+    bits = sketches.select("node", "bits").join(live.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    classes = stage_table(ids.join(bits, "node", "left"), "classes")
+    discard(sketches)
 
     stars = live.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    tried = stage_table(_pairs_that_may_link(stars, classes, percent), "tried")
-    links = stage_table(_confirmed(tried, classes, docs, words, percent, key, text), "confirmed")
+    links = _confirmed(stars, classes, docs, words, percent, key, text)
     labels = components(links)
-
-    def in_place(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("comp", "node").alias("comp"))
-
-    def take(pairs: DataFrame) -> None:
-        """Confirms pairs that haven't been looked at and merges what they link."""
-        nonlocal tried, links, labels
-        fresh = stage_table(_pairs_that_may_link(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "tried")
-        tried = tried.union(fresh)
-        found = stage_table(_confirmed(fresh, classes, docs, words, percent, key, text), "confirmed")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-
-    # other pivots: in each bucket the members outside its largest component meet one node of that, another in each band
-    live = live.filter("members > 2 AND node <> pivot").select("band", "node")
-    placed = stage_table(in_place(live), "placed")
-    lot = F.xxhash64("node", "band")
-    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("c"), F.min_by("node", lot).alias("some"))
-    main = sizes.groupBy("band").agg(F.max_by("some", "c").alias("pivot"), F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    rest = placed.join(main, "band").filter("comp <> main")
-    take(rest.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
-
-    # what is left: members of buckets that still hold several components. Two sets that reach the threshold share one
-    # of their rarest shingles, so members meet again by these, whatever their number in the bucket
-    placed = stage_table(in_place(live), "placed")
-    main = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    members = placed.join(main, "band", "left_semi").select("node", "comp").distinct()
-    take(_sharing_rare_shingles(members, classes, docs, words, percent, key, text))
+    rest = live.filter("members > 2 AND node <> pivot").select("band", "node")
+    placed = stage_table(rest.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    discard(live)
+    found, pairs = _meeting_by_differences(placed, links, labels, classes, docs, words, percent, key, text)
+    found = found.union(_confirmed(pairs, classes, docs, words, percent, key, text))
+    discard(placed, labels)
+    labels = components(links.union(found))
 
     placed = classes.select("node", "key").join(labels, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("key").alias("component_id"))
     of_node = placed.join(smallest, "comp").select("node", "component_id")
-    rows = sketches.select("key", "n_shingles", "node")
     full = rows.filter("node IS NOT NULL").join(of_node, "node").select("key", "n_shingles", "component_id")
     empty = rows.filter("node IS NULL").select("key", "n_shingles", F.col("key").alias("component_id"))
     out = full.union(empty).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
