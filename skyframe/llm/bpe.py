@@ -20,6 +20,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from hashlib import sha256
 from pathlib import Path
 
 import ahocorasick
@@ -39,7 +40,7 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 GAPS = regex.compile(rf"[{SPACE}]+")
 #: Characters at which str.split() parts and the tokenizer doesn't.
 ODD_GAPS = "\x1c\x1d\x1e\x1f"
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 19
 BLOCK_ROWS = 256
 
 
@@ -104,7 +105,7 @@ class WordBpe:
     def automaton(self) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
         for key, i in self.ids.items():
-            a.add_word(key, i)
+            a.add_word(key, (i, len(key)))
         a.make_automaton()
         return a
 
@@ -144,25 +145,35 @@ class WordBpe:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one word piece, given as text."""
-        key = "".join(self.byte_char[b] for b in piece.encode()) + "\n"
-        longest: list[int | None] = [None] * (len(key) + 1)
-        for end, token in self.automaton.iter(key):
-            longest[end + 1 - self.length[token]] = token  # later ends are longer
-        open_ = bytearray(b"\1" * (len(key) + 1))
-        open_[len(key) - 1] = 0  # the end mark goes with its character
+        plain = piece.isascii() and piece.isprintable()
+        key = (piece if plain else "".join(map(self.byte_char.__getitem__, piece.encode()))) + "\n"
+        size, length, known = len(key), self.length, self.compatible
+        longest: list[int | None] = [None] * (size + 1)
+        for end, (token, n) in self.automaton.iter(key):
+            longest[end + 1 - n] = token  # later ends are longer
+        open_ = bytearray(b"\1" * (size + 1))
+        open_[size - 1] = 0  # the end mark goes with its character
         out: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(key):
-            while token is not None and not (open_[at + self.length[token]] and (not out or self.fits(out[-1], token))):
+        at, token, left = 0, longest[0], -1
+        while at < size:
+            while token is not None:
+                if open_[at + length[token]]:
+                    if left < 0:
+                        break
+                    fits = known.get((left, token))
+                    if fits or fits is None and self.fits(left, token):
+                        break
                 token = self.prefix(token)
             if token is None:
                 open_[at] = 0
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
                 token = self.prefix(token)
+                left = out[-1] if out else -1
             else:
                 out.append(token)
-                at += self.length[token]
+                left = token
+                at += length[token]
                 token = longest[at]
         return out
 
@@ -192,20 +203,37 @@ class WordBpe:
         parts.append(self._plain(text[at:]))
         return np.frombuffer(b"".join(parts), np.int32)
 
+    @staticmethod
+    def _offsets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts in one buffer, each followed by a space, and where each begins."""
+        coded = [t.encode() + b" " for t in texts]
+        return np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)])
+
     @cached_property
-    def offsets(self) -> tuple[np.ndarray, np.ndarray]:
-        """All token texts in one buffer, each followed by a space, and where each begins."""
-        texts = [t.encode() + b" " for t in self.tokens]
-        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    def token_texts(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._offsets(self.tokens)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Token texts with one space between, as the library joins them for a vocabulary without decoder."""
+    @cached_property
+    def id_texts(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._offsets([str(i) for i in range(self.size)])
+
+    @staticmethod
+    def _joined(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> bytes:
+        """The table's texts of some ids, with one space between."""
         if not len(ids):
-            return ""
-        buffer, start = self.offsets
+            return b""
+        buffer, start = table
+        ids = ids.astype(np.int64)
         size = start[ids + 1] - start[ids]
         place = np.arange(size.sum()) + np.repeat(start[ids] - np.cumsum(size) + size, size)
-        return buffer[place].tobytes()[:-1].decode()
+        return buffer[place].tobytes()[:-1]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Token texts in UTF-8 with one space between, as the library joins them for a vocabulary without decoder."""
+        return self._joined(self.token_texts, ids)
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        return self._joined(self.id_texts, ids)
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -258,12 +286,35 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(shared)
         for b in _blocks(batches):
-            texts = [bpe.decode(x.values.to_numpy().astype(np.int64)) if x.is_valid else "" for x in b.column(at)]
+            texts = [bpe.decode(x.values.to_numpy()).decode() if x.is_valid else "" for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     return df.mapInArrow(run, schema)
 
 
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): what ``encode`` and then ``decode`` give for each text, by hash.
+
+    Both run in one pass, so that ids and decoded texts, together several times the input, stay inside the task.
+    """
+    shared = _share(docs.sparkSession, path)
+    rows = docs.select(key, F.col(text).alias("__text"))
+    texts = [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")]
+    schema = T.StructType([rows.schema.fields[0], T.StructField("n_tokens", T.LongType()), *texts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _tables(shared)
+        for b in batches:
+            out: list[tuple[int, str, str]] = []
+            for t in b.column(1):
+                ids = bpe.encode(t.as_py())
+                out.append((len(ids), sha256(bpe.decimal(ids)).hexdigest(), sha256(bpe.decode(ids)).hexdigest()))
+            n, of_ids, of_text = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -271,14 +322,7 @@ def vocabulary_path() -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    path = path or vocabulary_path()
-    rows = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), path, keep=["doc_id"]), path)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return digests(documents(spark, sf_dir), path or vocabulary_path())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:

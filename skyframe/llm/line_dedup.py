@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, documents, stage_table
+from .common import GAP, discard, documents, stage_table
 
 MIN_WORDS = 25
 #: Pieces keep the characters that end them, so that the kept ones make up the text.
@@ -71,7 +71,7 @@ def _windows(hashed: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, th, n_lines, cut): the lines of each distinct document, and those to delete (null for none)."""
+    """(doc_id, th, n_lines, cut), stored: the lines of each distinct document, and those to delete (null for none)."""
     texts = stage_table(_windows(_hashed(docs, text)), "windows")
     own = texts.select("doc_id", "th", F.explode("windows").alias("x")).select("doc_id", "th", "x.g", "x.k", "x.n")
     often = own.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1").select("g")
@@ -85,13 +85,15 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     # a line goes with the blank ones behind it
     end = lambda k: F.coalesce(F.get("at", k + 1), F.col("n_lines").cast("int")) - 1
     cut = F.flatten(F.transform("ks", lambda k: F.sequence(F.get("at", k), end(k))))
-    return both.select("doc_id", "th", "n_lines", cut.alias("cut"))
+    cuts = stage_table(both.select("doc_id", "th", "n_lines", cut.alias("cut")), "cuts")
+    discard(texts, shared)
+    return cuts
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with later repeated runs deleted from their text; adds n_lines, n_deleted and words_deleted (long)."""
     docs = docs.drop("n_lines", "n_deleted", "words_deleted")
-    cuts = stage_table(repeated(docs, text), "cuts")
+    cuts = repeated(docs, text)
     keyed = docs.withColumn("__th", F.xxhash64(text))
     cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("th").alias("__cut_th"), "n_lines", F.col("cut").alias("__cut"))
     joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["__id"]) & (keyed["__th"] == cuts["__cut_th"])).drop("__th", "__id", "__cut_th")

@@ -83,13 +83,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return staged.select(*docs.columns, F.struct(*(c.alias(k) for k, c in values.items())).alias("m"))
 
 
-def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The stored ledger: one row per document with its columns (or those in ``keep``), measurements ``m`` and failure
-    bits ``fail_bits`` (long). Policies filter the stored bits and never reach the rules again."""
+def marked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds measurements ``m`` and failure bits ``fail_bits`` (long): the ledger's rows, before they are stored."""
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    rows = measure(docs, text).withColumn("fail_bits", bits)
+    return measure(docs, text).withColumn("fail_bits", bits)
+
+
+def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The stored ledger: one row per document with its columns (or those in ``keep``), measurements ``m`` and failure
+    bits ``fail_bits`` (long). Policies filter the stored bits and never reach the rules again."""
+    rows = marked(docs, text)
     return stage_table(rows if keep is None else rows.select(*keep, "m", "fail_bits"), "ledger")
 
 
@@ -127,9 +132,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the current policy keeps."""
+    """Pipeline stage: documents that the current policy keeps.
+
+    One policy is applied in one pass, so the ledger isn't stored beside the texts. A rejected row explodes into none:
+    unlike a filter, that can't move below the rules and have them computed again.
+    """
     own = F.struct(*docs.columns).alias("__row")
-    return apply_policy(ledger(docs.select("text", own))).filter("kept").select("__row.*")
+    rows = apply_policy(marked(docs.select("text", own)))
+    return rows.select("__row", F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))).select("__row.*")
 
 
 OP6_SQL = r"""

@@ -123,6 +123,22 @@ def test_near_duplicates_in_families(spark):
     _check_links(spark, rows, 2)
 
 
+def test_near_duplicates_in_a_large_family(spark):
+    """A thousand near copies, most of them linked to the text at the centre, others to a few of each other only."""
+    import random
+
+    r = random.Random(12)
+    base = prose(r, 110).split(" ")
+    rows = []
+    for k in range(1000):
+        w = list(base)
+        for j in r.sample(range(len(w)), r.choice([1, 2, 3, 5, 6, 7, 8])):
+            w[j] = r.choice(base) + r.choice("abc")
+        rows.append((k, " ".join(w[: r.choice([110, 110, 100, 92])]), None))
+    _check_links(spark, rows, 2)
+    assert len({x.component_id for x in minhash_dedup.link(table(spark, rows), 2, 80).collect()}) > 10
+
+
 def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
     import random
 
