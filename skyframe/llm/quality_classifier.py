@@ -138,9 +138,16 @@ def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def train(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Fits to at most ``sample_rows`` of the rows (doc_id, x) that have a label (doc_id, quality)."""
-    known = rows.join(labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("y IN (0, 1)"), "doc_id")
-    drawn = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(9)), "y").limit(sample_rows).select("x", "y").toPandas()
+    """Fits to at most ``sample_rows`` of the rows (doc_id, x) that have a label (doc_id, quality).
+
+    Labelled rows are counted first, so that only hashes below a threshold, of which a third more than needed can be
+    expected, are sorted and limited; a limit alone would send that many rows from every partition to the driver.
+    """
+    marks = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("y IN (0, 1)").withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit(9)))
+    expected = max(1, rows.select("doc_id").join(marks, "doc_id").count())
+    below = -(2**63) + int(2**64 * min(1.0, (4 * sample_rows / 3 + 100) / expected)) - 1
+    known = rows.join(marks.filter(F.col("draw") <= F.lit(below)), "doc_id")
+    drawn = known.orderBy("draw", "y").limit(sample_rows).select("x", "y").toPandas()
     x = np.array(drawn["x"].tolist(), float).reshape(len(drawn), len(STATISTICS))
     return fit(x, drawn["y"].to_numpy(float))
 
