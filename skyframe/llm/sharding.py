@@ -3,11 +3,12 @@
 Records are ordered by a key, the 64-bit hash of their text, so that equal texts come together. A sample in which a
 record's chance follows its size gives the quantiles of the key at which ``RANGES`` ranges of about equal size meet.
 The ranges are then measured. A key that alone holds more than a range's share of bytes or of rows overfills its
-range and is subdivided by a hash of the id; other keys are never split. Ranges in key order are dealt to the shards
-by running size, so a shard differs from its share by less than two ranges.
+range and is subdivided by a hash of the id; other keys are never split. Any other range above its share, or of more
+than ``CELL_ROWS`` rows, is subdivided into equal intervals of the key. The parts in key order are dealt to the shards
+by running size, so a shard differs from its share by less than two of them.
 
-The only rows that the driver sees are the ``RANGES`` - 1 splitters. Ranges are numbered by key, and row numbers are
-taken inside ranges (a few thousandths of the rows at most), so nothing meets in one task.
+The only rows that the driver sees are the ``RANGES`` - 1 splitters. Row numbers are taken inside the parts, whose
+rows don't grow with the table, so nothing meets in one task.
 
 Defined results: a null text counts as empty (size 1, crc32 of no bytes); null ids sort first; repeated rows get slots
 of their own; an empty table gives an empty table; extra columns take no part.
@@ -19,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, stage_table
+from .common import discard, documents, stage_table
 
 RANGES = 1024
 #: Keys drawn for the splitters, on average.
 SAMPLE = 200_000
+#: Rows of a range from which it is subdivided, whatever its share.
+CELL_ROWS = 100_000
 
 
 def _splitters(records: DataFrame, total: int) -> list[int]:
@@ -64,8 +67,17 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     # at most RANGES keys hold more than a share of the bytes and as many more than a share of the rows
     heavy = by_key.filter((F.col("bytes") > share_bytes) | (F.col("rows") > share_rows)).filter("rows > 1").select("key", parts.alias("parts"))
     ranged = records.withColumn("range", _range_of(F.col("key"), cuts)).join(F.broadcast(heavy), "key", "left")
-    sub = F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts"))).otherwise(0).cast("int")
-    ranged = stage_table(ranged.withColumn("heavy", F.when(F.col("parts").isNotNull(), F.col("key"))).withColumn("sub", sub).drop("parts"), "ranged")
+    light = ranged.filter("parts IS NULL").groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    most_rows = min(share_rows, CELL_ROWS)
+    many = F.greatest(F.ceil(F.col("bytes") / share_bytes), F.ceil(F.col("rows") / most_rows))
+    light = light.filter((F.col("bytes") > share_bytes) | (F.col("rows") > most_rows)).select("range", "lo", "hi", many.cast("int").alias("intervals"))
+    ranged = ranged.join(F.broadcast(light), "range", "left")  # RANGES rows at most
+    place = (F.col("key").cast("double") - F.col("lo").cast("double")) / (F.col("hi").cast("double") - F.col("lo").cast("double") + 1)
+    interval = F.coalesce(F.least(F.floor(place * F.col("intervals")), F.col("intervals") - 1), F.lit(0))
+    sub = F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts"))).otherwise(interval).cast("int")
+    ranged = ranged.withColumn("heavy", F.when(F.col("parts").isNotNull(), F.col("key"))).withColumn("sub", sub)
+    ranged = stage_table(ranged.drop("parts", "lo", "hi", "intervals"), "ranged")
+    discard(records)
 
     cell = ["range", "heavy", "sub"]
     cells = ranged.groupBy(*cell).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
@@ -77,7 +89,7 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
 
     same = [ranged[c].eqNullSafe(placed[c]) for c in cell]
     rank = F.row_number().over(Window.partitionBy(*(ranged[c] for c in cell)).orderBy("key", "doc_id"))
-    joined = ranged.join(F.broadcast(placed), same)  # as many rows as ranges and parts of heavy keys
+    joined = ranged.join(F.broadcast(placed), same)  # a few times RANGES, or a row for each CELL_ROWS
     return joined.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("first") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
