@@ -10,47 +10,49 @@ The counts of one source by size are at most the square root of twice its words
 fits a source from its counts alone. Choosing documents within a source and size is done in bins of the hash, so a
 size that holds most rows is spread over many tasks.
 
+Targets need the sources in order: one row per source passes through one task, and one number through the driver.
+
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
-taken 0 words; among equal ids the order is arbitrary but all of them count; an empty table gives an empty table.
+taken 0 words; rows with the same id and text are told apart by nothing, so which of them is taken is arbitrary, but
+all of them count; very long texts are sizes like any other; columns of ``docs`` that aren't asked for, whatever their
+names, play no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import documents, split_words, stage_table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-#: Sources are a dimension: their names and sizes pass through the driver, and more than this many are refused.
-MAX_SOURCES = 1_000_000
 #: Rows that one bin of one (source, size) group holds on average at most, if all rows were in one group.
 BIN_ROWS = 200_000
 LEAST_BINS = 64
 
 
-def targets(sizes: list[int], share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> list[float]:
-    """Targets of sources in order: shares by weight, stopped at ``most`` times the size, the excess shared again."""
-    weight = [weights[k % len(weights)] for k in range(len(sizes))]
-    target, open_, left = [0.0] * len(sizes), set(range(len(sizes))), share * sum(sizes)
-    while open_:
-        unit = left / sum(weight[k] for k in open_)
-        above = {k for k in open_ if unit * weight[k] > most * sizes[k]}
-        for k in above or open_:
-            target[k] = most * sizes[k] if above else unit * weight[k]
-        if not above:
-            break
-        left -= sum(target[k] for k in above)
-        open_ -= above
-    return target
+def goals(totals: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """(sk, words, docs, target), stored, from (sk, words, docs): one row per source, in order of sk.
+
+    Sources get ``share`` of all words by weight; a target stops at ``most`` times its source's words and the excess is
+    shared again. By rising words per weight, sources are full up to the first one that what is left, dealt by weight
+    among it and all behind it, doesn't fill.
+    """
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (1 + (F.row_number().over(Window.orderBy("sk")) - 1) % len(weights)).cast("int"))
+    rows = totals.withColumn("weight", weight).withColumn("full", most * F.col("words"))
+    rising = Window.orderBy(F.col("full") / F.col("weight"), "sk")
+    every = Window.partitionBy()
+    left = share * F.sum("words").over(every) - F.sum("full").over(rising) + F.col("full")
+    unit = left / (F.sum("weight").over(every) - F.sum("weight").over(rising) + F.col("weight"))
+    rows = stage_table(rows.withColumn("unit", unit), "goals")
+    first = rows.filter("unit * weight <= full").orderBy(F.col("full") / F.col("weight"), "sk").select("unit").first()
+    level = F.lit(float(first["unit"]) if first else 0.0)
+    return rows.select("sk", "words", "docs", F.least("full", level * F.col("weight")).alias("target"))
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -101,51 +103,42 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def _plan(target_of: Callable[[pd.DataFrame], float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("size")
-        size, count = group["size"].to_numpy(np.int64), group["docs"].to_numpy(np.int64)
-        whole, target = int((size * count).sum()), target_of(group)
-        copies = int(target // whole) if whole else 0
-        extra = fit(size, count, round(target) - copies * whole)
-        return pd.DataFrame({"source": group["source"], "size": size, "copies": copies, "extra": extra})
-
-    return one
+def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("size")
+    size, count, target = group["size"].to_numpy(np.int64), group["docs"].to_numpy(np.int64), float(group["target"].iloc[0])
+    whole = int((size * count).sum())
+    copies = int(target // whole) if whole else 0
+    extra = fit(size, count, round(target) - copies * whole)
+    return pd.DataFrame({"sk": group["sk"], "size": size, "copies": copies, "extra": extra})
 
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, seed: int = 4, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, carried columns, source, size, source_size, target, copies, taken): how often the mix takes each document."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", *carry, F.col("source").cast("string").alias("source"), F.size(split_words(F.col(text))).cast("long").alias("size"))
-    if not carry:
-        rows = stage_table(rows, "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-    totals = totals.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goal = targets([r["words"] for r in totals], share, most, weights)
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    goals = spark.createDataFrame([(r["source"], r["words"], g) for r, g in zip(totals, goal)], schema)
-
-    bins = max(LEAST_BINS, math.ceil(sum(r["docs"] for r in totals) / BIN_ROWS))
-    lot = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    rows = rows.withColumns({"lot": lot, "bin": F.pmod(lot, F.lit(bins)).cast("int")})
-    binned = stage_table(rows.groupBy("source", "size", "bin").agg(F.count("*").alias("docs")), "bins")
-    counts = binned.groupBy("source", "size").agg(F.sum("docs").alias("docs"))
-    counts = counts.join(goals, counts["source"].eqNullSafe(goals["source"])).select(counts["source"], "size", "docs", "target")
-    plan = counts.groupBy("source").applyInPandas(_plan(lambda g: float(g["target"].iloc[0])), "source string, size long, copies int, extra long")
-
-    same = binned["source"].eqNullSafe(plan["source"]) & (binned["size"] == plan["size"])
-    before = Window.partitionBy("source", "size").orderBy("bin")
-    of_bin = binned.join(plan, same).select(binned["source"], binned["size"], "bin", "docs", "copies", "extra")
-    of_bin = of_bin.withColumn("room", F.col("extra") - F.sum("docs").over(before) + F.col("docs"))
-    of_bin = of_bin.join(goals, of_bin["source"].eqNullSafe(goals["source"])).select(of_bin["source"], "size", "bin", "copies", "room", "source_size", "target")
-
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bin").orderBy("lot", "doc_id"))
-    ranked = rows.withColumn("rank", rank)
-    same = ranked["source"].eqNullSafe(of_bin["source"]) & (ranked["size"] == of_bin["size"]) & (ranked["bin"] == of_bin["bin"])
+    # a key that is never null and sorts like the source, null last
+    sk = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+    lot = F.xxhash64(F.col("doc_id"), F.col(text), F.lit(seed))
+    rows = docs.select("doc_id", *carry, F.col("source").cast("string").alias("source"), sk.alias("sk"), F.size(split_words(F.col(text))).cast("long").alias("size"), lot.alias("lot"))
+    sizes = stage_table(rows.drop(*carry), "sizes")
+    totals = stage_table(sizes.groupBy("sk").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "totals")
+    goal = goals(totals, share, most, weights)
+    docs_in_all = totals.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n")).first()["n"]
+
+    bins = max(LEAST_BINS, math.ceil(docs_in_all / BIN_ROWS))
+    in_bin = F.pmod(F.col("lot"), F.lit(bins)).cast("int").alias("bin")
+    binned = stage_table(sizes.groupBy("sk", "size", in_bin).agg(F.count("*").alias("docs")), "bins")
+    counts = binned.groupBy("sk", "size").agg(F.sum("docs").alias("docs")).join(goal.select("sk", "target"), "sk")
+    plan = counts.groupBy("sk").applyInPandas(_fit_source, "sk string, size long, copies int, extra long")
+
+    before = Window.partitionBy("sk", "size").orderBy("bin")
+    of_bin = binned.join(plan, ["sk", "size"]).withColumn("room", F.col("extra") - F.sum("docs").over(before) + F.col("docs"))
+    of_bin = of_bin.join(goal.select("sk", F.col("words").alias("source_size"), "target"), "sk")
+    of_bin = of_bin.select("sk", "size", "bin", "copies", "room", "source_size", "target")
+
+    # the join has the ranking's own keys, so that carried columns are shuffled once
+    rank = F.row_number().over(Window.partitionBy("sk", "size", "bin").orderBy("lot", "doc_id"))
+    ranked = (rows if carry else sizes).select("*", in_bin).withColumn("rank", rank)
     times = F.col("copies") + F.when(F.col("rank") <= F.col("room"), 1).otherwise(0)
-    joined = ranked.join(of_bin, same).select("doc_id", *carry, ranked["source"], ranked["size"], "source_size", "target", times.alias("copies"))
+    joined = ranked.join(of_bin, ["sk", "size", "bin"]).select("doc_id", *carry, "source", "size", "source_size", "target", times.alias("copies"))
     return joined.withColumn("taken", F.col("copies") * F.col("size"))
 
 

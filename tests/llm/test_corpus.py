@@ -32,11 +32,42 @@ def test_sharding_splits_a_heavy_text(spark):
     assert len(sizes) == 8 and max(sizes) < 1.02 * min(sizes)
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10]) == pytest.approx([20.0, 25 / 3, 50 / 3])
-    assert mixing.targets([0, 0]) == [0.0, 0.0] and mixing.targets([]) == []
-    t = mixing.targets([5, 100, 3, 40])
-    assert sum(t) == pytest.approx(1.5 * 148) and t[0] == 10
+def test_sharding_divides_every_overfull_range(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SAMPLE", 60)  # ranges of very unequal size
+    monkeypatch.setattr(sharding, "RANGES", 128)
+    rows = [(k, f"text {k} " * (1 + k % 7), None) for k in range(5000)] + [(9000 + k, "text 5 " * 6, None) for k in range(3)]
+    out = sharding.shard(table(spark, rows), 8)
+    sizes = [x.b for x in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
+    assert out.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0  # equal texts stay together
+
+
+def _targets(sizes, share=1.5, most=2.0, weights=(3.0, 1.0, 2.0)):
+    """Targets of sources in order: shares by weight, stopped at ``most`` times the size, the excess shared again."""
+    weight = [weights[k % len(weights)] for k in range(len(sizes))]
+    target, open_, left = [0.0] * len(sizes), set(range(len(sizes))), share * sum(sizes)
+    while open_:
+        unit = left / sum(weight[k] for k in open_)
+        above = {k for k in open_ if unit * weight[k] > most * sizes[k]}
+        for k in above or open_:
+            target[k] = most * sizes[k] if above else unit * weight[k]
+        if not above:
+            break
+        left -= sum(target[k] for k in above)
+        open_ -= above
+    return target
+
+
+def test_targets(spark):
+    assert _targets([10, 10, 10]) == pytest.approx([20.0, 25 / 3, 50 / 3])
+    import random
+
+    r = random.Random(6)
+    cases = [[10, 10, 10], [0, 0], [], [5, 100, 3, 40], [7], [0, 9, 1], *([r.choice([0, 1, 5, 50, 700]) for _ in range(r.randint(1, 12))] for _ in range(6))]
+    for sizes in cases:
+        totals = spark.createDataFrame([(f"0{k:03}", n, 1) for k, n in enumerate(sizes)], "sk string, words long, docs long")
+        got = [x.target for x in mixing.goals(totals).orderBy("sk").collect()]
+        assert got == pytest.approx(_targets(sizes))
 
 
 def test_fit_reaches_the_budget():
