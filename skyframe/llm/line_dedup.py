@@ -116,9 +116,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without repeated runs; documents of which nothing is left go."""
-    rows = dedup_lines(docs.withColumn("__row", F.struct(*docs.columns)).select("doc_id", "text", "__row"))
+    others = F.struct(F.lit(0).alias("__one"), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    rows = dedup_lines(docs.select("doc_id", "text", others.alias("__row")))
     rest = rows.filter("n_deleted = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
-    return rest.select(*(F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
+    return rest.select(*(F.col(c) if c in ("doc_id", "text") else F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}
