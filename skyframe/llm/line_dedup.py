@@ -118,7 +118,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without repeated runs; documents of which nothing is left go."""
     others = F.struct(F.lit(0).alias("__one"), *(c for c in docs.columns if c not in ("doc_id", "text")))
     rows = dedup_lines(docs.select("doc_id", "text", others.alias("__row")))
-    rest = rows.filter("n_deleted = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
+    # an emptied text explodes into no row; a filter would move below the cutting and have it done again
+    stays = F.when(F.expr("n_deleted = 0 OR text RLIKE '[^ \\\\t-\\\\r]'"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    rest = rows.select("*", F.explode(stays))
     return rest.select(*(F.col(c) if c in ("doc_id", "text") else F.col("__row")[c].alias(c) for c in docs.columns))
 
 
