@@ -1,12 +1,13 @@
 """Mode S frames as column expressions: parity, addresses, messages, registers.
 
-A frame is upper-case hexadecimal text of 14 or 28 digits. Everything is integer arithmetic on longs inside generated
-code; no Python runs on the rows.
+A frame is upper-case hexadecimal text of 14 or 28 digits. Everything is integer arithmetic on longs; no Python runs
+on the rows. Parity and the larger messages are lambdas, which keeps generated code below the size that compiles.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,24 +42,35 @@ def _remainders(n: int) -> list[int]:
     return out
 
 
-def _xor_bytes(value: Column, n: int, first: int) -> Column:
-    """XOR of what each of the n low bytes of a value leaves; ``first`` bits of data follow them.
+def _of_byte() -> list[int]:
+    """What each value of a byte leaves when 24 bits follow it, from the polynomial."""
+    left = _remainders(8)
+    return [reduce(lambda x, bit: x ^ (left[bit] if byte >> bit & 1 else 0), range(8), 0) for byte in range(256)]
 
-    One table of 256 numbers for each place, made from the polynomial: division is linear, so the parts add up.
-    """
-    left = _remainders(first + 8 * n)[first:]
-    terms = []
-    for k in range(n):
-        table = [reduce(lambda x, bit: x ^ (left[8 * k + bit] if byte >> bit & 1 else 0), range(8), 0) for byte in range(256)]
-        terms.append(F.get(_table(table), F.shiftright(value, 8 * k).bitwiseAND(F.lit(255)).cast("int")))
-    return reduce(lambda a, b: a.bitwiseXOR(b), terms).cast("long")
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` as a lambda: computed once a row, and kept out of the generated code, which has a size limit."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
+def _divide(value: Column, n: int, remainder: Column) -> Column:
+    """The remainder after the n low bytes of a value, first byte first, one look-up in a table of 256 for each."""
+    table = _table(_of_byte())
+
+    def step(r: Column, shift: Column) -> Column:
+        byte = F.shiftright(r, 16).bitwiseXOR(F.call_function("shiftright", value, shift)).bitwiseAND(F.lit(255))
+        return F.shiftleft(r.bitwiseAND(F.lit(0xFFFF)), 8).bitwiseXOR(F.get(table, byte.cast("int")).cast("long"))
+
+    return F.aggregate(_table([8 * k for k in reversed(range(n))]), remainder, step)
 
 
 def data_crc(hex_: Column, long_frame: bool) -> Column:
     """Remainder of the data part (all but the last 6 digits)."""
+    none = F.lit(0).cast("long")
     if not long_frame:
-        return _xor_bytes(number(F.substring(hex_, 1, 8)), 4, 0)
-    return _xor_bytes(number(F.substring(hex_, 1, 12)), 6, 40).bitwiseXOR(_xor_bytes(number(F.substring(hex_, 13, 10)), 5, 0))
+        return _let(number(F.substring(hex_, 1, 8)), lambda a: _divide(a, 4, none))
+    first = _let(number(F.substring(hex_, 1, 12)), lambda a: _divide(a, 6, none))
+    return _let(F.struct(first.alias("r"), number(F.substring(hex_, 13, 10)).alias("b")), lambda x: _divide(x["b"], 5, x["r"]))
 
 
 def crc24(hex_: Column) -> Column:
@@ -231,6 +243,7 @@ def bds60(mb: Column) -> dict[str, Column]:
     }
 
 
+# Ranges in which a register's fields are plausible.
 PLAUSIBLE = {
     "mcp_altitude_ft": (0, 65520), "fms_altitude_ft": (0, 65520), "baro_setting_mb": (800.0, 1200.0), "roll_deg": (-60.0, 60.0),
     "true_track_deg": (0.0, math.nextafter(360.0, 0.0)), "ground_speed_kts": (0, 700), "track_rate_dps": (-16.0, 16.0), "true_airspeed_kts": (0, 700),
@@ -250,8 +263,12 @@ def register_scores(mb: Column) -> Column:
     return F.array(register_score(bds40(mb)), register_score(bds50(mb)), register_score(bds60(mb)))
 
 
-def comm_b(mb: Column, scores: Column) -> Column:
+def comm_b(mb: Column) -> Column:
     """Struct (register, bds40, bds50, bds60) of a 56-bit Comm-B field; null unless one register leads by 4."""
+    return _let(mb, lambda m: _let(register_scores(m), lambda scores: _told(m, scores)))
+
+
+def _told(mb: Column, scores: Column) -> Column:
     ordered = F.array_sort(scores)
     best, lead = F.get(ordered, F.lit(2)), F.get(ordered, F.lit(2)) - F.get(ordered, F.lit(1))
     first = F.array_position(scores, best)
@@ -274,17 +291,17 @@ def decode_messages(frames: DataFrame) -> DataFrame:
     is_ = lambda k: F.col("msg_type") == k
     rows = rows.withColumn("msg_type", kind).filter("crc_ok AND msg_type IS NOT NULL")
     rows = rows.withColumns({
-        "__code": number(F.substring("hex", 5, 4)).bitwiseAND(F.lit(0x1FFF)), "__alt": bits(m, 9, 12), "__scores": F.when(df.isin(20, 21), register_scores(m)),
+        "__code": number(F.substring("hex", 5, 4)).bitwiseAND(F.lit(0x1FFF)), "__alt": bits(m, 9, 12),
     })
     return rows.withColumns({
-        "callsign": F.when(is_("identification"), callsign(m)),
+        "callsign": F.when(is_("identification"), _let(m, callsign)),
         "category": F.when(is_("identification"), bits(m, 6, 3).cast("int")),
-        "altitude_ft": F.when(is_("position") & (tc >= 9), altitude_12(F.col("__alt"))).when(is_("altitude"), altitude_13(code)),
+        "altitude_ft": F.when(is_("position") & (tc >= 9), _let(F.col("__alt"), altitude_12)).when(is_("altitude"), _let(code, altitude_13)),
         "is_surface": F.when(is_("position"), tc < 9),
         "cpr_odd": F.when(is_("position"), bits(m, 22, 1) == 1),
         "cpr_lat": F.when(is_("position"), bits(m, 23, 17)),
         "cpr_lon": F.when(is_("position"), bits(m, 40, 17)),
-        "velocity": F.when(is_("velocity"), velocity(m)),
-        "squawk": F.when(is_("squawk"), squawk_13(code)),
-        "comm_b": F.when(df.isin(20, 21), comm_b(m, F.col("__scores"))),
-    }).drop("me", "__scores", "__code", "__alt")
+        "velocity": F.when(is_("velocity"), _let(m, velocity)),
+        "squawk": F.when(is_("squawk"), _let(code, squawk_13)),
+        "comm_b": F.when(df.isin(20, 21), comm_b(m)),
+    }).drop("me", "__code", "__alt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ def heatmap_density(positions: DataFrame, minutes: float, resolution: float, now
     rows = positions.filter(F.col("timestamp") >= clock(positions, now) - minutes * 60)
     cell = [F.round(F.col(c) / resolution).cast("long").alias(f"{c}_cell") for c in ("lat", "lon")]
     cells = rows.groupBy(*cell).agg(F.count("*").alias("cnt"), F.avg("altitude_ft").cast("int").alias("avg_altitude"))
+    cells = cells.withColumns({c: F.col(f"{c}_cell") * F.lit(resolution) for c in ("lat", "lon")})
     cells = cells.orderBy(F.col("cnt").desc(), "lat_cell", "lon_cell")
     return cells if limit is None else cells.limit(limit)
 
@@ -55,6 +57,26 @@ def rollup(positions: DataFrame, seconds: int, circular: bool = False) -> DataFr
     )
 
 
+def refresh_rollup(old: DataFrame, positions: DataFrame, seconds: int, now: float, start_offset: float, end_offset: float) -> DataFrame:
+    """The rollup with the buckets of a range of time made again from the positions, late ones included.
+
+    Refreshed are the whole buckets from ``now - start_offset`` to ``now - end_offset``; others stay as they are.
+    """
+    lo, hi = (math.floor((now - x) / seconds) * seconds for x in (start_offset, end_offset))
+    inside = (F.col("bucket") >= lo) & (F.col("bucket") < hi)
+    again = positions.filter((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
+    return old.filter(~inside).unionByName(rollup(again, seconds))
+
+
+def stats(tables: dict[str, DataFrame], time_of: str, now: float) -> DataFrame:
+    """One row: how many rows each table has, and ``feed_age_seconds`` of the table ``time_of`` (null if empty)."""
+    parts = [t.agg(F.count("*").alias("n"), (F.max("timestamp") if k == time_of else F.lit(None).cast("double")).alias("t")).withColumn("k", F.lit(k)) for k, t in tables.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.agg(*(F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in tables), F.greatest(F.lit(0.0), F.lit(now) - F.max("t")).alias("feed_age_seconds"))
+
+
 def hourly_counts(positions: DataFrame) -> DataFrame:
     return positions.groupBy(F.window(event_time(), "1 hour")["start"].alias("hour")).agg(F.count("*").alias("cnt"))
 
@@ -98,25 +120,41 @@ def upsert_aircraft(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def upsert_sightings(updates: DataFrame) -> DataFrame:
-    """One row per (icao, capture), a null capture being one of its own; updates come with ``seq``."""
+def upsert_sightings(updates: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """One row per (icao, capture), a null capture being one of its own; updates come with ``seq``.
+
+    Rows of ``old``, the table so far, come before all updates and keep their counts, bounds and first times.
+    """
     order = F.col("seq")
-    return updates.groupBy("icao", "capture_id").agg(
-        _newest("callsign", order).alias("callsign"), _newest("squawk", order).alias("squawk"), F.min("altitude_ft").alias("min_altitude_ft"),
-        F.max("altitude_ft").alias("max_altitude_ft"), F.count("*").alias("message_count"), F.min_by("timestamp", order).alias("first_seen"), F.max_by("timestamp", order).alias("last_seen"),
+    rows = updates.select(
+        "icao", "capture_id", "seq", "callsign", "squawk", F.col("altitude_ft").alias("min_altitude_ft"), F.col("altitude_ft").alias("max_altitude_ft"),
+        F.lit(1).cast("long").alias("message_count"), F.col("timestamp").alias("first_seen"), F.col("timestamp").alias("last_seen"),
+    )
+    if old is not None:
+        rows = old.withColumn("seq", F.lit(-1).cast("long")).unionByName(rows)
+    return rows.groupBy("icao", "capture_id").agg(
+        _newest("callsign", order).alias("callsign"), _newest("squawk", order).alias("squawk"), F.min("min_altitude_ft").alias("min_altitude_ft"),
+        F.max("max_altitude_ft").alias("max_altitude_ft"), F.sum("message_count").alias("message_count"), F.min_by("first_seen", order).alias("first_seen"), F.max_by("last_seen", order).alias("last_seen"),
     )
 
 
-def upsert_vessels(updates: DataFrame) -> DataFrame:
-    """Newest name, type and flag that aren't null; last_seen of the newest update."""
+def upsert_vessels(updates: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """Newest name, type and flag that aren't null; last_seen of the newest update; ``old`` comes before all updates."""
     order = F.col("seq")
-    return updates.groupBy("mmsi").agg(
-        *(_newest(c, order).alias(c) for c in ("name", "vessel_type", "flag")), F.min_by("timestamp", order).alias("first_seen"), F.max_by("timestamp", order).alias("last_seen")
+    rows = updates.withColumns({"first_seen": F.col("timestamp"), "last_seen": F.col("timestamp")}).drop("timestamp")
+    if old is not None:
+        rows = old.withColumn("seq", F.lit(-1).cast("long")).unionByName(rows)
+    return rows.groupBy("mmsi").agg(
+        *(_newest(c, order).alias(c) for c in ("name", "vessel_type", "flag")), F.min_by("first_seen", order).alias("first_seen"), F.max_by("last_seen", order).alias("last_seen")
     )
 
 
-def register_receivers(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(receivers, rejected): the first request for a name wins."""
+def register_receivers(requests: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(receivers, rejected): the first request for a name wins, and one that is in the table ``old`` is taken."""
+    if old is not None:
+        taken = requests.join(old.select("name"), "name", "left_semi")
+        fresh, again = register_receivers(requests.join(old.select("name"), "name", "left_anti"))
+        return old.unionByName(fresh), again.unionByName(taken)
     first = requests.groupBy("name").agg(F.min("seq").alias("seq"))
     return requests.join(first, ["name", "seq"], "left_semi"), requests.join(first, ["name", "seq"], "left_anti")
 
@@ -124,7 +162,7 @@ def register_receivers(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 def receiver_status(heartbeats: DataFrame, now: float, online_seconds: float = 120.0) -> DataFrame:
     """Latest status of each receiver; fields that a heartbeat leaves out keep their last value."""
     order = F.col("received_at")
-    fields: Sequence[str] = ("lat", "lon", "frames_captured", "frames_sent", "uptime_sec")
+    fields: Sequence[str] = ("lat", "lon", "frames_captured", "frames_sent", "active_aircraft", "uptime_sec")
     rows = heartbeats.groupBy("receiver").agg(*(_newest(f, order).alias(f) for f in fields), F.max("received_at").alias("last_heartbeat"))
     return rows.withColumn("online", F.lit(now) - F.col("last_heartbeat") < online_seconds)
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine
+from .aggregates import density_grid
 
 
-def score_positions(positions: DataFrame, order: str = "id") -> DataFrame:
+def score_positions(positions: DataFrame, order: str = "id", key: Sequence[str] = ("icao",)) -> DataFrame:
     """Adds ``rule_score`` and ``flags``; the previous position is the one before in arrival order."""
-    before = Window.partitionBy("icao").orderBy(order)
+    before = Window.partitionBy(*key).orderBy(order)
     prev = F.lag(F.struct("lat", "lon", "altitude_ft", "timestamp")).over(before)
     rows = positions.withColumn("__p", prev)
     p = F.col("__p")
@@ -67,5 +70,14 @@ def tier(score: Column) -> Column:
     return F.when(score < 0.5, "none").when(score < 2, "low").when(score < 4, "med").otherwise("high")
 
 
+def refresh_baseline(positions: DataFrame, now: float, hours: float = 168, size: float = 0.1) -> DataFrame:
+    """The density baseline made anew from a window of positions: its cells with counts, and the median code length.
+
+    A job writes this small table each hour; scores read it instead of the positions.
+    """
+    grid = density_grid(positions, hours, size, now)
+    return grid.crossJoin(F.broadcast(grid_offset(grid).select("offset")))  # one row
+
+
 def baseline_health(grid: DataFrame, refreshed_at: float) -> DataFrame:
     return grid.agg(F.count("*").alias("cells"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("total")).withColumn("refreshed_at", F.lit(refreshed_at))

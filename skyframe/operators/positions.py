@@ -97,6 +97,20 @@ def aircraft_page(aircraft: DataFrame, military: bool | None = None, offset: int
     return aircraft.orderBy(F.col("last_seen").desc(), "icao").offset(offset).limit(max(1, min(5000, limit)))
 
 
+def aircraft_page_total(aircraft: DataFrame, military: bool | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+    """The page with ``total``, the number of aircraft that it was taken from; a page past the end is empty."""
+    rows = aircraft if military is None else aircraft.filter(F.col("is_military") == military)
+    return aircraft_page(rows, None, offset, limit).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+
+
+def get_aircraft(aircraft: DataFrame, icao: str) -> DataFrame:
+    return aircraft.filter(F.col("icao") == icao)
+
+
+def get_receivers(receivers: DataFrame) -> DataFrame:
+    return receivers.orderBy("name")
+
+
 def aircraft_detail(aircraft: DataFrame, positions: DataFrame, events: DataFrame, icao: str, n_positions: int = 100, n_events: int = 50) -> DataFrame:
     """One row: the aircraft with arrays of its newest positions and events."""
 
@@ -174,6 +188,17 @@ def valid_geofences(fences: DataFrame, most: int = 100) -> tuple[DataFrame, Data
     return marked.filter("__ok").drop("__ok"), marked.filter("NOT __ok").drop("__ok")
 
 
+def delete_geofence(fences: DataFrame, fence_id: int) -> DataFrame:
+    return fences.filter(F.col("id") != fence_id)
+
+
+def valid_receivers(receivers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): names of 1 to 64 characters; coordinates, where given, in range."""
+    fine = F.length(F.trim("name")).between(1, 64) & F.coalesce(F.col("lat").between(-90, 90), F.lit(True)) & F.coalesce(F.col("lon").between(-180, 180), F.lit(True))
+    marked = receivers.withColumn("__ok", F.coalesce(fine, F.lit(False)))
+    return marked.filter("__ok").drop("__ok"), marked.filter("NOT __ok").drop("__ok")
+
+
 def cross_validate(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str], tolerance: float = 0.15) -> DataFrame:
     """Field by field agreement of two decode outputs: (field, n_both, n_match, only_a, only_b)."""
     left, right = a.select(key, F.struct(*fields).alias("a")), b.select(key, F.struct(*fields).alias("b"))

@@ -121,15 +121,12 @@ def resolve_positions(messages: DataFrame, receiver: tuple[float, float] | None
     return dealt.mapInPandas(run, "receiver string, icao string, seq long, lat double, lon double, stored boolean")
 
 
-def pair_reports(messages: DataFrame) -> DataFrame:
-    """Adds ``position``, from the latest even and odd report alone: windows only, no fold, so without local fixes."""
-    w = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+def pair_reports(messages: DataFrame, receiver: tuple[float, float] | None = None) -> DataFrame:
+    """Position messages with ``position``: from the latest even and odd report, else near the receiver, else near the
+    aircraft's own last fix. The last makes it recursive, so that it is the fold of ``resolve_positions``."""
     rows = messages.filter("msg_type = 'position'")
-    last = lambda odd: F.last(F.when(F.col("cpr_odd") == odd, F.struct("cpr_lat", "cpr_lon", "timestamp")), ignorenulls=True).over(w)
-    rows = rows.withColumns({"__e": last(False), "__o": last(True)})
-    e, o = F.col("__e"), F.col("__o")
-    fix = cpr.decode_global(e["cpr_lat"], e["cpr_lon"], o["cpr_lat"], o["cpr_lon"], e["timestamp"], o["timestamp"])
-    return rows.withColumn("position", F.when(e.isNotNull() & o.isNotNull(), fix)).drop("__e", "__o")
+    fixes = resolve_positions(messages, receiver).select(*KEY, "seq", F.struct("lat", "lon").alias("position"))
+    return rows.join(fixes, [*KEY, "seq"], "left")
 
 
 def running_state(messages: DataFrame) -> DataFrame:

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from . import positions as P
 
 POSITION_TYPES = ("PositionReport", "StandardClassBPositionReport", "ExtendedClassBPositionReport")
+STATIC_TYPE = "ShipStaticData"
 _INNER = "STRUCT<Latitude: DOUBLE, Longitude: DOUBLE, Sog: DOUBLE, Cog: DOUBLE, TrueHeading: DOUBLE, Name: STRING, Type: INT, ShipType: INT>"
-_META = "STRUCT<MMSI: STRING, ShipName: STRING, latitude: DOUBLE, longitude: DOUBLE>"
-SCHEMA = f"MessageType STRING, MetaData {_META}, Metadata {_META}, Message STRUCT<{', '.join(f'{t}: {_INNER}' for t in (*POSITION_TYPES, 'ShipStaticData', 'StaticDataReport'))}>"
+#: A number that names the ship; text isn't taken for one.
+_META = "STRUCT<MMSI: BIGINT, ShipName: STRING, latitude: DOUBLE, longitude: DOUBLE>"
+SCHEMA = f"MessageType STRING, Message STRUCT<{', '.join(f'{t}: {_INNER}' for t in (*POSITION_TYPES, STATIC_TYPE))}>"
 
 
 def _clean(name: Column) -> Column:
-    text = F.trim(F.regexp_replace(name, "[@ ]+$|^[@ ]+", ""))
+    """Without blanks around it, then without the fill characters behind it, then without blanks again."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), "@+$", ""), r"^\s+|\s+$", "")
     return F.when(text != "", text)
 
 
@@ -23,9 +26,9 @@ def _below(value: Column, sentinel: float) -> Column:
 
 
 def parse_ais(documents: DataFrame, column: str = "value") -> DataFrame:
-    """JSON documents with their fields under ``d``, and ``inner``, the message of the document's own type."""
+    """JSON documents with their fields under ``d``, ``meta``, and ``inner``, the message of the document's own type, where it has one that is read."""
     spark_case = documents.select("*", F.from_json(column, SCHEMA, {"mode": "PERMISSIVE"}).alias("d"))
-    kinds = (*POSITION_TYPES, "ShipStaticData", "StaticDataReport")
+    kinds = (*POSITION_TYPES, STATIC_TYPE)
     inner = F.coalesce(*(F.when(F.col("d.MessageType") == t, F.col(f"d.Message.{t}")) for t in kinds))
     meta = F.coalesce(F.col("meta1"), F.col("meta2"))
     both = spark_case.withColumns({"meta1": F.from_json(F.get_json_object(column, "$.MetaData"), _fields(_META)), "meta2": F.from_json(F.get_json_object(column, "$.Metadata"), _fields(_META))})
@@ -36,21 +39,35 @@ def _fields(struct: str) -> str:
     return struct[len("STRUCT<") : -1].replace(": ", " ")
 
 
+def _mmsi() -> Column:
+    return F.when(F.col("meta.MMSI") >= 0, F.col("meta.MMSI").cast("string"))
+
+
+def _place() -> tuple[Column, Column]:
+    return F.coalesce("inner.Latitude", "meta.latitude"), F.coalesce("inner.Longitude", "meta.longitude")
+
+
+def _kind() -> Column:
+    """What a document gives: a position, static data, or nothing (null)."""
+    lat, lon = _place()
+    read = F.col("inner").isNotNull() & _mmsi().isNotNull()
+    placed = read & F.col("d.MessageType").isin(*POSITION_TYPES) & lat.between(-90, 90) & lon.between(-180, 180)
+    return F.when(placed, "position").when(read & (F.col("d.MessageType") == STATIC_TYPE), "static")
+
+
 def parse_positions(parsed: DataFrame, *keep: str) -> DataFrame:
     """(mmsi, name, lat, lon, sog, cog, heading) of position messages with a place in range; sentinels become null."""
-    lat, lon = F.coalesce("inner.Latitude", "meta.latitude"), F.coalesce("inner.Longitude", "meta.longitude")
-    rows = parsed.filter(F.col("d.MessageType").isin(*POSITION_TYPES) & F.col("meta.MMSI").isNotNull())
-    rows = rows.select(
-        *keep, F.col("meta.MMSI").alias("mmsi"), _clean(F.coalesce("meta.ShipName", "inner.Name")).alias("name"), lat.alias("lat"), lon.alias("lon"),
+    lat, lon = _place()
+    return parsed.filter(_kind() == "position").select(
+        *keep, _mmsi().alias("mmsi"), _clean(F.col("meta.ShipName")).alias("name"), lat.alias("lat"), lon.alias("lon"),
         _below(F.col("inner.Sog"), 102.3).alias("sog"), _below(F.col("inner.Cog"), 360).alias("cog"), _below(F.col("inner.TrueHeading"), 511).alias("heading"),
     )
-    return rows.filter(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
 
 
 def parse_static(parsed: DataFrame, ship_types: DataFrame, *keep: str) -> DataFrame:
     """(mmsi, name, vessel_type, flag) of static messages."""
-    rows = parsed.filter(F.col("d.MessageType").isin("ShipStaticData", "StaticDataReport") & F.col("meta.MMSI").isNotNull())
-    rows = rows.select(*keep, F.col("meta.MMSI").alias("mmsi"), _clean(F.coalesce("inner.Name", "meta.ShipName")).alias("name"), F.coalesce("inner.Type", "inner.ShipType").alias("code"))
+    rows = parsed.filter(_kind() == "static")
+    rows = rows.select(*keep, _mmsi().alias("mmsi"), _clean(F.col("inner.Name")).alias("name"), F.coalesce("inner.Type", "inner.ShipType").alias("code"))
     labelled = with_ship_type(rows, ship_types).withColumnRenamed("label", "vessel_type").drop("code")
     return labelled.withColumn("flag", F.lit(None).cast("string"))
 
@@ -77,12 +94,17 @@ def in_boxes(rows: DataFrame, boxes: list[tuple[float, float, float, float]]) ->
 
 
 def ingest_stats(parsed: DataFrame, seconds: int, time: str = "timestamp") -> DataFrame:
-    """Positions, statics and dropped documents per interval."""
-    kind = F.when(F.col("d.MessageType").isin(*POSITION_TYPES), "position").when(F.col("d.MessageType").isin("ShipStaticData", "StaticDataReport"), "static")
+    """Positions, statics and dropped documents per interval, by what parsing makes of them."""
+    kind = _kind()
     bucket = (F.floor(F.col(time) / seconds) * seconds).cast("double").alias("bucket")
     return parsed.groupBy(bucket).agg(F.count_if(kind == "position").alias("positions"), F.count_if(kind == "static").alias("statics"), F.count_if(kind.isNull()).alias("dropped"))
 
 
+def get_vessels(vessels: DataFrame, limit: int) -> DataFrame:
+    """The vessels heard from last, newest first."""
+    return vessels.orderBy(F.col("last_seen").desc(), "mmsi").limit(limit)
+
+
 def latest_vessel_positions(positions: DataFrame, limit: int, ties: bool = True) -> DataFrame:
     rows = P.latest_with_ties(positions, "mmsi") if ties else P.latest_per_key(positions, ["mmsi"], ("timestamp", "seq"))
     return rows.orderBy(F.col("timestamp").desc(), "mmsi").limit(limit) if ties else rows.orderBy("mmsi").limit(limit)

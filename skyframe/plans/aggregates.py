@@ -14,7 +14,7 @@ from .base import query
 from .positions import LATEST_SIGHTING
 
 FX = X.FX
-CELLS = "cells AS (SELECT CAST(round(lat / 0.05) AS BIGINT) AS lat_cell, CAST(round(lon / 0.05) AS BIGINT) AS lon_cell, count(*) AS cnt, CAST(trunc(avg(altitude_ft)) AS INT) AS avg_altitude FROM positions WHERE timestamp >= (SELECT now FROM clock) - 3600 GROUP BY 1, 2)"
+CELLS = "cells AS (SELECT CAST(round(lat / 0.05) AS BIGINT) AS lat_cell, CAST(round(lon / 0.05) AS BIGINT) AS lon_cell, count(*) AS cnt, CAST(trunc(avg(altitude_ft)) AS INT) AS avg_altitude, CAST(round(lat / 0.05) AS BIGINT) * 0.05::DOUBLE AS lat, CAST(round(lon / 0.05) AS BIGINT) * 0.05::DOUBLE AS lon FROM positions WHERE timestamp >= (SELECT now FROM clock) - 3600 GROUP BY ALL)"
 
 
 def _now(spark: SparkSession, d: str) -> float:
@@ -95,11 +95,11 @@ def a9_feed_freshness(spark: SparkSession, d: str) -> DataFrame:
     return A.feed_freshness(ages)
 
 
-@query(f"{FX} SELECT (SELECT count(*) FROM positions) AS positions, (SELECT count(*) FROM aircraft) AS aircraft, greatest(0.0, (SELECT now FROM clock) + 7.5 - (SELECT max(timestamp) FROM positions)) AS feed_age_seconds")
+@query(f"{FX} SELECT (SELECT count(*) FROM positions) AS positions, (SELECT count(*) FROM aircraft) AS aircraft, (SELECT count(*) FROM sightings) AS sightings, (SELECT count(*) FROM flight_events) AS events, (SELECT count(DISTINCT receiver_id) FROM positions) AS receivers, greatest(0.0, (SELECT now FROM clock) + 7.5 - (SELECT max(timestamp) FROM positions)) AS feed_age_seconds")
 def a8_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = X.positions(spark, d)
-    age = A.feed_age(rows, _now(spark, d) + 7.5).withColumnRenamed("age", "feed_age_seconds")
-    return rows.agg(F.count("*").alias("positions"), F.count_distinct("icao").alias("aircraft")).crossJoin(age)
+    tables = {"positions": rows, "aircraft": X.aircraft(spark, d), "sightings": X.sightings(spark, d), "events": X.flight_events(spark, d), "receivers": rows.select("receiver_id").distinct()}
+    return A.stats(tables, "positions", _now(spark, d) + 7.5)
 
 
 @query(f"{FX}, u AS (SELECT icao, id, CASE WHEN id % 3 = 0 THEN NULL ELSE concat('N', id % 100) END AS registration, CASE WHEN id % 4 = 0 THEN NULL ELSE concat('C', id % 7) END AS country, icao >= 'ADF7C8' AND id % 2 = 0 AS is_military, timestamp FROM positions) "
@@ -118,19 +118,21 @@ def a10_upsert_aircraft(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{FX}, u AS (SELECT *, CASE WHEN id % 10 = 0 THEN NULL ELSE id // 1000 END AS capture_id FROM states) SELECT icao, capture_id, max_by(callsign, id) FILTER (callsign IS NOT NULL) AS callsign, max_by(squawk, id) AS squawk, min(altitude_ft) AS min_altitude_ft, max(altitude_ft) AS max_altitude_ft, count(*) AS message_count, min_by(timestamp, id) AS first_seen, max_by(timestamp, id) AS last_seen FROM u GROUP BY icao, capture_id")
 def a11_upsert_sightings(spark: SparkSession, d: str) -> DataFrame:
     rows = X.states(spark, d).withColumns({"seq": F.col("id"), "capture_id": F.expr("CASE WHEN id % 10 = 0 THEN NULL ELSE id div 1000 END")})
-    return A.upsert_sightings(rows)
+    half = rows.agg(F.max("seq")).first()[0] // 2
+    return A.upsert_sightings(rows.filter(F.col("seq") >= half), A.upsert_sightings(rows.filter(F.col("seq") < half)))
 
 
 @query(f"{FX}, r AS (SELECT concat('rx', user_id % 40) AS name, event_id AS seq, CAST(user_id % 50 AS DOUBLE) AS lat FROM events) SELECT name, min(seq) AS seq, min_by(lat, seq) AS lat FROM r GROUP BY name")
 def a13_register_receivers(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("rx"), (F.col("user_id") % 40).cast("string")).alias("name"), F.col("event_id").alias("seq"), (F.col("user_id") % 50).cast("double").alias("lat"))
-    return A.register_receivers(rows)[0]
+    half = rows.agg(F.max("seq")).first()[0] // 2
+    return A.register_receivers(rows.filter(F.col("seq") >= half), A.register_receivers(rows.filter(F.col("seq") < half))[0])[0]
 
 
-HEARTBEATS = "SELECT concat('rx', user_id % 25) AS receiver, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id % 90 AS DOUBLE) END AS lat, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id % 180 AS DOUBLE) END AS lon, event_id * 3 AS frames_captured, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id * 2 END AS frames_sent, event_id AS uptime_sec, CAST(1704067200 + event_id * 10 AS DOUBLE) AS received_at FROM {events}"
+HEARTBEATS = "SELECT concat('rx', user_id % 25) AS receiver, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id % 90 AS DOUBLE) END AS lat, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id % 180 AS DOUBLE) END AS lon, event_id * 3 AS frames_captured, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id * 2 END AS frames_sent, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 60 END AS active_aircraft, event_id AS uptime_sec, CAST(1704067200 + event_id * 10 AS DOUBLE) AS received_at FROM {events}"
 
 
-@query(f"WITH h AS ({HEARTBEATS.format(events='events')}) SELECT receiver, max_by(lat, received_at) FILTER (lat IS NOT NULL) AS lat, max_by(lon, received_at) FILTER (lon IS NOT NULL) AS lon, max_by(frames_captured, received_at) AS frames_captured, max_by(frames_sent, received_at) FILTER (frames_sent IS NOT NULL) AS frames_sent, max_by(uptime_sec, received_at) AS uptime_sec, max(received_at) AS last_heartbeat, (SELECT max(received_at) FROM h) - max(received_at) < 120 AS online FROM h GROUP BY receiver")
+@query(f"WITH h AS ({HEARTBEATS.format(events='events')}) SELECT receiver, max_by(lat, received_at) FILTER (lat IS NOT NULL) AS lat, max_by(lon, received_at) FILTER (lon IS NOT NULL) AS lon, max_by(frames_captured, received_at) AS frames_captured, max_by(frames_sent, received_at) FILTER (frames_sent IS NOT NULL) AS frames_sent, max_by(active_aircraft, received_at) FILTER (active_aircraft IS NOT NULL) AS active_aircraft, max_by(uptime_sec, received_at) AS uptime_sec, max(received_at) AS last_heartbeat, (SELECT max(received_at) FROM h) - max(received_at) < 120 AS online FROM h GROUP BY receiver")
 def a14_receiver_status(spark: SparkSession, d: str) -> DataFrame:
     beats = spark.sql(HEARTBEATS.replace("{events}", "{t}"), t=spark.read.parquet(f"{d}/events.parquet"))
     return A.receiver_status(beats, beats.agg(F.max("received_at")).first()[0])
@@ -197,3 +199,21 @@ def g4_latest_scored(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{FX}, {GRID} SELECT cells, CAST(total AS BIGINT) AS total, 1.5::DOUBLE AS refreshed_at FROM sums")
 def g6_baseline_health(spark: SparkSession, d: str) -> DataFrame:
     return G.baseline_health(A.density_grid(X.positions(spark, d), None, 0.1), 1.5)
+
+
+WINDOW_GRID = GRID.replace("FROM positions GROUP BY", "FROM positions WHERE timestamp >= (SELECT now FROM clock) - 168 * 3600 GROUP BY")
+
+
+@query(f"{FX}, {WINDOW_GRID} SELECT lat_b, lon_b, cnt, round(o, 6) AS offset FROM grid, off")
+def g5_refresh_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(G.refresh_baseline(X.positions(spark, d), _now(spark, d)))
+
+
+@query(_rollup_sql(300))
+def r5_refresh_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """A rollup that missed the rows of two in three receivers in its second half is whole again after the refresh."""
+    rows, now = X.positions(spark, d), _now(spark, d)
+    begin = rows.agg(F.min("timestamp")).first()[0]
+    middle = (begin + now) / 2
+    old = A.rollup(rows.filter((F.col("timestamp") < middle) | (F.col("receiver_id") == 0)), 300)
+    return _rounded(A.refresh_rollup(old, rows, 300, now, now - middle, -300))

@@ -67,6 +67,25 @@ def p8_all_aircraft(spark: SparkSession, d: str) -> DataFrame:
     return P.aircraft_page(X.aircraft(spark, d), False, 20, 40)
 
 
+@query(f"{FX} SELECT *, (SELECT count(*) FROM aircraft WHERE is_military = false) AS total FROM aircraft WHERE is_military = false ORDER BY last_seen DESC, icao LIMIT 40 OFFSET 20")
+def p8_page_total(spark: SparkSession, d: str) -> DataFrame:
+    return P.aircraft_page_total(X.aircraft(spark, d), False, 20, 40)
+
+
+@query(f"{FX} SELECT * FROM aircraft WHERE icao = (SELECT max(icao) FROM positions)")
+def p12_get_aircraft(spark: SparkSession, d: str) -> DataFrame:
+    return P.get_aircraft(X.aircraft(spark, d), X.positions(spark, d).agg(F.max("icao")).first()[0])
+
+
+RECEIVERS = "SELECT concat(CASE WHEN user_id % 9 = 0 THEN ' ' ELSE 'rx' END, CASE WHEN user_id % 9 = 0 THEN '' ELSE CAST(user_id AS STRING) END) AS name, user_id AS id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(user_id % 120 - 20 AS DOUBLE) END AS lat, CAST(user_id % 400 - 200 AS DOUBLE) AS lon FROM (SELECT DISTINCT user_id FROM {t}) AS u"
+
+
+@query(f"WITH r AS ({RECEIVERS.format(t='events')}) SELECT * FROM r WHERE length(trim(name)) BETWEEN 1 AND 64 AND coalesce(lat BETWEEN -90 AND 90, true) AND coalesce(lon BETWEEN -180 AND 180, true)")
+def p13_valid_receivers(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql(RECEIVERS, t=spark.read.parquet(f"{d}/events.parquet"))
+    return P.get_receivers(P.valid_receivers(rows)[0])
+
+
 @query(
     f"{FX}, one AS (SELECT min(icao) AS icao FROM positions), p AS (SELECT * FROM positions WHERE icao = (SELECT icao FROM one) ORDER BY timestamp DESC, id DESC LIMIT 100), "
     "e AS (SELECT * FROM flight_events WHERE icao = (SELECT icao FROM one) ORDER BY timestamp DESC, id DESC LIMIT 50) "

@@ -27,21 +27,24 @@ SOG = "CASE WHEN event_id % 11 = 0 THEN 102.3 ELSE CAST(event_id % 300 AS DOUBLE
 COG = "CASE WHEN event_id % 13 = 0 THEN 360 ELSE event_id % 360 END"
 HDG = "CASE WHEN event_id % 17 = 0 THEN 511 ELSE event_id % 360 END"
 CODE = "event_id % 110"
+# static data of a kind that isn't read, fill characters before and inside names, numbers of ships as text
+KIND = "CASE WHEN event_id % 25 = 0 THEN 'StaticDataReport' ELSE 'ShipStaticData' END"
+STATIC_NAME = "concat(CASE WHEN event_id % 3 = 0 THEN '@ ' ELSE '' END, 'SHIP@ ', user_id)"
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
     value = f"""CASE WHEN event_id % 5 = 0 THEN
-      format_string('{{"MessageType":"ShipStaticData","MetaData":{{"MMSI":%s,"ShipName":"SHIP %d@@"}},"Message":{{"ShipStaticData":{{"Name":"SHIP %d@@","Type":%d}}}}}}', {MMSI}, user_id, user_id, {CODE})
+      format_string('{{"MessageType":"%s","MetaData":{{"MMSI":%s,"ShipName":"META %d@@"}},"Message":{{"%s":{{"Name":"%sSHIP@ %d@@","Type":%d}}}}}}', {KIND}, {MMSI}, user_id, {KIND}, CASE WHEN event_id % 3 = 0 THEN '@ ' ELSE ' ' END, user_id, {CODE})
      WHEN event_id % 7 = 0 THEN '{{"MessageType":"Other","MetaData":{{"MMSI":1}},"Message":{{}}}}'
-     ELSE concat('{{"MessageType":"PositionReport","', CASE WHEN event_id % 2 = 0 THEN 'MetaData' ELSE 'Metadata' END, '":{{"MMSI":', {MMSI}, ',"ShipName":"', CASE WHEN event_id % 3 = 0 THEN '@@@' ELSE concat('SHIP ', user_id, '  ') END,
+     ELSE concat('{{"MessageType":"PositionReport","', CASE WHEN event_id % 2 = 0 THEN 'MetaData' ELSE 'Metadata' END, '":{{"MMSI":', CASE WHEN event_id % 23 = 0 THEN concat('"', {MMSI}, '"') ELSE {MMSI} END, ',"ShipName":"', CASE WHEN event_id % 3 = 0 THEN '@@@' ELSE concat('SHIP ', user_id, '  ') END,
        '"}},"Message":{{"PositionReport":{{"Latitude":', {LAT}, ',"Longitude":', {LON}, ',"Sog":', {SOG}, ',"Cog":', {COG}, ',"TrueHeading":', {HDG}, '}}}}}}') END"""
     return e.select("event_id", F.expr(value).alias("value"), (F.lit(1704067200.0) + F.col("event_id") * 0.25).alias("timestamp"))
 
 
 VPOS = f"""vpos AS (SELECT event_id, {MMSI} AS mmsi, CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('SHIP ', user_id) END AS name, {LAT} AS lat, {LON} AS lon, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id % 300 AS DOUBLE) / 10 END AS sog,
  CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(event_id % 360 AS DOUBLE) END AS cog, CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(event_id % 360 AS DOUBLE) END AS heading, 1704067200.0::DOUBLE + event_id * 0.25::DOUBLE AS timestamp
- FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND {LAT} BETWEEN -90 AND 90 AND {LON} BETWEEN -180 AND 180)"""
+ FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 23 <> 0 AND {LAT} BETWEEN -90 AND 90 AND {LON} BETWEEN -180 AND 180)"""
 
 
 def _vessel_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -53,18 +56,29 @@ def v1_parse_ais_positions(spark: SparkSession, d: str) -> DataFrame:
     return _vessel_positions(spark, d).drop("timestamp")
 
 
-@query(f"WITH {SHIPS_CTE} SELECT event_id, {MMSI} AS mmsi, concat('SHIP ', user_id) AS name, coalesce(label, 'Unknown') AS vessel_type FROM events LEFT JOIN ships ON {CODE} BETWEEN f AND l WHERE event_id % 5 = 0")
+@query(f"WITH {SHIPS_CTE} SELECT event_id, {MMSI} AS mmsi, {STATIC_NAME} AS name, coalesce(label, 'Unknown') AS vessel_type FROM events LEFT JOIN ships ON {CODE} BETWEEN f AND l WHERE event_id % 5 = 0 AND event_id % 25 <> 0")
 def v2_parse_ais_static(spark: SparkSession, d: str) -> DataFrame:
     return V.parse_static(V.parse_ais(_documents(spark, d)), R.ship_types(spark), "event_id").drop("flag")
 
 
-@query(f"WITH {VPOS}, {SHIPS_CTE}, u AS (SELECT mmsi, name, NULL AS vessel_type, timestamp, event_id AS seq FROM vpos WHERE name IS NOT NULL UNION ALL SELECT {MMSI}, concat('SHIP ', user_id), coalesce(label, 'Unknown'), 1704067200.0::DOUBLE + event_id * 0.25::DOUBLE, event_id FROM events LEFT JOIN ships ON {CODE} BETWEEN f AND l WHERE event_id % 5 = 0) "
+VESSELS = (f"WITH {VPOS}, {SHIPS_CTE}, u AS (SELECT mmsi, name, NULL AS vessel_type, timestamp, event_id AS seq FROM vpos WHERE name IS NOT NULL UNION ALL SELECT {MMSI}, {STATIC_NAME}, coalesce(label, 'Unknown'), 1704067200.0::DOUBLE + event_id * 0.25::DOUBLE, event_id FROM events LEFT JOIN ships ON {CODE} BETWEEN f AND l WHERE event_id % 5 = 0 AND event_id % 25 <> 0) "
        "SELECT mmsi, max_by(name, seq) AS name, max_by(vessel_type, seq) FILTER (vessel_type IS NOT NULL) AS vessel_type, min_by(timestamp, seq) AS first_seen, max_by(timestamp, seq) AS last_seen FROM u GROUP BY mmsi")
+
+
+@query(VESSELS)
 def v4_vessels_upserted(spark: SparkSession, d: str) -> DataFrame:
     docs = V.parse_ais(_documents(spark, d))
     names = V.backfill_names(V.parse_positions(docs, "timestamp", F.col("event_id").alias("seq")))
     statics = V.parse_static(docs, R.ship_types(spark), "timestamp", F.col("event_id").alias("seq"))
-    return A.upsert_vessels(names.unionByName(statics)).drop("flag")
+    updates = names.unionByName(statics)
+    half = spark.read.parquet(f"{d}/events.parquet").agg(F.max("event_id")).first()[0] // 2
+    table = A.upsert_vessels(updates.filter(F.col("seq") < half))
+    return A.upsert_vessels(updates.filter(F.col("seq") >= half), table).drop("flag")
+
+
+@query(f"SELECT * FROM ({VESSELS}) ORDER BY last_seen DESC, mmsi LIMIT 100")
+def v5_get_vessels(spark: SparkSession, d: str) -> DataFrame:
+    return V.get_vessels(v4_vessels_upserted(spark, d), 100)
 
 
 @query(f"WITH {VPOS} SELECT event_id, mmsi, lat, lon FROM vpos WHERE timestamp >= (SELECT max(timestamp) FROM vpos) - 600 ORDER BY timestamp DESC, event_id DESC LIMIT 1000")
@@ -83,15 +97,16 @@ def v8_bounding_boxes(spark: SparkSession, d: str) -> DataFrame:
     return V.in_boxes(_vessel_positions(spark, d), [(-60, -150, -20, -100), (40, -60, 50, -30)]).select("event_id", "mmsi")
 
 
-@query("SELECT floor((1704067200.0::DOUBLE + event_id * 0.25::DOUBLE) / 60) * 60.0::DOUBLE AS bucket, count(*) FILTER (event_id % 5 <> 0 AND event_id % 7 <> 0) AS positions, count(*) FILTER (event_id % 5 = 0) AS statics, count(*) FILTER (event_id % 5 <> 0 AND event_id % 7 = 0) AS dropped FROM events GROUP BY 1")
+@query(f"SELECT floor((1704067200.0::DOUBLE + event_id * 0.25::DOUBLE) / 60) * 60.0::DOUBLE AS bucket, count(*) FILTER (pos) AS positions, count(*) FILTER (sta) AS statics, count(*) FILTER (NOT pos AND NOT sta) AS dropped FROM (SELECT *, event_id % 5 = 0 AND event_id % 25 <> 0 AS sta, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 23 <> 0 AND {LAT} BETWEEN -90 AND 90 AND {LON} BETWEEN -180 AND 180 AS pos FROM events) GROUP BY 1")
 def a18_ais_ingest_stats(spark: SparkSession, d: str) -> DataFrame:
     return V.ingest_stats(V.parse_ais(_documents(spark, d)), 60)
 
 
-@query(f"{FX}, n AS (SELECT icao, timestamp AS t0, lat, lon, id, lead(timestamp) OVER w AS t1, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1 FROM positions WINDOW w AS (PARTITION BY icao ORDER BY timestamp, id)), g AS (SELECT 1704067200.0::DOUBLE + k * 20.0::DOUBLE AS t FROM (SELECT unnest(range(0, 100)) AS k)) "
+@query(f"{FX}, n AS (SELECT icao, timestamp AS t0, lat, lon, id, lead(timestamp) OVER w AS t1, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1 FROM positions WINDOW w AS (PARTITION BY icao ORDER BY timestamp, id)), g AS (SELECT s + k * 20.0::DOUBLE AS t FROM (SELECT min(timestamp) AS s, unnest(range(0, CAST(ceil((max(timestamp) - min(timestamp) + 300) / 20) AS BIGINT))) AS k FROM positions)) "
        "SELECT icao, t, round(CASE WHEN t1 - t0 <= 300 THEN lat + (t - t0) / (t1 - t0) * (lat1 - lat) ELSE lat END, 6) AS lat, round(CASE WHEN t1 - t0 <= 300 THEN lon + (t - t0) / (t1 - t0) * (lon1 - lon) ELSE lon END, 6) AS lon FROM n JOIN g ON t >= t0 AND t < coalesce(t1, 1e18) AND t < CASE WHEN t1 - t0 <= 300 THEN t1 ELSE t0 + 300 END")
 def i1_interpolate_at(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.interpolate_at(X.positions(spark, d), 20.0, 1704067200.0, 1704069200.0)
+    span = X.positions(spark, d).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
+    rows = S.interpolate_at(X.positions(spark, d), 20.0, span["first"], span["last"] + 300)
     return rows.select("icao", "t", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
@@ -119,9 +134,10 @@ def i4_derived_heading(spark: SparkSession, d: str) -> DataFrame:
     return S.derived_heading(X.positions(spark, d), live).select("icao", F.round("heading_deg", 4).alias("heading_deg"))
 
 
-@query(f"{FX} SELECT {COLS} FROM positions WHERE timestamp <= 1704067400.0")
+@query(f"{FX} SELECT {COLS} FROM positions WHERE timestamp <= (SELECT (min(timestamp) + max(timestamp)) / 2 FROM positions)")
 def i5_trail_up_to(spark: SparkSession, d: str) -> DataFrame:
-    return S.trail_up_to(X.positions(spark, d), 1704067400.0)
+    rows = X.positions(spark, d)
+    return S.trail_up_to(rows, rows.agg((F.min("timestamp") + F.max("timestamp")) / 2).first()[0])
 
 
 def _now(spark: SparkSession, d: str) -> float:
@@ -146,10 +162,11 @@ def m3_tiered_retention(spark: SparkSession, d: str) -> DataFrame:
     return M.tiered_retention(X.positions(spark, d), _now(spark, d), 0.5, 0.1, 30).select("id")
 
 
-@query(f"{FX} SELECT icao FROM aircraft WHERE last_seen < (SELECT now FROM clock) - 1 AND icao NOT IN (SELECT icao FROM positions WHERE id % 50 = 0)")
+@query(f"{FX} SELECT icao FROM aircraft WHERE last_seen < (SELECT now FROM clock) - 1 AND icao NOT IN (SELECT icao FROM positions WHERE NOT regexp_matches(icao, '[08]$'))")
 def m4_phantoms(spark: SparkSession, d: str) -> DataFrame:
-    some = X.positions(spark, d).filter("id % 50 = 0")
-    return M.phantoms(X.aircraft(spark, d), some, 1 / 3600, _now(spark, d)).select("icao")
+    """Addresses that end in 0 or 8 never say where they are; all others' positions are looked at."""
+    rows = X.positions(spark, d).withColumn("lat", F.when(~F.col("icao").rlike("[08]$"), F.col("lat")))
+    return M.phantoms(X.aircraft(spark, d), rows.filter("lat IS NOT NULL"), 1 / 3600, _now(spark, d)).select("icao")
 
 
 @query(f"{FX} SELECT {COLS}, CAST(NULL AS DOUBLE) AS anomaly_score FROM positions")

@@ -11,8 +11,6 @@ from skyframe.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-#: Frames are encoded before they are decoded, which takes long to compile; one query stands for their kind here.
-SLOW = {k for k in QUERIES if k.startswith(("d1", "d2", "t1_", "t2_", "t3_", "t9_", "c4_"))} - {"d11_identification", "t3_latest_state"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def _text(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     rows, columns = df.collect(), sorted(df.columns)
