@@ -35,7 +35,7 @@ def heatmap_normalised(cells: DataFrame) -> DataFrame:
 def heatmap_sample(positions: DataFrame, minutes: float, limit: int, seed: int = 1, now: float | None = None) -> DataFrame:
     """A seeded random sample of the points in the window."""
     rows = positions.filter(F.col("timestamp") >= clock(positions, now) - minutes * 60)
-    return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(limit)
+    return rows.orderBy(F.md5(F.concat_ws(":", "id", F.lit(seed)).cast("binary")), "id").limit(limit)
 
 
 def density_grid(positions: DataFrame, hours: float | None, size: float, now: float | None = None) -> DataFrame:

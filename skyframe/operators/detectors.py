@@ -111,17 +111,22 @@ def geofence_entry(states: DataFrame, fences: DataFrame) -> DataFrame:
     return rows.select("icao", F.lit("geofence_entry").alias("event_type"), text.alias("description"), "lat", "lon", "altitude_ft", "timestamp", "id", "fence")
 
 
-def proximity(states: DataFrame, tick: float = 10.0, max_nm: float = 5.0, max_ft: float = 1000.0) -> DataFrame:
+def proximity(states: DataFrame, tick: float = 10.0, max_nm: float = 5.0, max_ft: float = 1000.0, silence: float = 60.0) -> DataFrame:
     """Pairs (a, b, nm, tick) of aircraft closer than the limits at the same tick; unknown altitudes don't separate.
 
-    At each tick an aircraft stands where it was last in that tick. Points meet by cells as high as the radius and, by
+    At each tick an aircraft stands where it was last, as long as it isn't silent for more than ``silence`` seconds at
+    the tick's end; so a state counts for a few ticks at most. Points meet by cells as high as the radius and, by
     rows of latitude, as wide as it: the first of a pair looks into its own and the eight cells around, the join is an
     equality on (tick, row, column). Columns wrap at the antimeridian; polar rows are a single column.
     """
     height = max_nm / 60.0
     at = F.floor(F.col("timestamp") / tick).cast("long")
     last = states.withColumn("tick", at).groupBy("tick", "icao").agg(F.max_by(F.struct("lat", "lon", "altitude_ft", "timestamp", "callsign", "id"), "id").alias("s"))
-    points = last.select("tick", "icao", "s.*").filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn("row", F.floor(F.col("lat") / height).cast("long"))
+    until = F.floor((F.col("s.timestamp") + silence) / tick).cast("long") - 1
+    following = F.coalesce(F.lead("tick").over(Window.partitionBy("icao").orderBy("tick")) - 1, until)
+    held = last.withColumn("__to", F.least(until, following, states.agg(F.max(at)).scalar()))
+    held = held.select(F.explode(F.sequence("tick", F.greatest("tick", "__to"))).alias("tick"), "icao", "s")
+    points = held.select("tick", "icao", "s.*").filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn("row", F.floor(F.col("lat") / height).cast("long"))
 
     def columns(row: Column) -> Column:
         """Columns of a row of cells: as many as keep a cell as wide as the radius at the row's far edge."""
@@ -136,13 +141,26 @@ def proximity(states: DataFrame, tick: float = 10.0, max_nm: float = 5.0, max_ft
     around = F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: F.pmod(column(F.col("lon"), F.col("row")) + k, columns(F.col("row"))))
     look = look.withColumn("col", F.explode(F.array_distinct(around)))
     a = look.select("tick", "row", "col", *(F.col(c).alias(f"a_{c}") for c in ("icao", "lat", "lon", "altitude_ft", "timestamp", "callsign", "id")))
-    b = cells.select("tick", "row", "col", *(F.col(c).alias(f"b_{c}") for c in ("icao", "lat", "lon", "altitude_ft", "callsign")))
+    b = cells.select("tick", "row", "col", *(F.col(c).alias(f"b_{c}") for c in ("icao", "lat", "lon", "altitude_ft", "callsign", "id")))
     nm = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     apart = F.abs(F.col("a_altitude_ft") - F.col("b_altitude_ft"))
     pairs = a.join(b, ["tick", "row", "col"]).filter(F.col("a_icao") < F.col("b_icao")).withColumn("nm", nm)
     return pairs.filter((F.col("nm") <= max_nm) & (F.coalesce(apart, F.lit(0)) <= max_ft)).drop("row", "col")
 
 
+def proximity_events(pairs: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The first tick of each pair, told once until either aircraft's contact session ends; with ``other``, the second one."""
+    of = lambda s: sessions.select(F.col("id").alias(f"{s}_id"), F.col("session").alias(f"{s}_session"))
+    rows = pairs.join(of("a"), "a_id").join(of("b"), "b_id")
+    name = lambda s: F.coalesce(f"{s}_callsign", f"{s}_icao")
+    text = F.concat(F.lit("Proximity alert: "), name("a"), F.lit(" and "), name("b"), F.format_string(" within %.1f nm", F.col("nm")))
+    event = F.struct(
+        F.col("a_icao").alias("icao"), F.lit("proximity").alias("event_type"), text.alias("description"), F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"),
+        F.col("a_altitude_ft").alias("altitude_ft"), F.col("a_timestamp").alias("timestamp"), F.col("a_id").alias("id"), F.col("b_icao").alias("other"),
+    )
+    return rows.groupBy("a_icao", "b_icao", "a_session", "b_session").agg(F.min_by(event, "tick").alias("e")).select("e.*")
+
+
 def dedup_events(events: DataFrame, sessions: DataFrame, keys: tuple[str, ...] = ("icao", "event_type")) -> DataFrame:
     """The first event of each key in each contact session of its aircraft."""
     rows = events.join(sessions.select("id", "session"), "id")
@@ -151,14 +169,16 @@ def dedup_events(events: DataFrame, sessions: DataFrame, keys: tuple[str, ...] =
 
 
 def detect_all(states: DataFrame, fences: DataFrame, airports: DataFrame) -> DataFrame:
-    """All single-aircraft events, the first of each kind (and fence) in each contact session."""
+    """All events: the first of each kind (and fence) in each contact session, and the first of each close pair."""
     history = with_history(states)
     plain = [military(states), emergency(states), rapid_descent(states), low_altitude(states), circling(history), holding(history), unusual_altitude(states, airports)]
     rows = plain[0]
     for more in plain[1:]:
         rows = rows.unionByName(more)
     rows = rows.withColumn("fence", F.lit(None).cast("string")).unionByName(geofence_entry(states, fences))
-    return dedup_events(rows, contact_sessions(states), ("icao", "event_type", "fence"))
+    sessions = contact_sessions(states)
+    close = proximity_events(proximity(states), sessions).drop("other").withColumn("fence", F.lit(None).cast("string"))
+    return dedup_events(rows, sessions, ("icao", "event_type", "fence")).unionByName(close)
 
 
 def enrich_description(events: DataFrame, types: DataFrame) -> DataFrame:

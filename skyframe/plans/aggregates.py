@@ -14,6 +14,7 @@ from .base import query
 from .positions import LATEST_SIGHTING
 
 FX = X.FX
+COLS = X.COLUMNS
 CELLS = "cells AS (SELECT CAST(round(lat / 0.05) AS BIGINT) AS lat_cell, CAST(round(lon / 0.05) AS BIGINT) AS lon_cell, count(*) AS cnt, CAST(trunc(avg(altitude_ft)) AS INT) AS avg_altitude, CAST(round(lat / 0.05) AS BIGINT) * 0.05::DOUBLE AS lat, CAST(round(lon / 0.05) AS BIGINT) * 0.05::DOUBLE AS lon FROM positions WHERE timestamp >= (SELECT now FROM clock) - 3600 GROUP BY ALL)"
 
 
@@ -40,7 +41,7 @@ def a3_heatmap_recent(spark: SparkSession, d: str) -> DataFrame:
     return P.recent(X.positions(spark, d), 30, 50_000).select("lat", "lon")
 
 
-@query()
+@query(f"{FX} SELECT {COLS} FROM positions WHERE timestamp >= (SELECT now FROM clock) - 3600 ORDER BY md5(concat(id, ':1')), id LIMIT 1000")
 def a4_heatmap_sample(spark: SparkSession, d: str) -> DataFrame:
     return A.heatmap_sample(X.positions(spark, d), 60, 1000)
 

@@ -158,7 +158,22 @@ def x8_geofence_entry(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(sessions.select("id", "session"), "id").select("icao", "fence", "session", "id")
 
 
-@query(f"{FX}, l AS (SELECT CAST(floor(timestamp / 10) AS BIGINT) AS tick, icao, max_by(lat, id) AS lat, max_by(lon, id) AS lon, arg_max_null(altitude_ft, id) AS alt FROM states GROUP BY 1, 2) SELECT a.tick, a.icao AS a_icao, b.icao AS b_icao, round({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 4) AS nm FROM l a JOIN l b ON a.tick = b.tick AND a.icao < b.icao WHERE {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 5 AND coalesce(abs(a.alt - b.alt), 0) <= 1000")
+PAIRS = (
+    "tick_last AS (SELECT CAST(floor(timestamp / 10) AS BIGINT) AS tick, icao, max(id) AS id FROM states GROUP BY 1, 2), "
+    "tick_held AS (SELECT l.*, s.lat, s.lon, s.altitude_ft AS alt, least(CAST(floor((s.timestamp + 60) / 10) AS BIGINT) - 1, coalesce(lead(tick) OVER (PARTITION BY l.icao ORDER BY tick) - 1, 9e15::BIGINT), (SELECT max(tick) FROM tick_last)) AS until FROM tick_last l JOIN states s USING (id)), "
+    "tick_state AS (SELECT * EXCLUDE (tick, until), unnest(range(tick, greatest(tick, until) + 1)) AS tick FROM tick_held), "
+    f"pairs AS (SELECT a.tick, a.icao AS a_icao, b.icao AS b_icao, a.id AS a_id, b.id AS b_id, {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS nm FROM tick_state a JOIN tick_state b ON a.tick = b.tick AND a.icao < b.icao WHERE {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 5 AND coalesce(abs(a.alt - b.alt), 0) <= 1000)"
+)
+CLOSE = "close AS (SELECT a_icao AS icao, b_icao AS other, min_by(a_id, tick) AS id FROM pairs JOIN sessions x ON x.id = a_id JOIN sessions y ON y.id = b_id GROUP BY a_icao, b_icao, x.session, y.session)"
+
+
+@query(f"{FX}, {SESSIONS}, {PAIRS}, {CLOSE} SELECT icao, other, id FROM close")
+def x9_proximity_events(spark: SparkSession, d: str) -> DataFrame:
+    states = X.states(spark, d)
+    return D.proximity_events(D.proximity(states), D.contact_sessions(states)).select("icao", "other", "id")
+
+
+@query(f"{FX}, {PAIRS} SELECT tick, a_icao, b_icao, round(nm, 4) AS nm FROM pairs")
 def x9_proximity(spark: SparkSession, d: str) -> DataFrame:
     return D.proximity(X.states(spark, d)).select("tick", "a_icao", "b_icao", F.round("nm", 4).alias("nm"))
 
@@ -178,7 +193,7 @@ ALL_EVENTS = (
     "UNION ALL SELECT o.icao, o.id, 'holding_pattern', NULL FROM o JOIN al USING (id) JOIN two USING (id) WHERE o.k >= 8 AND na >= 4 AND spread <= 500 AND nh >= 8 AND n1 >= 2 AND n2 >= 2 AND abs(CASE WHEN sep > 18 THEN 36 - sep ELSE sep END - 18) <= 3 "
     "UNION ALL SELECT icao, id, 'unusual_altitude', NULL FROM states WHERE speed_kts > 200 AND altitude_ft > 0 AND altitude_ft < 3000 AND id NOT IN (SELECT id FROM near) "
     f"UNION ALL SELECT s.icao, s.id, 'geofence_entry', f.name FROM states s, fences f WHERE {haversine_sql('f.lat', 'f.lon', 's.lat', 's.lon')} <= radius_nm) "
-    "SELECT icao, event_type, fence, min(id) AS id FROM e JOIN sessions USING (id) GROUP BY icao, event_type, fence, session"
+    f", {PAIRS}, {CLOSE} SELECT icao, event_type, fence, min(id) AS id FROM e JOIN sessions USING (id) GROUP BY icao, event_type, fence, session UNION ALL SELECT icao, 'proximity', NULL, id FROM close"
 )
 
 

@@ -280,3 +280,43 @@ def t12_merge_receivers(spark: SparkSession, d: str) -> DataFrame:
     rows = X.states(spark, d).select("id", "icao", "receiver_id", F.concat(F.lit("r"), F.col("receiver_id").cast("string")).alias("receiver"))
     known = spark.createDataFrame([("r0", 70), ("r1", 71)], "receiver string, receiver_id long")
     return C.merge_receivers([rows.filter(F.col("receiver_id") == k) for k in range(3)], known).select("id", "icao", "receiver_id")
+
+
+@query(f"{STORED}, f AS (SELECT concat('r', receiver_id) AS receiver, CAST(sum(5 + (callsign IS NOT NULL)::INT + (altitude_ft IS NOT NULL)::INT) AS BIGINT) AS total, 2 * count(*) - count(DISTINCT icao) AS positions FROM states GROUP BY 1), s AS (SELECT concat('r', receiver_id) AS receiver, count(*) AS n FROM stored JOIN states ON id = seq // 7 GROUP BY 1) SELECT receiver, total, total AS valid, positions, positions - n AS skipped FROM f JOIN s USING (receiver)")
+def t10_counters(spark: SparkSession, d: str) -> DataFrame:
+    parsed = M.parse_frames(frames(spark, d))
+    decoded = M.decode_messages(parsed)
+    return T.counters(parsed, decoded, T.resolve_positions(decoded))
+
+
+def _fields(spark: SparkSession, d: str, parts: list[tuple[str, int]]) -> DataFrame:
+    """(id, mb): fields (expression of id, lowest bit) put together into the 56 bits of a message."""
+    value = F.lit(0).cast("long")
+    for e, to in parts:
+        value = value.bitwiseOR(F.shiftleft(F.expr(e).cast("long"), to))
+    return X.states(spark, d).select("id", value.alias("mb"))
+
+
+@query(f"{FX}, r AS (SELECT id, id % 1024 AS v, id % 2 AS known, id * 7 % 1024 AS h, id * 11 % 512 AS r, id % 3 AS down FROM states) SELECT id, CASE WHEN v > 0 THEN CAST(v - 1 AS DOUBLE) END AS speed_kts, CASE WHEN known = 1 THEN round(h * 360.0::DOUBLE / 1024, 2) END AS heading_deg, CAST(CASE WHEN r > 0 THEN CASE WHEN down = 1 THEN -1 ELSE 1 END * (r - 1) * 64 END AS INT) AS vertical_rate_fpm, CASE WHEN id % 5 = 0 THEN 'tas' ELSE 'ias' END AS speed_type FROM r")
+def d14_airspeed(spark: SparkSession, d: str) -> DataFrame:
+    rows = _fields(spark, d, [("19", 51), ("3", 48), ("id % 2", 42), ("id * 7 % 1024", 32), ("if(id % 5 = 0, 1, 0)", 31), ("id % 1024", 21), ("if(id % 3 = 1, 1, 0)", 10), ("id * 11 % 512", 1)])
+    return rows.select("id", M.velocity(F.col("mb")).alias("v")).select("id", "v.*")
+
+
+SIGNED = "CASE WHEN {0} >= {1} THEN {0} - 2 * {1} ELSE {0} END"
+
+
+def _signed_sql(e: str, width: int) -> str:
+    return "(" + SIGNED.format(f"({e})", 1 << (width - 1)) + ")"
+
+
+@query(f"{FX} SELECT id, CASE WHEN id % 2 = 1 THEN {_signed_sql('id * 3 % 1024', 10)} * 45.0::DOUBLE / 256 END AS roll_deg, CASE WHEN id % 3 = 1 THEN fmod({_signed_sql('id * 5 % 2048', 11)} * 90.0::DOUBLE / 512 + 360, 360) END AS true_track_deg, CAST(id * 7 % 1024 * 2 AS INT) AS ground_speed_kts, {_signed_sql('id * 11 % 1024', 10)} * 8.0::DOUBLE / 256 AS track_rate_dps, CAST(id * 13 % 1024 * 2 AS INT) AS true_airspeed_kts FROM states")
+def d22_bds50(spark: SparkSession, d: str) -> DataFrame:
+    rows = _fields(spark, d, [("id % 2", 55), ("id * 3 % 1024", 45), ("if(id % 3 = 1, 1, 0)", 44), ("id * 5 % 2048", 33), ("1", 32), ("id * 7 % 1024", 22), ("1", 21), ("id * 11 % 1024", 11), ("1", 10), ("id * 13 % 1024", 0)])
+    return rows.select("id", *(c.alias(k) for k, c in M.bds50(F.col("mb")).items()))
+
+
+@query(f"{FX} SELECT id, CASE WHEN id % 2 = 1 THEN fmod({_signed_sql('id * 5 % 2048', 11)} * 90.0::DOUBLE / 512 + 360, 360) END AS magnetic_heading_deg, CASE WHEN id % 3 = 1 THEN CAST(id * 7 % 1024 AS INT) END AS indicated_airspeed_kts, round((id * 3 % 1024) * 2.048::DOUBLE / 512, 6) AS mach, CAST({_signed_sql('id * 11 % 1024', 10)} * 32 AS INT) AS baro_vertical_rate_fpm, CAST({_signed_sql('id * 13 % 1024', 10)} * 32 AS INT) AS inertial_vertical_rate_fpm FROM states")
+def d23_bds60(spark: SparkSession, d: str) -> DataFrame:
+    rows = _fields(spark, d, [("id % 2", 55), ("id * 5 % 2048", 44), ("if(id % 3 = 1, 1, 0)", 43), ("id * 7 % 1024", 33), ("1", 32), ("id * 3 % 1024", 22), ("1", 21), ("id * 11 % 1024", 11), ("1", 10), ("id * 13 % 1024", 0)])
+    return rows.select("id", *((F.round(c, 6) if k == "mach" else c).alias(k) for k, c in M.bds60(F.col("mb")).items()))

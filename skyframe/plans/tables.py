@@ -126,7 +126,8 @@ def i3_trail_segments(spark: SparkSession, d: str) -> DataFrame:
     return S.trail_segments(X.positions(spark, d)).select("icao", "id", "segment")
 
 
-@query()
+@query(f"{FX}, n AS (SELECT icao, lat, lon, row_number() OVER w AS k, lead(lat) OVER w AS lat0, lead(lon) OVER w AS lon0 FROM positions WHERE icao IN (SELECT icao FROM aircraft WHERE last_seen < (SELECT now FROM clock) - 2) WINDOW w AS (PARTITION BY icao ORDER BY timestamp DESC, id DESC)), "
+       "r AS (SELECT icao, degrees(atan2(sin(radians(lon - lon0)) * cos(radians(lat)), cos(radians(lat0)) * sin(radians(lat)) - sin(radians(lat0)) * cos(radians(lat)) * cos(radians(lon - lon0)))) AS d FROM n WHERE k = 1 AND lat0 IS NOT NULL) SELECT icao, round(CASE WHEN d < 0 THEN d + 360 ELSE d END, 4) AS heading_deg FROM r")
 def i4_derived_heading(spark: SparkSession, d: str) -> DataFrame:
     rows = X.aircraft(spark, d)
     now = rows.agg(F.max("last_seen")).first()[0]
