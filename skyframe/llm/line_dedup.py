@@ -74,9 +74,10 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, th, n_lines, cut), stored: the lines of each distinct document, and those to delete (null for none)."""
     texts = stage_table(_windows(_hashed(docs, text)), "windows")
     own = texts.select("doc_id", "th", F.explode("windows").alias("x")).select("doc_id", "th", "x.g", "x.k", "x.n")
-    often = own.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1").select("g")
+    # what is joined with is written first: between two plain tables Spark can split the rows of a very common window
+    often = stage_table(own.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1").select("g"), "often")
     shared = stage_table(own.join(often, "g", "left_semi"), "shared")
-    first = shared.groupBy("g").agg(F.min(F.struct("doc_id", "th", "k")).alias("f"))
+    first = stage_table(shared.groupBy("g").agg(F.min(F.struct("doc_id", "th", "k")).alias("f")), "first")
     later = shared.join(first, "g").filter("NOT (doc_id <=> f.doc_id AND th = f.th AND k = f.k)")
     runs = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("k", "n")).alias("runs"))
     runs = runs.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["k"], x["k"] + x["n"] - 1)))).alias("ks"))
@@ -86,7 +87,7 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     end = lambda k: F.coalesce(F.get("at", k + 1), F.col("n_lines").cast("int")) - 1
     cut = F.flatten(F.transform("ks", lambda k: F.sequence(F.get("at", k), end(k))))
     cuts = stage_table(both.select("doc_id", "th", "n_lines", cut.alias("cut")), "cuts")
-    discard(texts, shared)
+    discard(texts, often, shared, first)
     return cuts
 
 
