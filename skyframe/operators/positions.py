@@ -156,6 +156,17 @@ def trail_table(minutes: float) -> str:
     return "positions" if minutes <= 120 else "positions_30s" if minutes <= 360 else "positions_5m"
 
 
+def tiered_trails(tables: dict[str, DataFrame], minutes: float, per_aircraft: int, now: float) -> DataFrame:
+    """(icao, timestamp, lat, lon, altitude_ft): trails from the table that serves their length; raw positions count
+    receivers that saw the same moment once, rollups stand at the start of their bucket."""
+    name = trail_table(minutes)
+    columns = ("icao", "timestamp", "lat", "lon", "altitude_ft")
+    if name == "positions":
+        return trails(tables[name], minutes, per_aircraft, now, dedup_receivers=True).select(*columns)
+    rows = tables[name].withColumnRenamed("bucket", "timestamp").filter(F.col("timestamp") >= now - minutes * 60)
+    return newest_per_key(rows, ["icao"], per_aircraft, ("timestamp",)).select(*columns)
+
+
 def nested_trails(positions: DataFrame, per_aircraft: int) -> DataFrame:
     """(icao, points): newest points of each aircraft in time order."""
     rows = newest_per_key(positions, ["icao"], per_aircraft)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as A
 from ..operators import positions as P
 from . import fixtures as X
 from .base import query
@@ -192,3 +193,19 @@ def j13_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     rows = X.positions(spark, d).select("id", "altitude_ft", "speed_kts", "heading_deg")
     b = rows.filter("id % 10 <> 5").withColumns({"altitude_ft": F.when(F.col("id") % 50 == 1, F.col("altitude_ft") + 25).otherwise(F.col("altitude_ft")), "speed_kts": F.col("speed_kts") + 0.1})
     return P.cross_validate(rows.filter("id % 10 <> 0"), b, "id", ["altitude_ft", "speed_kts", "heading_deg"])
+
+
+def _tier(seconds: int, minutes: int) -> str:
+    return (
+        f"SELECT {minutes} AS minutes, icao, timestamp, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT icao, floor(timestamp / {seconds}) * {seconds}.0::DOUBLE AS timestamp, avg(lat) AS lat, avg(lon) AS lon FROM positions GROUP BY 1, 2) "
+        f"WHERE timestamp >= (SELECT now FROM clock) - {minutes * 60} QUALIFY row_number() OVER (PARTITION BY icao ORDER BY timestamp DESC) <= 10"
+    )
+
+
+@query(f"{FX} SELECT 120 AS minutes, icao, timestamp, round(lat, 6) AS lat, round(lon, 6) AS lon FROM positions WHERE timestamp >= (SELECT now FROM clock) - 7200 QUALIFY row_number() OVER (PARTITION BY icao ORDER BY timestamp DESC, id DESC) <= 10 UNION ALL ({_tier(30, 360)}) UNION ALL ({_tier(300, 600)})")
+def w4_tiered_trails(spark: SparkSession, d: str) -> DataFrame:
+    """One trail from each of the three tables."""
+    rows = X.positions(spark, d)
+    tables, now = {"positions": rows, "positions_30s": A.rollup(rows, 30), "positions_5m": A.rollup(rows, 300)}, rows.agg(F.max("timestamp")).first()[0]
+    parts = [P.tiered_trails(tables, m, 10, now).select(F.lit(m).alias("minutes"), "icao", "timestamp", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")) for m in (120, 360, 600)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
