@@ -268,6 +268,26 @@ def test_top_k(spark):
     assert topk_search.top_k(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_clustered_and_repeated_vectors(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 60), ("PIVOTS", 6), ("BLOCK_ROWS", 9)):
+        monkeypatch.setattr(topk_search, name, value)
+    r = np.random.default_rng(11)
+    x = r.integers(-60, 60, (5, 6))[r.integers(0, 5, 900)] * 4 + r.integers(-9, 9, (900, 6))
+    x[::3] = x[0]  # a third of the rows hold one vector
+    x[40:50] = 0
+    rows = [(k, [float(v) / 256 for v in x[k]]) for k in range(900)]
+    got = {(a.query_id, a.rank): (a.vec_id, a.score) for a in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()}
+    assert len(got) == 225
+    for k in range(0, 900, 20):
+        s = x @ x[k]
+        order = sorted((i for i in range(900) if i != k), key=lambda i: (-s[i], i))[:5]
+        assert [got[k, n + 1] for n in range(5)] == [(i, s[i]) for i in order]
+    # an id that repeats: its candidates count each, and its rows as queries share a ranking
+    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    found = [(a.rank, a.vec_id) for a in topk_search.top_k(twice, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert found == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)]
+
+
 def test_ppm(rows, docs, empty):
     k = lm_scoring.ORDER
     trie, tokens, seqs = [defaultdict(Counter) for _ in range(k + 1)], Counter(), []
