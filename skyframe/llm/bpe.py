@@ -40,7 +40,8 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 GAPS = regex.compile(rf"[{SPACE}]+")
 #: Characters at which str.split() parts and the tokenizer doesn't.
 ODD_GAPS = "\x1c\x1d\x1e\x1f"
-CACHE_WORDS = 1 << 19
+#: Words whose ids a worker remembers; with their keys some 30 MB for each of two caches.
+CACHE_WORDS = 1 << 17
 BLOCK_ROWS = 256
 
 
@@ -258,12 +259,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, BLOCK_ROWS)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``ids`` (array of int), the tokens of each whole text; ``keep`` names the columns to return besides."""
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """Adds ``ids`` (array of int), the tokens of each whole text; ``keep`` names the columns to return besides.
+
+    With ``decoded``, also what ``decode`` adds, in the same pass: one Python worker a task holds the tables, not two.
+    """
     shared = _share(docs.sparkSession, path)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    added = {"ids": T.ArrayType(T.IntegerType())} | ({"decoded": T.StringType()} if decoded else {})
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, t) for c, t in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(shared)
@@ -271,7 +276,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
             lists = [bpe.encode(t) for t in b.column(len(keep)).to_pylist()]
             ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *lists])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*keep, "ids"])
+            texts = [pa.array([bpe.decode(x).decode() for x in lists], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, *texts], [*keep, *added])
 
     return rows.mapInArrow(run, schema)
 
@@ -328,7 +334,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """Pipeline stage: the ids and decoded text of each document."""
     path = path or vocabulary_path()
-    rows = decode(encode(docs, path, keep=[c for c in docs.columns if c not in ("text", "decoded")]), path)
+    rows = encode(docs, path, keep=[c for c in docs.columns if c != "text"], decoded=True)
     return rows.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
