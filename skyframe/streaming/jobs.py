@@ -1,22 +1,25 @@
-"""Structured Streaming forms: the position fold, windowed rollups, contact sessions, snapshot sinks."""
+"""Structured Streaming forms: the position fold, merged tables, windowed rollups, contact sessions, snapshot sinks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import modes
+from ..operators import streams as S
 from ..operators.aggregates import event_time
 from ..operators.positions import latest_per_key
 from ..operators.track import Fold, fold_rows
 
 _STATE = ", ".join(f"{n} double" for n in Fold.__dataclass_fields__)
 SILENCE_MS = 60_000
+#: What ``table_writer`` keeps, in the order in which it is written.
+TABLES = ("aircraft", "sightings")
 
 
 def resolve_positions(messages: DataFrame, receiver: tuple[float, float] | None = None, min_interval: float = 2.0, timeout_ms: int = SILENCE_MS) -> DataFrame:
@@ -74,3 +77,43 @@ def snapshot_writer(path: str) -> Callable[[DataFrame, int], None]:
         latest_per_key(batch, ["icao"], ("seq",)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def _complete(spark: SparkSession, path: str) -> list[int]:
+    """Versions under a folder of which all tables are written; the last of ``TABLES`` is written last."""
+    file = spark._jvm.org.apache.hadoop.fs.Path
+    folder = file(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(v for v in found if fs.exists(file(f"{path}/version={v}/{TABLES[-1]}/_SUCCESS")))
+
+
+def read_tables(spark: SparkSession, path: str, before: int | None = None) -> dict[str, DataFrame]:
+    """The newest complete version of the tables (of those before one); nothing if there is none."""
+    versions = [v for v in _complete(spark, path) if before is None or v < before]
+    return {t: spark.read.parquet(f"{path}/version={versions[-1]}/{t}") for t in TABLES} if versions else {}
+
+
+def table_writer(path: str, blocks: DataFrame, capture: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """Merges a batch of messages with the aircraft and sightings so far, as a new version of both tables.
+
+    A batch starts from the version before its own number and overwrites its own, so that a retry counts nothing twice.
+    The version before stays for readers, older ones go. A version holds one row per aircraft, and per aircraft and
+    capture: what is rewritten grows with those, not with the messages. Values are carried between batches by the tables,
+    hence inside one capture only. Positions are the fold's (``resolve_positions``), in a query of its own.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.persist()
+        streams = S.change_streams(rows, blocks, capture)
+        tables = S.apply_change_streams(streams, read_tables(spark, path, batch_id))
+        for t in TABLES:
+            tables[t].write.mode("overwrite").parquet(f"{path}/version={batch_id}/{t}")
+        rows.unpersist()
+        for v in [v for v in _complete(spark, path) if v < batch_id][:-1]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return write
