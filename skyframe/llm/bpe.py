@@ -40,7 +40,7 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 GAPS = regex.compile(rf"[{SPACE}]+")
 #: Characters at which str.split() parts and the tokenizer doesn't.
 ODD_GAPS = "\x1c\x1d\x1e\x1f"
-#: Words whose ids a worker remembers; with their keys some 30 MB for each of two caches.
+#: Words whose ids a worker remembers, and as many older ones; with their keys some 60 MB for each of two caches.
 CACHE_WORDS = 1 << 17
 BLOCK_ROWS = 256
 
@@ -54,17 +54,20 @@ def byte_characters() -> list[str]:
 
 
 class _Cache(dict):
-    """Results of a function by its argument; forgets all when it holds too many."""
+    """Results of a function by its argument; when it holds too many, those not asked for since the last time go."""
 
     def __init__(self, make: Callable[[str], bytes]):
         self.make = make
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.make(key)
+        value = self.older.pop(key, None)
+        self[key] = value = self.make(key) if value is None else value
         return value
 
     def trim(self) -> None:
         if len(self) > CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
 
 
