@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -100,3 +101,13 @@ def test_classifier_learns(spark, rows, docs, empty):
 @pytest.mark.parametrize("text", [None, "", " \n "])
 def test_blank_statistics(text):
     assert set(quality_classifier.statistics(text)) == {0.0}
+
+
+def test_small_word_caches_give_the_same_ids(monkeypatch):
+    source = Path(bpe.vocabulary_path()).read_text(encoding="utf-8")
+    texts = [" ".join(f"word{k * n % 17} it's {k}{n}" for k in range(9)) for n in range(12)] * 2
+    whole = bpe.WordBpe(source)
+    want = [list(whole.encode(t)) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    small = bpe.WordBpe(source)
+    assert [list(small.encode(t)) for t in texts] == want and small.chunks.older
