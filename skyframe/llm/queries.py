@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lm_scoring", "topk_search", "bpe", "minhash_dedup", "mixing", "line_dedup", "sharding", "quality_rules", "token_counts", "quality_classifier")
+MODULES = ("lm_scoring", "topk_search", "bpe", "minhash_dedup", "mixing", "line_dedup", "sharding", "quality_rules", "token_counts", "quality_classifier", "conversation_repair", "license_scan", "source_divergence")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
