@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .positions import newest_per_key
+from .numbering import placed
 
 FT_M = 0.3048
 CSV = ("icao", "lat", "lon", "altitude_ft", "speed_kts", "heading_deg", "vertical_rate_fpm", "timestamp")
@@ -24,79 +24,144 @@ def export_json(positions: DataFrame, path: str) -> None:
     positions.write.mode("overwrite").json(path)
 
 
-#: Bits of the number of positions in one part of an export; below 33, which number the rows of a partition.
-PART_BITS = 10
+#: Positions in one part of an export.
+PART_ROWS = 1024
+#: What a document tells of an aircraft, and of a position.
+CRAFT = ("icao", "registration", "country", "is_military", "first_seen", "last_seen")
+POINT = ("lat", "lon", "altitude_ft", "speed_kts", "heading_deg", "vertical_rate_fpm", "timestamp")
+#: The frame of a KML document.
+KML_HEAD = (
+    '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>ADS-B Flight Tracks</name>'
+    '<description>Exported flight tracks</description><Style id="flightTrack"><LineStyle><color>ff0088ff</color><width>2</width></LineStyle></Style>'
+)
+KML_TAIL = "</Document></kml>"
 
 
-def _parts(rows: DataFrame, item: Column, newest_first: bool = False) -> DataFrame:
-    """(icao, part, chain, first, last): each aircraft's items in time order, cut into parts of 1,024 at most.
+def _json(value: Column) -> Column:
+    return F.to_json(value, {"ignoreNullFields": "false"})
 
-    Rows are dealt out by aircraft and time and numbered where they lie, so an aircraft with many positions is spread
-    over tasks and rows. Parts of an aircraft are in order of their number, which has gaps.
+
+def _bare(value: Column) -> Column:
+    """An array or object as JSON, without its brackets."""
+    text = _json(value)
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _full(aircraft: DataFrame) -> DataFrame:
+    """Aircraft with all columns of ``CRAFT``, null where the table has none."""
+    kinds = {"is_military": "boolean", "first_seen": "double", "last_seen": "double"}
+    return aircraft.select(*(F.col(c) if c in aircraft.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in CRAFT))
+
+
+def _parts(positions: DataFrame, item: Column, newest: int | None, rows: int, chronological: bool) -> DataFrame:
+    """(icao, part, parts, chain, n): the items of each aircraft's newest positions, in parts of so many.
+
+    Places are exact, so a part is full but the last one, and which is first and last is known without a look at others.
     """
-    order = [F.col(c).desc() if newest_first else F.col(c).asc() for c in ("timestamp", "id")]
-    dealt = rows.repartitionByRange("icao", *order).sortWithinPartitions("icao", *order)
-    numbered = dealt.select("icao", F.monotonically_increasing_id().alias("at"), item.alias("p"))
-    packed = numbered.groupBy("icao", F.shiftright("at", PART_BITS).alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("chain"))
-    parts = packed.select("icao", "part", F.transform("chain", lambda x: x["p"]).alias("chain"))
-    ends = parts.groupBy("icao").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-    return parts.join(ends, "icao").select("icao", "part", "chain", (F.col("part") == F.col("lo")).alias("first"), (F.col("part") == F.col("hi")).alias("last"))
+    at = placed(positions.select("icao", "timestamp", "id", item.alias("p")), ["icao"], [F.col("timestamp").desc(), F.col("id").desc()])
+    n = F.least("total", F.lit(newest)) if newest is not None else F.col("total")
+    at = at.withColumn("n", n).filter("place < n")
+    if chronological:
+        at = at.withColumn("place", F.col("n") - 1 - F.col("place"))
+    part = F.floor(F.col("place") / rows).cast("long").alias("part")
+    packed = at.groupBy("icao", "n", part).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "p"))), lambda x: x["p"]).alias("chain"))
+    return packed.withColumn("parts", F.ceil(F.col("n") / rows).cast("long"))
 
 
 def _framed(head: Column, body: Column, tail: Column, gap: str) -> Column:
     """One part's text: the head before the first part, a gap before each other one, the tail after the last."""
-    return F.concat(F.when(F.col("first"), head).otherwise(gap), body, F.when(F.col("last"), tail).otherwise(""))
-
+    first, last = F.col("part") == 0, F.col("part") == F.col("parts") - 1
+    return F.concat(F.when(first, head).otherwise(gap), body, F.when(last, tail).otherwise(""))
 
-def _bare(array: Column) -> Column:
-    """The elements of an array as JSON, without the brackets."""
-    text = F.to_json(array)
-    return F.substring(text, F.lit(2), F.length(text) - 2)
 
-
-def nested_json(aircraft: DataFrame, positions: DataFrame, newest: int | None = 1000) -> DataFrame:
+def nested_json(aircraft: DataFrame, positions: DataFrame, newest: int | None = 1000, rows: int = PART_ROWS) -> DataFrame:
     """(icao, last_seen, part, json): each aircraft with its newest positions, or all, newest first.
 
-    The texts of an aircraft's parts, joined in order, are one document; an aircraft without positions has one part.
+    The texts of an aircraft's parts, joined in order, are one object; an aircraft without positions has one part.
     """
-    rows = positions if newest is None else newest_per_key(positions, ["icao"], newest)
-    parts = _parts(rows, F.struct("lat", "lon", "altitude_ft", "timestamp"), newest_first=True)
-    joined = aircraft.join(parts, "icao", "left")
-    alone = F.to_json(F.struct(*aircraft.columns))
-    text = _framed(F.concat(F.substring(alone, F.lit(1), F.length(alone) - 1), F.lit(',"positions":[')), _bare(F.col("chain")), F.lit("]}"), ",")
-    return joined.select("icao", "last_seen", F.coalesce("part", F.lit(0)).alias("part"), F.when(F.col("part").isNull(), alone).otherwise(text).alias("json"))
+    parts = _parts(positions, F.struct(*POINT), newest, rows, chronological=False)
+    joined = _full(aircraft).join(parts, "icao", "left").withColumns({"part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))})
+    body = F.when(F.col("chain").isNotNull(), _bare(F.col("chain"))).otherwise("")
+    head = F.concat(F.lit("{"), _bare(F.struct(*CRAFT)), F.lit(',"positions":['))
+    return joined.select("icao", "last_seen", "part", _framed(head, body, F.lit("]}"), ",").alias("json"))
+
 
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
-def kml_fragments(positions: DataFrame, aircraft: DataFrame) -> DataFrame:
-    """(icao, part, fragment): one line per aircraft in time order, heights in metres; aircraft without positions have none.
+
+def kml_fragments(positions: DataFrame, aircraft: DataFrame, newest: int | None = 1000, rows: int = PART_ROWS) -> DataFrame:
+    """(icao, last_seen, part, fragment): placemarks in time order, heights in metres; aircraft without positions have none.
 
     The fragments of an aircraft's parts, joined in order, are its placemark.
     """
-    metres = F.format_string("%.0f", F.round(F.coalesce(F.col("altitude_ft"), F.lit(0)) * FT_M))
+    metres = F.format_string("%.0f", F.bround(F.coalesce(F.col("altitude_ft"), F.lit(0)) * FT_M))
     point = F.concat_ws(",", F.col("lon").cast("string"), F.col("lat").cast("string"), metres)
-    rows = _parts(positions, point).join(aircraft, "icao", "left")
+    joined = _parts(positions, point, newest, rows, chronological=True).join(_full(aircraft), "icao", "left")
     label = F.concat(F.coalesce("registration", "icao"), F.when(F.col("country").isNotNull(), F.concat(F.lit(" ("), "country", F.lit(")"))).otherwise(""))
-    head = F.concat(F.lit("<Placemark><name>"), label, F.lit("</name><LineString><coordinates>"))
+    style = "</name><styleUrl>#flightTrack</styleUrl><LineString><altitudeMode>absolute</altitudeMode><tessellate>1</tessellate><coordinates>"
+    head = F.concat(F.lit("<Placemark><name>"), _escaped(label), F.lit(style))
     text = _framed(head, F.array_join("chain", " "), F.lit("</coordinates></LineString></Placemark>"), " ")
-    return rows.select("icao", "part", text.alias("fragment"))
+    return joined.select("icao", "last_seen", "part", text.alias("fragment"))
 
 
-def geojson_fragments(positions: DataFrame) -> DataFrame:
-    """(icao, kind, part, feature): a Point for the latest position and, for more than one, a LineString with their number.
+def geojson_fragments(positions: DataFrame, aircraft: DataFrame, newest: int | None = 1000, rows: int = PART_ROWS) -> DataFrame:
+    """(icao, last_seen, kind, part, feature): a Point for the latest position and, for more than one, a LineString in time order.
 
     A Point has one part; the texts of a LineString's parts, joined in order, are its feature.
     """
-    latest = F.max_by(F.array("lon", "lat"), F.struct("timestamp", "id"))
-    known = positions.groupBy("icao").agg(latest.alias("last_at"), F.count("*").alias("n"))
-    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.col("last_at").alias("coordinates")).alias("geometry"), F.struct("icao").alias("properties")))
-    points = known.select("icao", F.lit("Point").alias("kind"), F.lit(0).cast("long").alias("part"), feature.alias("feature"))
+    craft = ("icao", "registration", "country", "is_military")
+    last = F.max_by(F.struct(*POINT), F.struct("timestamp", "id"))
+    points = positions.groupBy("icao").agg(last.alias("at")).join(_full(aircraft), "icao", "left")
+    about = F.struct(*craft, "at.altitude_ft", "at.speed_kts", "at.heading_deg", F.lit("position").alias("feature_type"))
+    shape = F.struct(F.lit("Point").alias("type"), F.array("at.lon", "at.lat").alias("coordinates"))
+    feature = _json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), about.alias("properties")))
+    points = points.select("icao", "last_seen", F.lit("Point").alias("kind"), F.lit(0).cast("long").alias("part"), feature.alias("feature"))
+    lines = _parts(positions, F.array("lon", "lat"), newest, rows, chronological=True).filter("n > 1").join(_full(aircraft), "icao", "left")
     head = F.lit('{"type":"Feature","geometry":{"type":"LineString","coordinates":[')
-    tail = F.concat(F.lit(']},"properties":'), F.to_json(F.struct("icao", F.col("n").alias("position_count"))), F.lit("}"))
-    parts = _parts(positions, F.array("lon", "lat")).join(known.filter("n > 1").select("icao", "n"), "icao")
-    lines = parts.select("icao", F.lit("LineString").alias("kind"), "part", _framed(head, _bare(F.col("chain")), tail, ",").alias("feature"))
+    about = F.struct(*craft, F.lit("track").alias("feature_type"), F.col("n").alias("position_count"))
+    tail = F.concat(F.lit(']},"properties":'), _json(about), F.lit("}"))
+    lines = lines.select("icao", "last_seen", F.lit("LineString").alias("kind"), "part", _framed(head, _bare(F.col("chain")), tail, ",").alias("feature"))
     return points.unionByName(lines)
 
 
+def _whole(fragments: DataFrame, text: str, kind: Column, head: Column, gap: str, tail: Column) -> DataFrame:
+    """(at, value): all lines of a document in the order of ``at``: aircraft last seen first, gaps between the fragments' own
+    units, head and tail around everything. ``kind`` orders the units of one aircraft."""
+    units = fragments.select("icao", "last_seen", kind.alias("kind")).distinct()
+    numbers = placed(units, [], [F.col("last_seen").desc_nulls_last(), F.col("icao"), F.col("kind")], "unit", "units").drop("last_seen")
+    rows = fragments.withColumn("kind", kind).join(numbers, ["icao", "kind"])
+    line = F.concat(F.when((F.col("part") == 0) & (F.col("unit") > 0), gap).otherwise(""), F.col(text))
+    spark = fragments.sparkSession
+    at = lambda unit, part: F.struct(unit.cast("long").alias("unit"), part.cast("long").alias("part")).alias("at")
+    ends = [spark.range(1).select(at(F.lit(u), F.lit(0)), e.alias("value")) for u, e in ((-1, head), (1 << 62, tail))]
+    return rows.select(at(F.col("unit"), F.col("part")), line.alias("value")).unionByName(ends[0]).unionByName(ends[1])
+
+
+def json_document(aircraft: DataFrame, positions: DataFrame, stats: DataFrame | None = None, newest: int | None = 1000, rows: int = PART_ROWS) -> DataFrame:
+    """All lines (at, value) of one JSON document: aircraft, last seen first, with positions; and ``stats``, a table of one row."""
+    said = F.lit("{}") if stats is None else stats.select(_json(F.struct("*"))).scalar()
+    parts = nested_json(aircraft, positions, newest, rows)
+    return _whole(parts, "json", F.lit(0), F.lit('{"aircraft":['), ",", F.concat(F.lit('],"stats":'), said, F.lit("}")))
+
+
+def kml_document(positions: DataFrame, aircraft: DataFrame, newest: int | None = 1000, rows: int = PART_ROWS) -> DataFrame:
+    """All lines (at, value) of one KML document."""
+    return _whole(kml_fragments(positions, aircraft, newest, rows), "fragment", F.lit(0), F.lit(KML_HEAD), "", F.lit(KML_TAIL))
+
+
+def geojson_document(positions: DataFrame, aircraft: DataFrame, newest: int | None = 1000, rows: int = PART_ROWS) -> DataFrame:
+    """All lines (at, value) of one GeoJSON document: of each aircraft the Point, then the LineString."""
+    fragments = geojson_fragments(positions, aircraft, newest, rows)
+    kind = F.when(F.col("kind") == "Point", 0).otherwise(1)
+    return _whole(fragments, "feature", kind, F.lit('{"type":"FeatureCollection","features":['), ",", F.lit("]}"))
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Writes a document's lines as files whose names are in order: joined in that order, with the line ends, they are the document."""
+    lines.repartitionByRange("at").sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
 def civil_date(epoch: Column) -> Column:
     """UTC date of epoch seconds, before 1970 too."""
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(epoch / 86400).cast("int"))

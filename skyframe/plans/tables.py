@@ -180,26 +180,55 @@ def k1_csv_rows(spark: SparkSession, d: str) -> DataFrame:
     return K.csv_rows(X.positions(spark, d))
 
 
-@query(f"{FX} SELECT icao, count(*) AS n FROM positions GROUP BY icao")
+#: Aircraft as exports see them; documents are cut into small parts here, so that every size of table has joints.
+CRAFT = "SELECT icao, CASE WHEN icao < 'A8' THEN concat('N', substr(icao, 2)) END AS registration, CASE WHEN icao > 'A4' THEN 'A & <B>' END AS country, is_military, first_seen, last_seen FROM {aircraft}"
+SMALL_PARTS = 16
+RANKED = f"{FX}, craft AS ({CRAFT.format(aircraft='aircraft')}), ranked AS (SELECT *, row_number() OVER (PARTITION BY icao ORDER BY timestamp DESC, id DESC) AS k, least(1000, count(*) OVER (PARTITION BY icao)) AS n FROM positions)"
+
+
+def _craft(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(CRAFT.replace("{aircraft}", "{t}"), t=X.aircraft(spark, d))
+
+
+def _joined(parts: DataFrame, text: str, *keys: str) -> DataFrame:
+    """Each document as its parts say, of 1,000 positions at most."""
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", text))), lambda x: x[text]), "")
+    return parts.groupBy(*keys).agg(whole.alias("text"))
+
+
+@query(f"{RANKED} SELECT icao, registration, country, is_military, first_seen, last_seen, CAST(k - 1 AS INT) AS place, lat, lon, altitude_ft, speed_kts, heading_deg, vertical_rate_fpm, timestamp FROM ranked JOIN craft USING (icao) WHERE k <= 1000")
 def k3_nested_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = K.nested_json(X.aircraft(spark, d), X.positions(spark, d), newest=None)
-    return rows.groupBy("icao").agg(F.sum(F.regexp_count("json", F.lit('"timestamp":'))).alias("n"))
+    """Every field of every position, read back from the joined documents."""
+    rows = _joined(K.nested_json(_craft(spark, d), X.positions(spark, d), rows=SMALL_PARTS), "json", "icao")
+    point = "lat: DOUBLE, lon: DOUBLE, altitude_ft: INT, speed_kts: DOUBLE, heading_deg: DOUBLE, vertical_rate_fpm: INT, timestamp: DOUBLE"
+    doc = F.from_json("text", f"icao STRING, registration STRING, country STRING, is_military BOOLEAN, first_seen DOUBLE, last_seen DOUBLE, positions ARRAY<STRUCT<{point}>>", {"mode": "FAILFAST"})
+    rows = rows.select(doc.alias("doc")).select("doc.*")
+    return rows.select("icao", "registration", "country", "is_military", "first_seen", "last_seen", F.posexplode("positions").alias("place", "p")).select("*", "p.*").drop("p")
 
 
-@query(f"{FX} SELECT icao, length(string_agg('x', '')) AS points FROM positions GROUP BY icao")
+@query(f"{RANKED} SELECT icao, concat(coalesce(registration, icao), CASE WHEN country IS NULL THEN '' ELSE ' (A &amp; &lt;B&gt;)' END) AS name, CAST(n - k AS INT) AS place, lon, lat, CAST(round_even(coalesce(altitude_ft, 0) * 0.3048::DOUBLE, 0) AS BIGINT) AS metres FROM ranked JOIN craft USING (icao) WHERE k <= 1000")
 def k4_kml(spark: SparkSession, d: str) -> DataFrame:
-    craft = X.aircraft(spark, d).select("icao", F.lit(None).cast("string").alias("registration"), F.lit(None).cast("string").alias("country"))
-    rows = K.kml_fragments(X.positions(spark, d), craft)
-    chain = F.regexp_replace("fragment", "<Placemark>.*<coordinates>|</coordinates>.*", "")
-    return rows.groupBy("icao").agg(F.sum(F.size(F.split(F.trim(chain), " "))).alias("points"))
+    """Every point of every placemark; a placemark that isn't whole has no points."""
+    rows = _joined(K.kml_fragments(X.positions(spark, d), _craft(spark, d), rows=SMALL_PARTS), "fragment", "icao")
+    form = "^<Placemark><name>([^<]*)</name><styleUrl>#flightTrack</styleUrl><LineString><altitudeMode>absolute</altitudeMode><tessellate>1</tessellate><coordinates>([-+.0-9E, ]*)</coordinates></LineString></Placemark>$"
+    part = lambda k: F.regexp_extract("text", form, k)
+    points = rows.select("icao", part(1).alias("name"), F.posexplode(F.split(part(2), " ")).alias("place", "p"))
+    value = lambda k, kind, to: F.split("p", ",")[k].cast(kind).alias(to)
+    return points.select("icao", "name", "place", value(0, "double", "lon"), value(1, "double", "lat"), value(2, "long", "metres"))
 
 
-@query(f"{FX}, a AS (SELECT icao, count(*) AS n, max_by(lat, (timestamp, id)) AS lat FROM positions GROUP BY icao) SELECT icao, 'Point' AS kind, lat, NULL AS n FROM a UNION ALL SELECT icao, 'LineString', NULL, n FROM a WHERE n > 1")
+@query(f"{RANKED} SELECT icao, 'Point' AS kind, 0 AS place, lon, lat, CAST(NULL AS BIGINT) AS n, is_military, speed_kts FROM ranked JOIN craft USING (icao) WHERE k = 1 "
+       "UNION ALL SELECT icao, 'LineString', CAST(n - k AS INT), lon, lat, n, is_military, NULL FROM ranked JOIN craft USING (icao) WHERE k <= 1000 AND n > 1")
 def k5_geojson(spark: SparkSession, d: str) -> DataFrame:
-    rows = K.geojson_fragments(X.positions(spark, d))
-    point, line = F.get_json_object("feature", "$.geometry.coordinates[1]"), F.regexp_extract("feature", '"position_count":([0-9]+)', 1)
-    rows = rows.select("icao", "kind", F.when(F.col("kind") == "Point", point.cast("double")).alias("lat"), F.when(line != "", line.cast("long")).alias("n"))
-    return rows.groupBy("icao", "kind").agg(F.max("lat").alias("lat"), F.max("n").alias("n"))
+    """Every point of every feature, read back from the joined documents."""
+    rows = _joined(K.geojson_fragments(X.positions(spark, d), _craft(spark, d), rows=SMALL_PARTS), "feature", "icao", "kind")
+    form = "type STRING, geometry STRUCT<type: STRING, coordinates: {0}>, properties STRUCT<icao: STRING, is_military: BOOLEAN, speed_kts: DOUBLE, position_count: BIGINT>"
+    read = lambda kind, shape: rows.filter(F.col("kind") == kind).select(F.from_json("text", form.format(shape), {"mode": "FAILFAST"}).alias("f"))
+    about = ["f.properties.icao", F.col("f.geometry.type").alias("kind")]
+    end = [F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"), F.col("f.properties.position_count").alias("n"), "f.properties.is_military", "f.properties.speed_kts"]
+    points = read("Point", "ARRAY<DOUBLE>").select("f", F.lit(0).alias("place"), F.col("f.geometry.coordinates").alias("c")).select(*about, "place", *end)
+    lines = read("LineString", "ARRAY<ARRAY<DOUBLE>>").select("f", F.posexplode("f.geometry.coordinates").alias("place", "c")).select(*about, "place", *end)
+    return points.unionByName(lines)
 
 
 @query(f"{FX} SELECT 'adsb' AS layer, CAST('2024-01-01' AS DATE) + CAST(floor((timestamp - 1704067200) / 86400) AS INT) AS dt, icao, lat, speed_kts FROM positions")
