@@ -278,8 +278,9 @@ def _told(mb: Column, scores: Column) -> Column:
     return F.when((best > 0) & (lead >= 4), F.struct(name.alias("register"), *parts))
 
 
-def decode_messages(frames: DataFrame) -> DataFrame:
-    """Parsed frames with what they say: msg_type and the fields of its kind, others null. Frames without message go."""
+def decode_messages(frames: DataFrame, every: bool = False) -> DataFrame:
+    """Parsed frames with what they say: msg_type and the fields of its kind, others null. Frames without message go,
+    unless ``every`` valid frame is wanted: some of them only tell an address."""
     me = F.when((F.length("hex") == 28), number(F.substring("hex", 9, 14)))
     rows = frames.withColumn("me", me).withColumn("tc", F.when(F.col("df").isin(17, 18), bits(F.col("me"), 1, 5).cast("int")))
     m, tc, df = F.col("me"), F.col("tc"), F.col("df")
@@ -289,7 +290,7 @@ def decode_messages(frames: DataFrame) -> DataFrame:
     )
     code = F.col("__code")
     is_ = lambda k: F.col("msg_type") == k
-    rows = rows.withColumn("msg_type", kind).filter("crc_ok AND msg_type IS NOT NULL")
+    rows = rows.withColumn("msg_type", kind).filter("crc_ok" if every else "crc_ok AND msg_type IS NOT NULL")
     rows = rows.withColumns({
         "__code": number(F.substring("hex", 5, 4)).bitwiseAND(F.lit(0x1FFF)), "__alt": bits(m, 9, 12),
     })

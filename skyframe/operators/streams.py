@@ -9,31 +9,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.refdata import MILITARY_FIRST, MILITARY_LAST
 from . import aggregates as A
 from . import anomaly as G
 from . import enrichment as N
 from . import track as T
 
 
-def position_updates(messages: DataFrame, receiver: tuple[float, float] | None = None, min_interval: float = 2.0) -> DataFrame:
+def _keyed(messages: DataFrame, silence: float | None) -> tuple[DataFrame, tuple[str, ...]]:
+    """Messages and the key of what is remembered: forever, as over a capture file, or until a silence, as on the air."""
+    return (messages, T.KEY) if silence is None else (T.contacts(messages, silence), (*T.KEY, "contact"))
+
+
+def position_updates(
+    messages: DataFrame, receiver: tuple[float, float] | None = None, min_interval: float = 2.0, places: DataFrame | None = None, silence: float | None = None
+) -> DataFrame:
     """Stored positions with the state at that moment and the rules' anomaly score.
 
     Every resolved position is the next one's predecessor for the score, whether it is stored or not.
     """
-    fixes = T.resolve_positions(messages, receiver, min_interval)
-    state = T.running_state(messages).select(*T.KEY, "seq", "timestamp", "altitude_ft", "speed_kts", "heading_deg", "vertical_rate_fpm")
-    rows = G.score_positions(fixes.join(state, [*T.KEY, "seq"]), "seq", T.KEY)
+    messages, key = _keyed(messages, silence)
+    fixes = T.resolve_positions(messages, receiver, min_interval, places, key)
+    state = T.running_state(messages, key).select(*key, "seq", "timestamp", "altitude_ft", "speed_kts", "heading_deg", "vertical_rate_fpm")
+    rows = G.score_positions(fixes.join(state, [*key, "seq"]), "seq", key)
     return rows.filter("stored").withColumnRenamed("rule_score", "anomaly_score").drop("stored", "flags")
 
 
-def change_streams(messages: DataFrame, blocks: DataFrame, capture: Column | None = None, receiver: tuple[float, float] | None = None, min_interval: float = 2.0) -> dict[str, DataFrame]:
-    """new_aircraft, aircraft_updates, sighting_updates, position_updates; every row has the ``seq`` of its message."""
-    sightings = T.running_state(messages).withColumn("capture_id", F.lit(None).cast("long") if capture is None else capture)
+SIGHTING = ("icao", "capture_id", "seq", "callsign", "squawk", "altitude_ft", "timestamp")
+
+
+def change_streams(
+    messages: DataFrame, blocks: DataFrame, capture: Column | None = None, receiver: tuple[float, float] | None = None, min_interval: float = 2.0,
+    places: DataFrame | None = None, silence: float | None = None,
+) -> dict[str, DataFrame]:
+    """new_aircraft, aircraft_updates, sighting_updates, position_updates; every row has the ``seq`` of its message.
+
+    ``places`` says where each receiver stands; with ``silence`` an aircraft not heard of for so long is forgotten.
+    """
+    moved = position_updates(messages, receiver, min_interval, places, silence)
+    messages, key = _keyed(messages, silence)
+    sightings = T.running_state(messages, key).withColumn("capture_id", F.lit(None).cast("long") if capture is None else capture)
     return {
-        "new_aircraft": N.lookup_country(T.new_aircraft(messages), blocks),
+        "new_aircraft": N.lookup_country(T.new_aircraft(messages, key), blocks),
         "aircraft_updates": messages.select("icao", "seq", "timestamp"),
-        "sighting_updates": sightings.select("icao", "capture_id", "seq", "callsign", "squawk", "altitude_ft", "timestamp"),
-        "position_updates": position_updates(messages, receiver, min_interval),
+        "sighting_updates": sightings.select(*SIGHTING),
+        "position_updates": moved,
+    }
+
+
+def split_changes(tagged: DataFrame, blocks: DataFrame, capture: Column | None = None) -> dict[str, DataFrame]:
+    """The same four streams from the tagged rows of the live tracker (``streaming.tracker``), of one batch or of all."""
+    rows = tagged.withColumn("capture_id", F.lit(None).cast("long") if capture is None else capture)
+    of = lambda kind: rows.filter(F.col("kind") == kind)
+    key = (*T.KEY, "contact")
+    first = of("new_aircraft").select(*key, F.col("timestamp").alias("first_seen"), "seq")
+    first = first.withColumns({"registration": N.n_number(F.col("icao")), "is_military": F.col("icao").between(MILITARY_FIRST, MILITARY_LAST)})
+    state = ("timestamp", "altitude_ft", "speed_kts", "heading_deg", "vertical_rate_fpm")
+    return {
+        "new_aircraft": N.lookup_country(first, blocks),
+        "aircraft_updates": of("message").select("icao", "seq", "timestamp"),
+        "sighting_updates": of("message").select(*SIGHTING),
+        "position_updates": of("position").select(*key, "seq", "lat", "lon", *state, "anomaly_score"),
     }
 
 

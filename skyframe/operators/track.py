@@ -8,7 +8,7 @@ stream through a task, which holds the state of one key and never a whole group.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import astuple, dataclass
 
 import pandas as pd
@@ -21,6 +21,8 @@ from ..functions.refdata import MILITARY_FIRST, MILITARY_LAST
 from . import enrichment as N
 
 KEY = ("receiver", "icao")
+#: Seconds after which an aircraft that isn't heard of is forgotten, where contacts end.
+SILENCE = 60.0
 
 
 def _zones(lat: float) -> int:
@@ -94,50 +96,76 @@ class Fold:
         return astuple(self)
 
 
-def fold_rows(fold: Fold, rows: pd.DataFrame, receiver: tuple[float, float] | None, min_interval: float) -> list[tuple]:
+def fold_rows(fold: Fold, rows: pd.DataFrame, min_interval: float) -> list[tuple]:
     """(seq, lat, lon, stored) of the reports of one key that resolve, in order of arrival."""
     out = []
-    for seq, odd, y, x, t in zip(rows["seq"], rows["cpr_odd"], rows["cpr_lat"], rows["cpr_lon"], rows["timestamp"]):
-        if (fix := fold.report(bool(odd), float(y), float(x), float(t), receiver, min_interval)) is not None:
+    for seq, odd, y, x, t, *ref in zip(rows["seq"], rows["cpr_odd"], rows["cpr_lat"], rows["cpr_lon"], rows["timestamp"], rows["ref_lat"], rows["ref_lon"]):
+        place = None if pd.isna(ref[0]) or pd.isna(ref[1]) else (float(ref[0]), float(ref[1]))
+        if (fix := fold.report(bool(odd), float(y), float(x), float(t), place, min_interval)) is not None:
             out.append((seq, *fix))
     return out
 
 
-def resolve_positions(messages: DataFrame, receiver: tuple[float, float] | None = None, min_interval: float = 2.0) -> DataFrame:
-    """(receiver, icao, seq, lat, lon, stored) of the position messages that resolve, exactly as they arrive."""
-    rows = messages.filter("msg_type = 'position'").select(*KEY, "seq", "timestamp", "cpr_odd", "cpr_lat", "cpr_lon")
-    dealt = rows.repartition(*KEY).sortWithinPartitions(*KEY, "seq")
+def contacts(messages: DataFrame, silence: float = SILENCE) -> DataFrame:
+    """Adds ``contact``, the ``seq`` of its first message: an aircraft that a receiver hears again after a longer silence begins a new one."""
+    w = Window.partitionBy(*KEY).orderBy("seq")
+    first = F.coalesce(F.col("timestamp") - F.lag("timestamp").over(w) > silence, F.lit(True))
+    rows = messages.withColumn("__first", F.when(first, F.col("seq")))
+    return rows.withColumn("contact", F.last("__first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__first")
+
+
+def with_places(messages: DataFrame, receiver: tuple[float, float] | None = None, places: DataFrame | None = None) -> DataFrame:
+    """Adds ``ref_lat`` and ``ref_lon``: where the receiver stands by ``places`` (receiver, lat, lon), else one place for all, else null."""
+    one = [F.lit(x).cast("double") for x in receiver or (None, None)]
+    if places is None:
+        return messages.withColumns({"ref_lat": one[0], "ref_lon": one[1]})
+    # a row a receiver: Spark broadcasts it as long as it is small
+    known = places.filter("lat IS NOT NULL AND lon IS NOT NULL").dropDuplicates(["receiver"]).select("receiver", F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
+    rows = messages.join(known, "receiver", "left")
+    return rows.withColumns({"ref_lat": F.coalesce("ref_lat", one[0]), "ref_lon": F.coalesce("ref_lon", one[1])})
+
+
+def resolve_positions(
+    messages: DataFrame, receiver: tuple[float, float] | None = None, min_interval: float = 2.0, places: DataFrame | None = None, key: Sequence[str] = KEY
+) -> DataFrame:
+    """(key, seq, lat, lon, stored) of the position messages that resolve, exactly as they arrive.
+
+    With ``contact`` (see ``contacts``) in the key, nothing of an aircraft outlasts a silence.
+    """
+    rows = messages.filter("msg_type = 'position'").select(*key, "seq", "timestamp", "cpr_odd", "cpr_lat", "cpr_lon")
+    dealt = with_places(rows, receiver, places).repartition(*KEY).sortWithinPartitions(*key, "seq")
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, fold = None, Fold()
         for b in batches:
             parts = []
-            for key, group in b.groupby(list(KEY), sort=False, dropna=False):
-                if key != held:
-                    held, fold = key, Fold()
-                parts += [(*key, *r) for r in fold_rows(fold, group, receiver, min_interval)]
-            yield pd.DataFrame(parts, columns=[*KEY, "seq", "lat", "lon", "stored"])
+            for own, group in b.groupby(list(key), sort=False, dropna=False):
+                if own != held:
+                    held, fold = own, Fold()
+                parts += [(*own, *r) for r in fold_rows(fold, group, min_interval)]
+            yield pd.DataFrame(parts, columns=[*key, "seq", "lat", "lon", "stored"])
 
-    return dealt.mapInPandas(run, "receiver string, icao string, seq long, lat double, lon double, stored boolean")
+    return dealt.mapInPandas(run, f"{fields}, seq long, lat double, lon double, stored boolean")
 
 
-def pair_reports(messages: DataFrame, receiver: tuple[float, float] | None = None) -> DataFrame:
+def pair_reports(messages: DataFrame, receiver: tuple[float, float] | None = None, places: DataFrame | None = None, key: Sequence[str] = KEY) -> DataFrame:
     """Position messages with ``position``: from the latest even and odd report, else near the receiver, else near the
     aircraft's own last fix. The last makes it recursive, so that it is the fold of ``resolve_positions``."""
     rows = messages.filter("msg_type = 'position'")
-    fixes = resolve_positions(messages, receiver).select(*KEY, "seq", F.struct("lat", "lon").alias("position"))
-    return rows.join(fixes, [*KEY, "seq"], "left")
+    fixes = resolve_positions(messages, receiver, places=places, key=key).select(*key, "seq", F.struct("lat", "lon").alias("position"))
+    return rows.join(fixes, [*key, "seq"], "left")
 
 
-def running_state(messages: DataFrame) -> DataFrame:
+def running_state(messages: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Every message with the state after it: last known callsign, squawk, altitude, speed, heading, vertical rate,
     whether the aircraft was ever seen as military, and how many messages came."""
-    w = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(w)
     named = F.when(F.trim("callsign") != "", F.trim("callsign"))
     military = N.is_military(F.col("icao"), F.col("callsign"))
     return messages.select(
-        *KEY, "seq", "timestamp", "msg_type", last(named).alias("callsign"), last(F.col("squawk")).alias("squawk"), last(F.col("altitude_ft")).alias("altitude_ft"),
+        *key, "seq", "timestamp", "msg_type", last(named).alias("callsign"), last(F.col("squawk")).alias("squawk"), last(F.col("altitude_ft")).alias("altitude_ft"),
         last(F.col("velocity.speed_kts")).alias("speed_kts"), last(F.col("velocity.heading_deg")).alias("heading_deg"),
         last(F.col("velocity.vertical_rate_fpm")).alias("vertical_rate_fpm"), F.max(military).over(w).alias("is_military"), F.count("*").over(w).alias("message_count"),
     )
@@ -155,9 +183,10 @@ def latest_state(messages: DataFrame) -> DataFrame:
     )
 
 
-def new_aircraft(messages: DataFrame) -> DataFrame:
-    """First message of each key, with registration and the block's military flag."""
-    first = messages.groupBy(*KEY).agg(F.min_by("timestamp", "seq").alias("first_seen"), F.min("seq").alias("seq"))
+def new_aircraft(messages: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """First message of each key, with registration and the block's military flag; with ``contact`` in the key an aircraft
+    that comes back is new again."""
+    first = messages.groupBy(*key).agg(F.min_by("timestamp", "seq").alias("first_seen"), F.min("seq").alias("seq"))
     flag = F.col("icao").between(MILITARY_FIRST, MILITARY_LAST)
     return first.withColumns({"registration": N.n_number(F.col("icao")), "is_military": flag})
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import cpr
 from ..functions import modes as M
@@ -155,7 +156,30 @@ def d19_squawk(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).filter("msg_type = 'squawk'").select(F.expr("seq div 7").alias("id"), "squawk")
 
 
-@query()
+#: Fields of the three registers for the comparison: status bit, first bit, width, and when the value is plausible; {v} is the
+#: field, {s} the field with a sign. Bits count from 1 at the high end of 56.
+REGISTER_FIELDS = {
+    "bds40": [(1, 2, 12, "true"), (14, 15, 12, "true"), (27, 28, 12, "{v} <= 4000")],
+    "bds50": [(1, 2, 10, "abs({s}) * 45 <= 60 * 256"), (12, 13, 11, "true"), (24, 25, 10, "{v} <= 350"), (35, 36, 10, "true"), (46, 47, 10, "{v} <= 350")],
+    "bds60": [(1, 2, 11, "true"), (13, 14, 10, "{v} <= 500"), (24, 25, 10, "{v} * 2048 <= 512000"), (35, 36, 10, "abs({s}) * 32 <= 6000"), (46, 47, 10, "abs({s}) * 32 <= 6000")],
+}
+
+
+def _score_sql(fields: list[tuple[int, int, int, str]]) -> str:
+    bits = lambda first, width: f"((mb >> {57 - first - width}) & {(1 << width) - 1})"
+    signed = lambda v, width: f"(CASE WHEN {v} >= {1 << (width - 1)} THEN {v} - {1 << width} ELSE {v} END)"
+    return " + ".join(f"CASE WHEN {bits(status, 1)} = 0 THEN 0 WHEN {good.format(v=bits(first, n), s=signed(bits(first, n), n))} THEN 2 ELSE -10 END" for status, first, n, good in fields)
+
+
+#: The register that is told apart, if one leads by 4, from the scores of the very bits that are encoded.
+TOLD = (
+    f"{FX}, b AS (SELECT *, (1::BIGINT << 55) | ((id * 7 % 2500)::BIGINT << 43) | (1::BIGINT << 42) | ((id * 11 % 2500)::BIGINT << 30) | (1::BIGINT << 29) | ((id * 13 % 4000)::BIGINT << 17) AS mb FROM states), "
+    f"g AS (SELECT *, {', '.join(f'{_score_sql(f)} AS {name}' for name, f in REGISTER_FIELDS.items())} FROM b), o AS (SELECT *, list_reverse_sort([bds40, bds50, bds60]) AS s FROM g), "
+    "told AS (SELECT *, CASE s[1] WHEN bds40 THEN 'bds40' WHEN bds50 THEN 'bds50' ELSE 'bds60' END AS register FROM o WHERE s[1] > 0 AND s[1] - s[2] >= 4)"
+)
+
+
+@query(f"{TOLD} SELECT id, register, CASE register WHEN 'bds40' THEN CAST(id * 7 % 2500 * 16 AS INT) END AS mcp_altitude_ft, CASE register WHEN 'bds40' THEN CAST(id * 11 % 2500 * 16 AS INT) END AS fms_altitude_ft, CASE register WHEN 'bds40' THEN round(800 + (id * 13 % 4000) * 0.1::DOUBLE, 1) END AS baro_setting_mb FROM told")
 def d25_comm_b(spark: SparkSession, d: str) -> DataFrame:
     rows = messages(spark, d).filter("comm_b IS NOT NULL")
     return rows.select(F.expr("seq div 7").alias("id"), "comm_b.register", "comm_b.bds40.mcp_altitude_ft", "comm_b.bds40.fms_altitude_ft", F.round("comm_b.bds40.baro_setting_mb", 1).alias("baro_setting_mb"))
@@ -206,9 +230,9 @@ def d26_decode_summary(spark: SparkSession, d: str) -> DataFrame:
     return T.decode_summary(messages(spark, d)).select("icao", F.rtrim("callsign").alias("callsign"), "messages")
 
 
-@query()
+@query(f"{TOLD} SELECT concat('r', receiver_id) AS receiver, icao, max(id) AS id FROM told GROUP BY ALL")
 def t9_latest_comm_b(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: some registers are ambiguous and so not told, which the source rows don't show."""
+    """The newest reply of each aircraft whose register could be told."""
     rows = T.latest_comm_b(messages(spark, d))
     times = X.states(spark, d).select(F.concat(F.lit("r"), F.col("receiver_id").cast("string")).alias("receiver"), "icao", "id", F.round(F.col("timestamp") + 0.06, 3).alias("t"))
     return rows.withColumn("t", F.round("last_comm_b_seen", 3)).join(times, ["receiver", "icao", "t"]).select("receiver", "icao", "id")
@@ -320,3 +344,33 @@ def d22_bds50(spark: SparkSession, d: str) -> DataFrame:
 def d23_bds60(spark: SparkSession, d: str) -> DataFrame:
     rows = _fields(spark, d, [("id % 2", 55), ("id * 5 % 2048", 44), ("if(id % 3 = 1, 1, 0)", 43), ("id * 7 % 1024", 33), ("1", 32), ("id * 3 % 1024", 22), ("1", 21), ("id * 11 % 1024", 11), ("1", 10), ("id * 13 % 1024", 0)])
     return rows.select("id", *((F.round(c, 6) if k == "mach" else c).alias(k) for k, c in M.bds60(F.col("mb")).items()))
+
+
+#: Contacts on the air: an aircraft that is silent for more than a minute is forgotten; two of three receivers know their place.
+PLACES = [("r0", 36.0, -81.5), ("r1", 35.2, -82.0), ("r2", None, None)]
+LIVE = (
+    FX.replace("WITH states", "WITH RECURSIVE states", 1) + ", m AS (SELECT *, id * 7 + (callsign IS NULL)::INT AS first_seq, (id - lag(id) OVER (PARTITION BY icao ORDER BY id)) * 0.25 + (callsign IS NULL)::INT * 0.01 - 0.06 AS gap FROM states), "
+    "c AS (SELECT *, max(CASE WHEN gap IS NULL OR gap > 60 THEN first_seq END) OVER (PARTITION BY icao ORDER BY id) AS contact FROM m)"
+)
+
+
+@query(f"{LIVE}, {BLOCKS_CTE} SELECT concat('r', receiver_id) AS receiver, icao, contact, country, icao BETWEEN 'ADF7C8' AND 'AFFFFF' AS is_military, round(timestamp + (callsign IS NULL)::INT * 0.01, 2) AS first_seen FROM c LEFT JOIN blocks ON CAST('0x' || icao AS BIGINT) BETWEEN f AND l WHERE contact = first_seq")
+def t2_returning_aircraft(spark: SparkSession, d: str) -> DataFrame:
+    """An aircraft that comes back after a silence is new again."""
+    rows = C.change_streams(messages(spark, d), R.country_blocks(spark), silence=T.SILENCE)["new_aircraft"]
+    return rows.select("receiver", "icao", "contact", "country", "is_military", F.round("first_seen", 2).alias("first_seen"))
+
+
+@query(f"{LIVE}, p AS (SELECT icao, contact, id * 7 + k AS seq, timestamp + k * 0.01 AS t, row_number() OVER (PARTITION BY icao, contact ORDER BY id, k) AS n, receiver_id FROM c, (SELECT unnest([1, 2]) AS k)), o AS (SELECT icao, contact, seq, t, n - (receiver_id = 2)::INT AS k FROM p), "
+       "w AS (SELECT icao, contact, seq, k, t AS kept, true AS keep FROM o WHERE k = 1 UNION ALL SELECT o.icao, o.contact, o.seq, o.k, CASE WHEN o.t - w.kept >= 2 THEN o.t ELSE w.kept END, o.t - w.kept >= 2 FROM w JOIN o ON o.icao = w.icao AND o.contact = w.contact AND o.k = w.k + 1) SELECT icao, contact, seq, CASE WHEN seq % 7 = 2 OR k = 1 THEN true END AS near FROM w WHERE keep")
+def t1_live_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Stored positions per contact: where a receiver knows its place, from the first report on, else from the first pair.
+
+    ``near`` tells whether the place is the one that was encoded; not of even reports inside a contact, which pair with an older one.
+    """
+    rows = C.position_updates(messages(spark, d), places=spark.createDataFrame(PLACES, "receiver string, lat double, lon double"), silence=T.SILENCE)
+    s = X.states(spark, d).select("id", F.col("lat").alias("y"), F.col("lon").alias("x"))
+    near = (F.abs(F.col("lat") - F.col("y")) < 2e-4) & (F.abs(F.col("lon") - F.col("x")) < 2e-4)
+    rows = rows.withColumn("id", F.expr("seq div 7")).join(s, "id")
+    told = (F.col("seq") % 7 == 2) | (F.col("seq") == F.min("seq").over(Window.partitionBy("icao", "contact")))
+    return rows.select("icao", "contact", "seq", F.when(told, near).alias("near"))

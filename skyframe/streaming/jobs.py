@@ -14,7 +14,7 @@ from ..functions import modes
 from ..operators import streams as S
 from ..operators.aggregates import event_time
 from ..operators.positions import latest_per_key
-from ..operators.track import Fold, fold_rows
+from ..operators.track import Fold, fold_rows, with_places
 
 _STATE = ", ".join(f"{n} double" for n in Fold.__dataclass_fields__)
 SILENCE_MS = 60_000
@@ -34,14 +34,14 @@ def resolve_positions(messages: DataFrame, receiver: tuple[float, float] | None
             return
         fold = Fold(*state.get) if state.exists else Fold()
         parts = list(batches)
-        rows = pd.concat(parts).sort_values("seq") if parts else pd.DataFrame(columns=["seq", "cpr_odd", "cpr_lat", "cpr_lon", "timestamp"])
-        out = fold_rows(fold, rows, receiver, min_interval)
+        rows = pd.concat(parts).sort_values("seq") if parts else pd.DataFrame(columns=["seq", "cpr_odd", "cpr_lat", "cpr_lon", "timestamp", "ref_lat", "ref_lon"])
+        out = fold_rows(fold, rows, min_interval)
         state.update(fold.state())
         state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(*key, *r) for r in out], columns=["receiver", "icao", "seq", "lat", "lon", "stored"])
 
     rows = messages.filter("msg_type = 'position'").select("receiver", "icao", "seq", "timestamp", "cpr_odd", "cpr_lat", "cpr_lon")
-    return rows.groupBy("receiver", "icao").applyInPandasWithState(
+    return with_places(rows, receiver).groupBy("receiver", "icao").applyInPandasWithState(
         run, "receiver string, icao string, seq long, lat double, lon double, stored boolean", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
