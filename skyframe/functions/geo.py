@@ -32,3 +32,9 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float = RADIUS_NM) -> str:
     a = f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
     return f"(2 * {radius} * atan2(sqrt{a}, sqrt(1 - {a})))"
+
+
+def haversine_expr(lat1: str, lon1: str, lat2: str, lon2: str, radius: float = RADIUS_NM) -> str:
+    """``haversine`` as a Spark SQL expression, for use inside others."""
+    a = f"(sin(radians({lat2} - {lat1}) / 2) * sin(radians({lat2} - {lat1}) / 2) + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) * sin(radians({lon2} - {lon1}) / 2))"
+    return f"(2 * {radius}D * atan2(sqrt({a}), sqrt(1 - {a})))"

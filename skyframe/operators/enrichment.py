@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
+from ..functions import cells
+from ..functions.geo import haversine_expr
 from ..functions.refdata import CARGO, MILITARY_CALLSIGNS, MILITARY_FIRST, MILITARY_LAST
 
 LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ"  # Fixed values: letters of registration suffixes, without I and O.
-DEGREE_NM = 60.0
 
 
 def icao_number(icao: Column) -> Column:
@@ -100,28 +100,31 @@ def classify_from_profile(speed: Column, altitude: Column, military: Column, cal
     )
 
 
-def near_airports(df: DataFrame, airports: DataFrame, max_nm: float, key: str = "id") -> DataFrame:
-    """(key, airport, airport_name, airport_nm): the nearest airport strictly within max_nm of each row that has one.
+def with_airport(df: DataFrame, airports: DataFrame, max_nm: float) -> DataFrame:
+    """Adds ``airport``, ``airport_name`` and ``airport_nm`` of the nearest airport strictly within max_nm; null without one.
 
-    Points meet airports by cells of latitude as high as the radius: an airport is put into its own and the two next
-    cells, so the join is an equality; the distance is computed for these alone. Of equal distances the first code wins.
+    Airports are listed by the cells that a circle of the radius around them can reach, one row a cell; a point looks into
+    its own cell only, so the join is an equality that keeps each point one row. The lists are as long as airports
+    are dense. Spark broadcasts the cells while they are small and else shuffles. Of equal distances the first code wins.
     """
-    height = max(max_nm / DEGREE_NM, 1e-6)
-    cell = lambda lat: F.floor(lat / height).cast("long")
-    spread = airports.select(
-        F.col("code").alias("airport"), F.col("name").alias("airport_name"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"),
-        F.explode(F.array(cell(F.col("lat")) - 1, cell(F.col("lat")), cell(F.col("lat")) + 1)).alias("cell"),
-    )
-    points = df.select(key, "lat", "lon", cell(F.col("lat")).alias("cell"))
-    nm = haversine(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"))
-    met = points.join(F.broadcast(spread), "cell").withColumn("airport_nm", nm).filter(F.col("airport_nm") < max_nm)
-    best = met.groupBy(key).agg(F.min_by(F.struct("airport", "airport_name", "airport_nm"), F.struct("airport_nm", "airport")).alias("b"))
-    return best.select(key, "b.*")
-
-
-def flight_phase(df: DataFrame, airports: DataFrame, max_nm: float = 30.0, key: str = "id") -> DataFrame:
+    height = max(max_nm / cells.DEGREE_NM, 1e-3)
+    spread = airports.selectExpr("named_struct('airport', code, 'airport_name', name, 'lat', lat, 'lon', lon) AS a", f"explode({cells.around('lat', 'lon', height)}) AS c")
+    listed = spread.groupBy("c.row", "c.col").agg(F.collect_list("a").alias("__near")).withColumnsRenamed({"row": "__row", "col": "__col"})
+    points = df.selectExpr("*", f"{cells.row('lat', height)} AS __row").selectExpr("*", f"{cells.column('lon', '__row', height)} AS __col")
+    each = f"transform(__near, a -> named_struct('airport_nm', {haversine_expr('lat', 'lon', 'a.lat', 'a.lon')}, 'airport', a.airport, 'airport_name', a.airport_name))"
+    best = f"array_min(filter({each}, a -> a.airport_nm < {max_nm}D)) AS __best"
+    rows = points.join(listed, ["__row", "__col"], "left").selectExpr(*(f"`{c}`" for c in df.columns), best)
+    return rows.selectExpr(*(f"`{c}`" for c in df.columns), "__best.airport", "__best.airport_name", "__best.airport_nm")
+
+
+def near_airports(df: DataFrame, airports: DataFrame, max_nm: float, key: str = "id") -> DataFrame:
+    """(key, airport, airport_name, airport_nm): the nearest airport strictly within max_nm of each row that has one."""
+    return with_airport(df.select(key, "lat", "lon"), airports, max_nm).filter("airport IS NOT NULL").select(key, "airport", "airport_name", "airport_nm")
+
+
+def flight_phase(df: DataFrame, airports: DataFrame, max_nm: float = 30.0) -> DataFrame:
     """Adds airport columns and ``phase``; null where no airport is near."""
-    rows = df.join(near_airports(df, airports, max_nm, key), key, "left")
+    rows = with_airport(df, airports, max_nm)
     low = (F.col("airport_nm") < 15) & (F.col("altitude_ft") < 10000)
     text = lambda form: F.format_string(form, F.col("airport"), F.col("airport_nm"))
     phase = (
@@ -133,11 +136,24 @@ def flight_phase(df: DataFrame, airports: DataFrame, max_nm: float = 30.0, key:
     return rows.withColumn("phase", F.when(F.col("airport").isNotNull(), phase))
 
 
+#: Degrees of latitude in a cell of the fences' grid.
+FENCE_CELL = 0.5
+
+
+def with_fences(df: DataFrame, fences: DataFrame) -> DataFrame:
+    """Adds ``fences``, an array of (fence, fence_nm) of the fences that hold each row, nearest first, empty where none does.
+
+    Fences are listed by the cells that their circles can reach; a point looks into its own cell.
+    """
+    spread = fences.selectExpr("named_struct('fence', name, 'lat', lat, 'lon', lon, 'radius_nm', radius_nm) AS f", f"explode({cells.covering('lat', 'lon', 'radius_nm', FENCE_CELL)}) AS c")
+    listed = spread.groupBy("c.row", "c.col").agg(F.collect_list("f").alias("__near")).withColumnsRenamed({"row": "__row", "col": "__col"})
+    points = df.selectExpr("*", f"{cells.row('lat', FENCE_CELL)} AS __row").selectExpr("*", f"{cells.column('lon', '__row', FENCE_CELL)} AS __col")
+    each = f"transform(__near, f -> named_struct('fence_nm', {haversine_expr('f.lat', 'f.lon', 'lat', 'lon')}, 'fence', f.fence, 'radius_nm', f.radius_nm))"
+    inside = f"transform(array_sort(filter({each}, f -> f.fence_nm <= f.radius_nm)), f -> named_struct('fence', f.fence, 'fence_nm', f.fence_nm))"
+    none = "CAST(array() AS ARRAY<STRUCT<fence: STRING, fence_nm: DOUBLE>>)"
+    return points.join(listed, ["__row", "__col"], "left").selectExpr(*(f"`{c}`" for c in df.columns), f"coalesce({inside}, {none}) AS fences")
+
+
 def inside_fences(df: DataFrame, fences: DataFrame) -> DataFrame:
-    """Rows with each fence that holds them: (columns, fence, fence_nm). At most a hundred fences are allowed."""
-    f = fences.select(F.col("name").alias("fence"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), "radius_nm")
-    box = F.abs(F.col("lat") - F.col("f_lat")) <= F.col("radius_nm") / DEGREE_NM * 1.001
-    nm = haversine(F.col("f_lat"), F.col("f_lon"), F.col("lat"), F.col("lon"))
-    spread = f.withColumn("cell", F.explode(F.sequence(F.floor(F.col("f_lat") - F.col("radius_nm") / DEGREE_NM * 1.001), F.floor(F.col("f_lat") + F.col("radius_nm") / DEGREE_NM * 1.001))))
-    met = df.withColumn("cell", F.floor("lat")).join(F.broadcast(spread), "cell").filter(box)
-    return met.withColumn("fence_nm", nm).filter(F.col("fence_nm") <= F.col("radius_nm")).drop("cell", "f_lat", "f_lon", "radius_nm")
+    """Rows with each fence that holds them: (columns, fence, fence_nm)."""
+    return with_fences(df, fences).select(*df.columns, F.inline("fences"))

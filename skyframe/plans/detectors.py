@@ -122,7 +122,7 @@ TURN = ("t AS (SELECT *, lag(ph) OVER (PARTITION BY id ORDER BY pk) AS qh FROM h
 
 @query(f"{FX}, {HIST}, {TURN} SELECT icao, 'circling' AS event_type, 'Circling detected: ' || {LABEL} || printf(' - %.0f deg heading change', turned) AS description, lat, lon, altitude_ft, timestamp, id FROM c WHERE n >= 4 AND turned >= 360")
 def x5_circling(spark: SparkSession, d: str) -> DataFrame:
-    return D.circling(D.with_history(X.states(spark, d)))
+    return D.circling(D.with_frames(X.states(spark, d)))
 
 
 HOLD = ("r AS (SELECT * FROM h WHERE pt >= timestamp - 120), al AS (SELECT id, min(k) AS k, count(pa) AS na, max(pa) - min(pa) AS spread, CAST(floor(sum(pa) / count(pa)) AS BIGINT) AS mean, count(ph) AS nh FROM r GROUP BY id), "
@@ -134,7 +134,7 @@ HOLD = ("r AS (SELECT * FROM h WHERE pt >= timestamp - 120), al AS (SELECT id, m
        f"SELECT o.icao, 'holding_pattern' AS event_type, 'Holding pattern: ' || {LABEL} || ' - stable at ' || mean || ' ft, reciprocal headings' AS description, lat, lon, altitude_ft, timestamp, o.id FROM o JOIN al USING (id) JOIN two USING (id) WHERE o.k >= 8 AND na >= 4 AND spread <= 500 AND nh >= 8 AND n1 >= 2 AND n2 >= 2 AND abs(CASE WHEN sep > 18 THEN 36 - sep ELSE sep END - 18) <= 3")
 def x6_holding_pattern(spark: SparkSession, d: str) -> DataFrame:
     steady = X.states(spark, d).withColumns({"heading_deg": F.expr("CAST((id div 6) % 2 * 180 AS DOUBLE)"), "altitude_ft": F.expr("CAST(3000 + id % 300 AS INT)")})
-    return D.holding(D.with_history(steady))
+    return D.holding(D.with_frames(steady))
 
 
 @query(f"{FX}, {X.AIRPORTS_CTE}, {NEAR.replace('MAXNM', '15')} SELECT {_ev('unusual_altitude', f'''concat('Unusual altitude: ', {LABEL}, ' at ', altitude_ft, printf(' ft, %.0f kts, far from airports', speed_kts))''')} FROM states WHERE speed_kts > 200 AND altitude_ft > 0 AND altitude_ft < 3000 AND id NOT IN (SELECT id FROM near)")
