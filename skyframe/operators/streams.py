@@ -73,17 +73,23 @@ def split_changes(tagged: DataFrame, blocks: DataFrame, capture: Column | None =
     }
 
 
-def apply_change_streams(streams: dict[str, DataFrame], tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The tables aircraft, sightings and positions after the streams; those that are missing so far count as empty."""
-    tables = tables or {}
+def arrivals(streams: dict[str, DataFrame]) -> DataFrame:
+    """What the streams say of aircraft, as rows for ``aggregates.upsert_aircraft``."""
     updates = streams["aircraft_updates"].groupBy("icao").agg(F.min_by("timestamp", "seq").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.min("seq").alias("seq"))
     blank = {"registration": F.lit(None).cast("string"), "country": F.lit(None).cast("string"), "is_military": F.lit(False)}
     columns = ["icao", *blank, "first_seen", "last_seen", "seq"]
-    arrivals = streams["new_aircraft"].withColumn("last_seen", F.col("first_seen")).select(columns).unionByName(updates.withColumns(blank).select(columns))
-    old = tables.get("aircraft", arrivals.drop("seq").limit(0))
-    moved = streams["position_updates"]
+    return streams["new_aircraft"].withColumn("last_seen", F.col("first_seen")).select(columns).unionByName(updates.withColumns(blank).select(columns))
+
+
+def merged_aircraft(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    return A.upsert_aircraft(new.drop("seq").limit(0) if old is None else old, new)
+
+
+def apply_change_streams(streams: dict[str, DataFrame], tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables aircraft, sightings and positions after the streams; those that are missing so far count as empty."""
+    tables, moved = tables or {}, streams["position_updates"]
     return {
-        "aircraft": A.upsert_aircraft(old, arrivals),
+        "aircraft": merged_aircraft(tables.get("aircraft"), arrivals(streams)),
         "sightings": A.upsert_sightings(streams["sighting_updates"], tables.get("sightings")),
         "positions": tables["positions"].unionByName(moved) if "positions" in tables else moved,
     }

@@ -11,10 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import modes
+from ..operators import aggregates as A
 from ..operators import streams as S
 from ..operators.aggregates import event_time
 from ..operators.positions import latest_per_key
 from ..operators.track import Fold, fold_rows, with_places
+from . import buckets as B
 
 _STATE = ", ".join(f"{n} double" for n in Fold.__dataclass_fields__)
 SILENCE_MS = 60_000
@@ -117,3 +119,26 @@ def table_writer(path: str, blocks: DataFrame, capture: Column | None = None) ->
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
+
+
+def live_writer(path: str, blocks: DataFrame, capture: Column | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Writes batches of the live tracker's tagged rows (``tracker.track``) into the tables aircraft, sightings, positions and
+    contact_ends of a bucketed store (``buckets.read``): upserts rewrite the buckets they touch, the others are appended.
+
+    The tracker carries an aircraft's values between batches, so nothing is lost at their edges. A repeated batch changes
+    nothing; batches are told apart by the query's own id too, so that a new checkpoint, whose batches count from 0 again, goes on.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, rows = batch.sparkSession, batch.persist()
+        streams = S.split_changes(rows, blocks, capture)
+        changes = {
+            "aircraft": (S.arrivals(streams), "icao", S.merged_aircraft),
+            "sightings": (streams["sighting_updates"], "icao", lambda old, new: A.upsert_sightings(new, old)),
+        }
+        ends = rows.filter("kind = 'contact_end'").select("receiver", "icao", "contact", "timestamp", "message_count")
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        B.merge(spark, path, f"{query}:{batch_id}", changes, {"positions": streams["position_updates"], "contact_ends": ends}, buckets)
+        rows.unpersist()
+
+    return write
