@@ -9,6 +9,7 @@ from ..functions.geo import haversine_sql
 from ..operators import aggregates as A
 from ..operators import anomaly as G
 from ..operators import positions as P
+from ..operators import rollups as U
 from . import fixtures as X
 from .base import query
 from .positions import LATEST_SIGHTING
@@ -218,3 +219,25 @@ def r5_refresh_rollup(spark: SparkSession, d: str) -> DataFrame:
     middle = (begin + now) / 2
     old = A.rollup(rows.filter((F.col("timestamp") < middle) | (F.col("receiver_id") == 0)), 300)
     return _rounded(A.refresh_rollup(old, rows, 300, now, now - middle, -300))
+
+
+#: One position in eight comes late, by an hour; the clock of the first refresh is a third into the data, that of the second at its end.
+LATE = (
+    f"{FX}, come AS (SELECT *, timestamp + CASE WHEN id % 8 = 0 THEN 3600 ELSE 0 END AS arrives FROM positions), k AS (SELECT min(timestamp) + (max(timestamp) - min(timestamp)) / 3 AS one, max(timestamp) AS two FROM positions), "
+    "seen AS (SELECT * FROM come, k WHERE arrives <= one OR (timestamp >= floor((two - 600) / 30) * 30) OR (arrives <= two AND floor(timestamp / 30) * 30 >= floor((two - 7200) / 30) * 30 AND timestamp < floor((two - 600) / 30) * 30))"
+)
+
+
+@query(f"{LATE} SELECT icao, CAST(floor(timestamp / 30) * 30 AS DOUBLE) AS bucket, count(*) AS sample_count, round(avg(lat), 9) AS lat, CAST(trunc(avg(altitude_ft)) AS INT) AS altitude_ft FROM seen GROUP BY icao, 2")
+def w9_real_time_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Two refreshes of a stored rollup, of touched buckets alone, and the open buckets: late rows within two hours are in, later ones aren't."""
+    rows = X.positions(spark, d)
+    ends = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    one, two = ends[0] + (ends[1] - ends[0]) / 3, ends[1]
+    come = rows.withColumn("arrives", F.col("timestamp") + F.when(F.col("id") % 8 == 0, 3600).otherwise(0))
+    before, after = come.filter(F.col("arrives") <= one).drop("arrives"), come.filter((F.col("arrives") > one)).drop("arrives")
+    # what has arrived by the second refresh; rows of open buckets are read as they stand
+    by_now = come.filter((F.col("arrives") <= two) | (F.col("timestamp") >= U.finished_before(two, 30, 600))).drop("arrives")
+    store = U.refresh(A.rollup(rows.limit(0), 30), before, U.touched(before, 30), 30, one + 600 + 30, 1e9, 600)
+    store = U.refresh(store, by_now, U.touched(after, 30), 30, two, 7200, 600)
+    return U.real_time(store, by_now, 30, U.finished_before(two, 30, 600)).select("icao", "bucket", "sample_count", F.round("lat", 9).alias("lat"), "altitude_ft")
