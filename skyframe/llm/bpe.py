@@ -40,8 +40,11 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 GAPS = regex.compile(rf"[{SPACE}]+")
 #: Characters at which str.split() parts and the tokenizer doesn't.
 ODD_GAPS = "\x1c\x1d\x1e\x1f"
-#: Words whose ids a worker remembers, and as many older ones; with their keys some 60 MB for each of two caches.
+#: Words whose ids a worker remembers, and as many older ones, none longer than LONG characters: a bounded number of bytes.
 CACHE_WORDS = 1 << 17
+LONG = 64
+#: Pairs of neighbouring tokens whose compatibility a worker remembers; then it begins anew.
+CACHE_PAIRS = 1 << 19
 BLOCK_ROWS = 256
 
 
@@ -54,13 +57,20 @@ def byte_characters() -> list[str]:
 
 
 class _Cache(dict):
-    """Results of a function by its argument; when it holds too many, those not asked for since the last time go."""
+    """Results of a function by its argument; when it holds too many, those not asked for since the last time go.
+
+    Arguments over ``LONG`` characters are never held: texts without white space would fill it with a few of them.
+    """
 
     def __init__(self, make: Callable[[str], bytes]):
         self.make = make
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONG:
+            return self.make(key)
+        if len(self) >= 2 * CACHE_WORDS:
+            self.trim()
         value = self.older.pop(key, None)
         self[key] = value = self.make(key) if value is None else value
         return value
@@ -137,6 +147,8 @@ class WordBpe:
                 undone, a = at_a, self.parts[a][1]
             else:
                 undone, b = at_b + (at_a != at_b), self.parts[b][0]
+        if len(self.compatible) >= CACHE_PAIRS:
+            self.compatible.clear()
         self.compatible[pair] = result
         return result
 

@@ -111,3 +111,22 @@ def test_small_word_caches_give_the_same_ids(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     small = bpe.WordBpe(source)
     assert [list(small.encode(t)) for t in texts] == want and small.chunks.older
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    """Texts without white space, and more pairs or words than are remembered: the same ids, and little held."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    library, r = Tokenizer.from_file(path), random.Random(6)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 200)
+    own = bpe.WordBpe(Path(path).read_text(encoding="utf-8"))
+    for k in range(40):
+        text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/=-é中") for _ in range(3000)) + " " + " ".join(r.choice("abcde") * r.randint(1, 90) for _ in range(300))
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    for cache in (own.chunks, own.pieces):
+        assert len(cache) <= 101 and len(cache.older) <= 101 and max(map(len, [*cache, *cache.older])) <= bpe.LONG
+    assert len(own.compatible) <= 200
