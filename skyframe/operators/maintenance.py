@@ -37,8 +37,12 @@ def add_missing_column(table: DataFrame, name: str, kind: T.DataType | str) -> D
     return table if name in table.columns else table.withColumn(name, F.lit(None).cast(kind))
 
 
-def compact(positions: DataFrame, path: str) -> None:
-    """Rewrites a table by day, sorted by aircraft and newest time, so that files prune by their minima and maxima."""
-    day = F.to_date(F.timestamp_seconds("timestamp"))
-    rows = positions.withColumn("dt", day).repartition("dt").sortWithinPartitions("dt", "icao", F.col("timestamp").desc())
-    rows.write.mode("overwrite").partitionBy("dt").parquet(path)
+def compact(positions: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    """Rewrites a table by day, sorted by aircraft and newest time, so that files prune by their minima and maxima.
+
+    Rows are dealt to ranges of (day, aircraft, time), so that a long day is written by many tasks, a busy aircraft's too,
+    and each file covers a span of aircraft that only touches its neighbours'.
+    """
+    order = ["dt", "icao", F.col("timestamp").desc()]
+    rows = positions.withColumn("dt", F.to_date(F.timestamp_seconds("timestamp"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("dt").parquet(path)

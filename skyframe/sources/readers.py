@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.numbering import placed
 from ..operators.positions import latest_per_key
 
 BATCH = "receiver STRING, lat DOUBLE, lon DOUBLE, frames ARRAY<STRUCT<hex: STRING, timestamp: DOUBLE, signal_level: DOUBLE>>, timestamp DOUBLE"
@@ -25,13 +26,19 @@ def frame_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_frame_text(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, hex, timestamp) of capture files; seq is the line's place in its file. A capture file is one row until it is split."""
-    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "value"))
-    return frame_lines(files.withColumn("seq", F.col("seq").cast("long"))).select("seq", "hex", "timestamp")
+    """(file, seq, hex, timestamp) of capture files; seq is the line's place in its file, from 0, lines that are no frames counted.
+
+    Files are read in blocks by many tasks. A block knows where it begins and its lines come in order, so lines are numbered by (file,
+    beginning of the block, order), without gaps, by counts per range (``numbering.placed``); no task sees a whole file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = placed(lines, ["file"], [F.col("block"), F.col("at")], "seq", "lines")
+    return frame_lines(rows).select("file", "seq", "hex", "timestamp")
 
 
 def with_synthetic_time(frames: DataFrame, step: float = 0.001, key: str | None = None, start: float = 0.0) -> DataFrame:
-    """Gives lines without a time the last given time plus so many steps."""
+    """Gives lines without a time the last given time plus so many steps. Times run on from line to line, so a ``key``'s lines
+    are one task's; name the file or the receiver, or else the whole table is one."""
     by = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
     w = by.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = frames.withColumns({"__n": F.row_number().over(by.orderBy("seq")), "__base": F.last("timestamp", ignorenulls=True).over(w)})

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import modes, refdata
 from skyframe.operators import streams as C
-from skyframe.plans import frames as X
 from skyframe.streaming import buckets, jobs, tracker
 
 
@@ -49,10 +48,8 @@ def test_merge(spark, tmp_path):
     assert len([f for f in files(root) if "/sums/" in f]) <= 32 and len(os.listdir(f"{root}/manifests")) <= 6 and rows()["k3"] == 8
 
 
-def test_live_tables_equal_batch(spark, tmp_path):
-    spark.conf.set(*next(iter(tracker.STATE_STORE.items())))
-    rows = X.frames(spark, "/root/testdata/sf0.001").withColumn("timestamp", F.round((F.col("timestamp") - 1704067200) * 8 + 1000, 3)).filter("seq < 2800")
-    frames = spark.createDataFrame([tuple(r[c] for c in ("receiver", "seq", "hex", "timestamp")) for r in rows.collect()], "receiver string, seq long, hex string, timestamp double").cache()
+def test_live_tables_equal_batch(streaming, spark, encoded, tmp_path):
+    frames = spark.createDataFrame([r for r in encoded if r[1] < 2800], "receiver string, seq long, hex string, timestamp double").cache()
     for lo in range(0, 2800, 700):
         frames.filter((F.col("seq") >= lo) & (F.col("seq") < lo + 700)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         time.sleep(1.05)

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from skyframe.operators import detectors as D
 from skyframe.plans import fixtures as X
-from skyframe.streaming import detect, tracker
+from skyframe.streaming import detect
 
 
 @pytest.mark.parametrize("batches", [1, 4])
-def test_stream_equals_batch(spark, tmp_path, batches):
-    spark.conf.set(*next(iter(tracker.STATE_STORE.items())))
+def test_stream_equals_batch(streaming, spark, tmp_path, batches):
     rows = X.states(spark, "/root/testdata/sf0.001").withColumn("timestamp", (F.col("timestamp") - 1704067200) * 8 + 1000)
     # one aircraft flies to and fro at a steady height, some headings and heights are missing
     steady = F.col("icao") == rows.agg(F.min("icao")).first()[0]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from skyframe.functions import modes, refdata
 from skyframe.operators import streams as C
 from skyframe.operators import track as T
-from skyframe.plans import frames as X
 from skyframe.streaming import tracker
 
 SCHEMA = "receiver string, seq long, hex string, timestamp double"
@@ -16,13 +15,10 @@ PLACES = [("r0", 36.0, -81.5), ("r1", 35.2, -82.0), ("r2", None, None)]
 
 
 @pytest.fixture(scope="module")
-def frames(spark):
-    """Frames over half an hour, so that aircraft fall silent and come back; addresses in clear are rare for some."""
-    spark.conf.set(*next(iter(tracker.STATE_STORE.items())))
-    rows = X.frames(spark, "/root/testdata/sf0.001").withColumn("timestamp", F.round((F.col("timestamp") - 1704067200) * 8, 3))
-    rows = rows.filter("NOT (substring(hex, 1, 2) = '8D' AND (seq div 7) % 4 > 0)").filter("(seq div 7) % 20 < 16")
-    rows = rows.collect()
-    return spark.createDataFrame([tuple(r[c] for c in ("receiver", "seq", "hex", "timestamp")) for r in rows], SCHEMA).repartition(4).cache()
+def frames(spark, encoded):
+    """Aircraft fall silent and come back; addresses in clear are rare for some."""
+    rows = [r for r in encoded if not (r[2].startswith("8D") and r[1] // 7 % 4 > 0) and r[1] // 7 % 20 < 16]
+    return spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
 
 
 def stream(spark, frames, tmp_path, batches, run):
@@ -44,14 +40,14 @@ def rows(df, *columns):
 
 
 @pytest.mark.parametrize("batches", [5])
-def test_address_check_equals_batch(spark, frames, tmp_path, batches):
+def test_address_check_equals_batch(streaming, spark, frames, tmp_path, batches):
     got = stream(spark, frames, tmp_path, batches, lambda f: tracker.check_addresses(modes.parse_frames(f, validate_icao=False)))
     want, all_ = modes.parse_frames(frames), modes.parse_frames(frames, validate_icao=False)
     assert rows(got, *want.columns) == rows(want, *want.columns) and want.count() < all_.count()
 
 
 @pytest.mark.parametrize("batches", [1, 6])
-def test_four_streams_equal_batch(spark, frames, tmp_path, batches):
+def test_four_streams_equal_batch(streaming, spark, frames, tmp_path, batches):
     places = spark.createDataFrame(PLACES, "receiver string, lat double, lon double")
     tagged = stream(spark, frames, tmp_path, batches, lambda f: tracker.track(f, places=places)).cache()
     messages = modes.decode_messages(modes.parse_frames(frames)).cache()
