@@ -93,15 +93,15 @@ def with_frames(states: DataFrame, turning: float = 300.0, holding_for: float =
         "*", f"sum(__new) OVER {sofar} AS session", f"sum(__turn) OVER {sofar} AS __all", f"last(if(__lag IS NULL OR timestamp <> __lag, __k, NULL), true) OVER {sofar} AS __tie",
     ).selectExpr("*", f"CAST(timestamp * 1000000 AS BIGINT) * {TIES} + least({TIES - 1}, __k - __tie) AS __at")
 
-    def sums(frame: str) -> str:
-        parts = {"turned": "min(if(heading_deg IS NULL, NULL, __all))", "heads": "min(if(heading_deg IS NULL, NULL, __heads))", "first": "min(__k)", "alts": "count(altitude_ft)", "top": "max(altitude_ft)", "low": "min(altitude_ft)", "sum": "sum(altitude_ft)"}
-        parts |= {f"bins{j}": f"try_sum(if(__bin div 9 = {j}, shiftleft(1L, __bin % 9 * 7), NULL))" for j in range(4)}
-        return "named_struct(" + ", ".join(f"'{n}', {e} OVER {frame}" for n, e in parts.items()) + ")"
-
+    parts = {"turned": "min(if(heading_deg IS NULL, NULL, __all))", "heads": "min(if(heading_deg IS NULL, NULL, __heads))", "first": "min(__k)"}
+    parts |= {"alts": "count(altitude_ft)", "top": "max(altitude_ft)", "low": "min(altitude_ft)", "sum": "sum(altitude_ft)"}
+    parts |= {f"bins{j}": f"try_sum(if(__bin div 9 = {j}, shiftleft(1L, __bin % 9 * 7), NULL))" for j in range(4)}
+    # columns of their own, so that those that nobody asks for aren't computed
+    over = lambda to, frame: [f"{e} OVER {frame} AS __{to}_{n}" for n, e in parts.items()]
     back = lambda seconds: f"(PARTITION BY icao ORDER BY __at RANGE BETWEEN {round(seconds * 1_000_000) * TIES + TIES - 1} PRECEDING AND CURRENT ROW)"
-    rows = rows.selectExpr("*", f"{sums(f'({w} ROWS BETWEEN {HISTORY - 1} PRECEDING AND CURRENT ROW)')} AS __n").selectExpr("*", f"{sums(back(turning))} AS __t", f"{sums(back(holding_for))} AS __h")
-    later = lambda c: f"if(__k - {c}.first < {HISTORY}, {c}, __n)"
-    own = f"named_struct('all', __all, 'heads', __heads, 'k', __k, 't', {later('__t')}, 'h', {later('__h')}) AS __f"
+    rows = rows.selectExpr("*", *over("n", f"({w} ROWS BETWEEN {HISTORY - 1} PRECEDING AND CURRENT ROW)")).selectExpr("*", *over("t", back(turning)), *over("h", back(holding_for)))
+    later = lambda to: "named_struct(" + ", ".join(f"'{n}', if(__k - __{to}_first < {HISTORY}, __{to}_{n}, __n_{n})" for n in parts) + ")"
+    own = f"named_struct('all', __all, 'heads', __heads, 'k', __k, 't', {later('t')}, 'h', {later('h')}) AS __f"
     return rows.selectExpr(*(f"`{c}`" for c in states.columns), "session", own)
 
 

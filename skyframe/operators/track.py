@@ -243,13 +243,34 @@ def counters(frames: DataFrame, messages: DataFrame, resolved: DataFrame) -> Dat
     return total.join(valid, "receiver", "left").join(fixes, "receiver", "left").na.fill(0)
 
 
-def decode_summary(messages: DataFrame) -> DataFrame:
-    """Per aircraft the last values and number of messages, most first; a velocity message overwrites with its nulls."""
+def decode_summary(messages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Per aircraft of one capture the last values, place and number of messages, most first; with ``blocks`` its country too.
+
+    Unlike in a track, a velocity message overwrites with its nulls, and so does an altitude reply; places come from pairs of reports alone.
+    """
     newest = lambda c, when: F.max_by(c, F.when(when, F.col("seq")))
-    v = F.col("msg_type") == "velocity"
-    rows = messages.groupBy("icao").agg(
-        newest(F.col("callsign"), F.col("callsign").isNotNull()).alias("callsign"), newest(F.col("squawk"), F.col("squawk").isNotNull()).alias("squawk"),
-        newest(F.col("altitude_ft"), F.col("altitude_ft").isNotNull()).alias("altitude_ft"), newest(F.col("velocity.speed_kts"), v).alias("speed_kts"),
+    kind, known = F.col("msg_type"), lambda c: F.col(c).isNotNull()
+    v = kind == "velocity"
+    w = Window.partitionBy("icao").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    report = F.struct("cpr_lat", "cpr_lon", "timestamp")
+    last = {n: F.last(F.when((kind == "position") & (F.col("cpr_odd") == F.lit(odd)), report), ignorenulls=True).over(w) for n, odd in (("even", False), ("odd", True))}
+    rows = messages.select("icao", "seq", "msg_type", "callsign", "squawk", "altitude_ft", "velocity", F.struct(*(c.alias(n) for n, c in last.items())).alias("pair"))
+    # as a lambda the formula stays outside the generated code, which it would make too large
+    at = lambda p: cpr.decode_global(p["even"]["cpr_lat"], p["even"]["cpr_lon"], p["odd"]["cpr_lat"], p["odd"]["cpr_lon"], p["even"]["timestamp"], p["odd"]["timestamp"])
+    both = (kind == "position") & known("pair.even") & known("pair.odd")
+    rows = rows.withColumn("at", F.get(F.transform(F.when(both, F.array("pair")), at), F.lit(0)))
+    rows = rows.groupBy("icao").agg(
+        newest(F.trim("callsign"), known("callsign")).alias("callsign"), newest(F.col("squawk"), known("squawk")).alias("squawk"),
+        newest(F.col("altitude_ft"), (kind == "altitude") | known("altitude_ft")).alias("altitude_ft"), newest(F.col("velocity.speed_kts"), v).alias("speed_kts"),
         newest(F.col("velocity.heading_deg"), v).alias("heading_deg"), newest(F.col("velocity.vertical_rate_fpm"), v).alias("vertical_rate_fpm"), F.count("*").alias("messages"),
+        newest(F.col("at"), known("at")).alias("at"),
     )
+    rows = rows.select("*", "at.lat", "at.lon").drop("at")
+    rows = rows if blocks is None else N.lookup_country(rows, blocks)
     return rows.orderBy(F.col("messages").desc(), "icao")
+
+
+def decode_totals(frames: DataFrame, messages: DataFrame) -> DataFrame:
+    """(frames, decoded, aircraft): one row about a capture: parsed frames, those with a message, and how many aircraft sent them."""
+    told = messages.agg(F.count("*").alias("decoded"), F.count_distinct("icao").alias("aircraft"))
+    return frames.agg(F.count("*").alias("frames")).crossJoin(told)  # one row each

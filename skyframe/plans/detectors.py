@@ -73,10 +73,9 @@ def n6_nearest_airport(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "airport", F.round("airport_nm", 4).alias("airport_nm"))
 
 
-@query(f"{FX}, {X.AIRPORTS_CTE}, {NEAR.replace('MAXNM', '30')} SELECT s.id, airport, CASE WHEN airport IS NULL THEN NULL WHEN airport_nm < 15 AND altitude_ft < 10000 AND vertical_rate_fpm < -200 THEN 'Approaching' WHEN airport_nm < 15 AND altitude_ft < 10000 AND vertical_rate_fpm > 200 THEN 'Departing' WHEN airport_nm < 5 THEN 'Near' ELSE 'Overflying' END AS phase FROM states s LEFT JOIN near USING (id)")
+@query(f"{FX}, {X.AIRPORTS_CTE}, {NEAR.replace('MAXNM', '30')} SELECT s.id, airport, CASE WHEN airport IS NULL THEN NULL WHEN airport_nm < 15 AND altitude_ft < 10000 AND vertical_rate_fpm < -200 THEN printf('Approaching %s (%.0fnm)', airport, airport_nm) WHEN airport_nm < 15 AND altitude_ft < 10000 AND vertical_rate_fpm > 200 THEN printf('Departing %s (%.0fnm)', airport, airport_nm) WHEN airport_nm < 5 THEN printf('Near %s (%.1fnm)', airport, airport_nm) ELSE printf('Overflying %s (%.0fnm)', airport, airport_nm) END AS phase FROM states s LEFT JOIN near USING (id)")
 def n7_flight_phase(spark: SparkSession, d: str) -> DataFrame:
-    rows = N.flight_phase(X.positions(spark, d), X.airports(spark))
-    return rows.select("id", "airport", F.regexp_extract("phase", "^([A-Za-z]+)", 1).alias("phase")).withColumn("phase", F.when(F.col("airport").isNotNull(), F.col("phase")))
+    return N.flight_phase(X.positions(spark, d), X.airports(spark)).select("id", "airport", "phase")
 
 
 @query(f"{FX}, {X.FENCES_CTE} SELECT id, name AS fence, round({haversine_sql('f.lat', 'f.lon', 's.lat', 's.lon')}, 4) AS fence_nm FROM states s, fences f WHERE {haversine_sql('f.lat', 'f.lon', 's.lat', 's.lon')} <= radius_nm")

@@ -18,6 +18,7 @@ from . import fixtures as X
 from .base import query
 
 FX = X.FX
+BLOCKS_CTE = R.values_sql("blocks", "f, l, country", [(int(a, 16), int(b, 16), c) for a, b, c in R.rows(R.COUNTRY_BLOCKS, 3)])
 EW, NS = "(id * 37) % 801 - 400", "(id * 53) % 601 - 300"
 
 
@@ -202,32 +203,51 @@ def t1_resolve_positions(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(s, "id").select("id", ((F.abs(F.col("y") - F.col("lat")) < 2e-4) & (F.abs(F.col("x") - F.col("lon")) < 2e-4)).alias("near"))
 
 
+def velocity_sql(i: str) -> str:
+    """Columns of the velocity that is encoded for an id."""
+    x, y = f"(({i} * 37) % 801 - 400)", f"(({i} * 53) % 601 - 300)"
+    turn = f"degrees(atan2({x}, {y}))"
+    return f"round(sqrt({x} * {x} + {y} * {y}), 2) AS speed_kts, round(CASE WHEN {turn} < 0 THEN {turn} + 360 ELSE {turn} END, 2) AS heading_deg, CAST((({i} * 17) % 400 - 200) * 64 AS INT) AS vertical_rate_fpm"
+
+
 NEWEST_SQL = (
     f"{FX} SELECT concat('r', receiver_id) AS receiver, icao, max_by(callsign, id) FILTER (callsign IS NOT NULL) AS callsign, max_by(squawk, id) AS squawk, max_by({ALT}, id) FILTER (altitude_ft IS NOT NULL) AS altitude_ft, "
-    "count(*) * 5 + count(callsign) + count(altitude_ft) AS message_count FROM states GROUP BY ALL"
+    f"count(*) * 5 + count(callsign) + count(altitude_ft) AS message_count, {velocity_sql('max(id)')}, icao BETWEEN 'ADF7C8' AND 'AFFFFF' OR bool_or(coalesce(callsign LIKE 'RCH%', false)) AS is_military FROM states GROUP BY receiver_id, icao"
 )
+VALUES = ("callsign", "squawk", "altitude_ft", "message_count", "speed_kts", "heading_deg", "vertical_rate_fpm", "is_military")
 
 
 @query(NEWEST_SQL)
 def t3_latest_state(spark: SparkSession, d: str) -> DataFrame:
-    return T.latest_state(messages(spark, d)).select("receiver", "icao", "callsign", "squawk", "altitude_ft", "message_count")
+    return T.latest_state(messages(spark, d)).select("receiver", "icao", *VALUES)
 
 
 @query(NEWEST_SQL)
 def t3_running_state(spark: SparkSession, d: str) -> DataFrame:
     rows = T.running_state(messages(spark, d))
-    last = rows.groupBy("receiver", "icao").agg(F.max_by(F.struct("callsign", "squawk", "altitude_ft", "message_count"), "seq").alias("s"))
+    last = rows.groupBy("receiver", "icao").agg(F.max_by(F.struct(*VALUES), "seq").alias("s"))
     return last.select("receiver", "icao", "s.*")
 
 
-@query(f"{FX} SELECT concat('r', receiver_id) AS receiver, icao, icao BETWEEN 'ADF7C8' AND 'AFFFFF' AS is_military FROM states GROUP BY ALL")
+@query(f"{FX} SELECT concat('r', receiver_id) AS receiver, icao, icao BETWEEN 'ADF7C8' AND 'AFFFFF' AS is_military, round(min_by(timestamp + (callsign IS NULL)::INT * 0.01, id), 2) AS first_seen, min_by(id * 7 + (callsign IS NULL)::INT, id) AS seq FROM states GROUP BY receiver_id, icao")
 def t2_new_aircraft(spark: SparkSession, d: str) -> DataFrame:
-    return T.new_aircraft(messages(spark, d)).select("receiver", "icao", "is_military")
+    return T.new_aircraft(messages(spark, d)).select("receiver", "icao", "is_military", F.round("first_seen", 2).alias("first_seen"), "seq")
 
 
-@query(f"{FX} SELECT icao, max_by(callsign, id) FILTER (callsign IS NOT NULL) AS callsign, count(*) * 5 + count(callsign) + count(altitude_ft) AS messages FROM states GROUP BY icao")
+@query(f"{FX}, {BLOCKS_CTE}, s AS (SELECT icao, max_by(callsign, id) FILTER (callsign IS NOT NULL) AS callsign, max_by(squawk, id) AS squawk, max(id) AS id, count(*) * 5 + count(callsign) + count(altitude_ft) AS messages FROM states GROUP BY icao) "
+       f"SELECT s.icao, s.callsign, s.squawk, {ALT} AS altitude_ft, {velocity_sql('id')}, true AS near, country, messages FROM s JOIN (SELECT id, altitude_ft FROM states) USING (id) LEFT JOIN blocks ON CAST('0x' || s.icao AS BIGINT) BETWEEN f AND l")
 def d26_decode_summary(spark: SparkSession, d: str) -> DataFrame:
-    return T.decode_summary(messages(spark, d)).select("icao", F.rtrim("callsign").alias("callsign"), "messages")
+    """``near``: the place is that of the newest pair of reports."""
+    rows = T.decode_summary(messages(spark, d), R.country_blocks(spark))
+    s = X.states(spark, d).groupBy("icao").agg(F.max_by(F.struct(F.col("lat").alias("y"), F.col("lon").alias("x")), "id").alias("p"))
+    near = (F.abs(F.col("lat") - F.col("p.y")) < 2e-4) & (F.abs(F.col("lon") - F.col("p.x")) < 2e-4)
+    return rows.join(s, "icao").select("icao", "callsign", "squawk", "altitude_ft", "speed_kts", "heading_deg", "vertical_rate_fpm", near.alias("near"), "country", "messages")
+
+
+@query(f"{FX} SELECT CAST(sum(5 + (callsign IS NOT NULL)::INT + (altitude_ft IS NOT NULL)::INT) AS BIGINT) AS frames, CAST(sum(5 + (callsign IS NOT NULL)::INT + (altitude_ft IS NOT NULL)::INT) AS BIGINT) AS decoded, count(DISTINCT icao) AS aircraft FROM states")
+def d26_decode_totals(spark: SparkSession, d: str) -> DataFrame:
+    parsed = M.parse_frames(frames(spark, d))
+    return T.decode_totals(parsed, M.decode_messages(parsed))
 
 
 @query(f"{TOLD} SELECT concat('r', receiver_id) AS receiver, icao, max(id) AS id FROM told GROUP BY ALL")
@@ -243,9 +263,10 @@ def t5_downsample_on_write(spark: SparkSession, d: str) -> DataFrame:
     return T.downsample_on_write(X.positions(spark, d), 30.0).select("id", "icao")
 
 
-@query(f"{FX} SELECT id, CAST(least(120, row_number() OVER (PARTITION BY icao ORDER BY id)) AS INT) AS n FROM states")
+@query(f"{FX} SELECT id, CAST(count(*) OVER w AS INT) AS n, round(min(timestamp) OVER w, 3) AS oldest, CAST(sum(altitude_ft) OVER w AS BIGINT) AS altitudes, sum(heading_deg) OVER w AS headings FROM states WINDOW w AS (PARTITION BY icao ORDER BY id ROWS 119 PRECEDING)")
 def t6_histories(spark: SparkSession, d: str) -> DataFrame:
-    return T.histories(X.positions(spark, d)).select("id", F.size("history").alias("n"))
+    rows = T.histories(X.positions(spark, d))
+    return rows.selectExpr("id", "size(history) AS n", "round(history[0].timestamp, 3) AS oldest", "aggregate(history, CAST(NULL AS BIGINT), (s, x) -> coalesce(s + x.altitude_ft, s, x.altitude_ft)) AS altitudes", "aggregate(history, 0D, (s, x) -> s + x.heading_deg) AS headings")
 
 
 @query(f"{FX} SELECT icao, last_seen FROM aircraft WHERE (SELECT now FROM clock) - last_seen <= 60")
@@ -264,9 +285,6 @@ def _halves(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return tables
 
 
-BLOCKS_CTE = R.values_sql("blocks", "f, l, country", [(int(a, 16), int(b, 16), c) for a, b, c in R.rows(R.COUNTRY_BLOCKS, 3)])
-
-
 @query(f"{FX}, {BLOCKS_CTE}, a AS (SELECT icao, CAST('0x' || icao AS BIGINT) AS n, icao BETWEEN 'ADF7C8' AND 'AFFFFF' AS is_military, round(1704067200 + min_by(id * 0.25::DOUBLE + CASE WHEN callsign IS NULL THEN 0.01 ELSE 0 END, id), 2) AS first_seen, round(1704067200 + max(id) * 0.25::DOUBLE + 0.06, 2) AS last_seen FROM states GROUP BY ALL) "
        "SELECT icao, country, is_military, first_seen, last_seen FROM a LEFT JOIN blocks ON n BETWEEN f AND l")
 def k8_aircraft_table(spark: SparkSession, d: str) -> DataFrame:

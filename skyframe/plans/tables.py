@@ -102,12 +102,13 @@ def a18_ais_ingest_stats(spark: SparkSession, d: str) -> DataFrame:
     return V.ingest_stats(V.parse_ais(_documents(spark, d)), 60)
 
 
-@query(f"{FX}, n AS (SELECT icao, timestamp AS t0, lat, lon, id, lead(timestamp) OVER w AS t1, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1 FROM positions WINDOW w AS (PARTITION BY icao ORDER BY timestamp, id)), g AS (SELECT s + k * 20.0::DOUBLE AS t FROM (SELECT min(timestamp) AS s, unnest(range(0, CAST(ceil((max(timestamp) - min(timestamp) + 300) / 20) AS BIGINT))) AS k FROM positions)) "
-       "SELECT icao, t, round(CASE WHEN t1 - t0 <= 300 THEN lat + (t - t0) / (t1 - t0) * (lat1 - lat) ELSE lat END, 6) AS lat, round(CASE WHEN t1 - t0 <= 300 THEN lon + (t - t0) / (t1 - t0) * (lon1 - lon) ELSE lon END, 6) AS lon FROM n JOIN g ON t >= t0 AND t < coalesce(t1, 1e18) AND t < CASE WHEN t1 - t0 <= 300 THEN t1 ELSE t0 + 300 END")
+@query(f"{FX}, n AS (SELECT icao, timestamp AS t0, lat, lon, id, lead(timestamp) OVER w AS t1, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1, altitude_ft AS a, lead(altitude_ft) OVER w AS a1, heading_deg AS h, lead(heading_deg) OVER w AS h1 FROM positions WINDOW w AS (PARTITION BY icao ORDER BY timestamp, id)), g AS (SELECT s + k * 20.0::DOUBLE AS t FROM (SELECT min(timestamp) AS s, unnest(range(0, CAST(ceil((max(timestamp) - min(timestamp) + 300) / 20) AS BIGINT))) AS k FROM positions)) "
+       ", m AS (SELECT *, CASE WHEN t1 - t0 <= 300 THEN (t - t0) / (t1 - t0) ELSE 0 END AS f FROM n JOIN g ON t >= t0 AND t < coalesce(t1, 1e18) AND t < CASE WHEN t1 - t0 <= 300 THEN t1 ELSE t0 + 300 END) "
+       "SELECT icao, t, round(CASE WHEN t1 - t0 <= 300 THEN lat + (t - t0) / (t1 - t0) * (lat1 - lat) ELSE lat END, 6) AS lat, round(CASE WHEN t1 - t0 <= 300 THEN lon + (t - t0) / (t1 - t0) * (lon1 - lon) ELSE lon END, 6) AS lon, CAST(round(a + f * (coalesce(a1, a) - a)) AS INT) AS altitude_ft, round(fmod(h + f * (fmod(coalesce(h1, h) - h + 540, 360) - 180) + 360, 360), 6) AS heading_deg FROM m")
 def i1_interpolate_at(spark: SparkSession, d: str) -> DataFrame:
     span = X.positions(spark, d).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
     rows = S.interpolate_at(X.positions(spark, d), 20.0, span["first"], span["last"] + 300)
-    return rows.select("icao", "t", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    return rows.select("icao", "t", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "altitude_ft", F.round("heading_deg", 6).alias("heading_deg"))
 
 
 @query(f"{FX} SELECT icao, id, step, round(lat + speed_kts * (5.0::DOUBLE / 60) * step / 4 / 60 * cos(radians(heading_deg)), 6) AS lat, round(lon + speed_kts * (5.0::DOUBLE / 60) * step / 4 / 60 * sin(radians(heading_deg)) / cos(radians(lat)), 6) AS lon FROM positions, (SELECT CAST(unnest([1, 2, 3, 4]) AS INT) AS step) WHERE speed_kts >= 30")
