@@ -78,7 +78,7 @@ def test_registrations(spark):
 def test_circling_and_stuck(spark):
     rows = [(k, "A1", 35.0, -83.0, 3000, 150.0, float(k * 10 % 360), 0, 1000 + k * 7.5, None) for k in range(40)]
     s = spark.createDataFrame(rows, "id long, icao string, lat double, lon double, altitude_ft int, speed_kts double, heading_deg double, vertical_rate_fpm int, timestamp double, callsign string")
-    assert detectors.circling(detectors.with_history(s)).count() > 0
+    assert detectors.circling(detectors.with_frames(s)).count() > 0
     far = s.filter("id IN (0, 39)")
     assert anomaly.score_positions(far).filter("id = 39").first().flags == ["stuck_position"]
 
