@@ -130,3 +130,43 @@ def test_bpe_memory_is_bounded(monkeypatch):
     for cache in (own.chunks, own.pieces):
         assert len(cache) <= 101 and len(cache.older) <= 101 and max(map(len, [*cache, *cache.older])) <= bpe.LONG
     assert len(own.compatible) <= 200
+
+
+def test_trees_against_loops():
+    """The flat traversal against a recursive one, and every split and leaf of a tree against sums in plain loops."""
+    Q, r = quality_classifier, np.random.default_rng(3)
+    x = np.round(r.normal(size=(300, len(Q.STATISTICS))), 1)
+    y = ((x[:, 1] > 0.2) ^ (x[:, 4] > 0.5)).astype(float)
+    trees = Q.fit(x, y)
+
+    def walk(t, row, node):
+        if node >= trees.feature.shape[1]:
+            return trees.leaf[t][node - trees.feature.shape[1]]
+        return walk(t, row, 2 * node + (2 if row[trees.feature[t][node]] > trees.cut[t][node] else 1))
+
+    want = [trees.base + sum(walk(t, row, 0) for t in range(len(trees.feature))) for row in x]
+    assert np.allclose(trees.margin(x), want) and ((trees.score(x) >= 0.5) == y).mean() > 0.9
+
+    rate = y.mean()
+    g, h = y - rate, np.full(len(y), rate * (1 - rate))
+    edges = [np.unique(np.quantile(x[:, c], np.linspace(0, 1, Q.BINS)[1:-1])) for c in range(x.shape[1])]
+    part = lambda rows: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + Q.RIDGE)
+
+    def check(node, rows):
+        if node >= trees.feature.shape[1]:
+            total = Q.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + Q.RIDGE)
+            assert np.isclose(trees.leaf[0][node - trees.feature.shape[1]], total)
+            return
+        split = lambda c, cut: ([i for i in rows if x[i, c] <= cut], [i for i in rows if x[i, c] > cut])
+        gains = [0.0]
+        for c in range(x.shape[1]):
+            for cut in edges[c]:
+                left, right = split(c, cut)
+                if min(sum(h[i] for i in left), sum(h[i] for i in right)) >= 1.0:
+                    gains.append(part(left) + part(right) - part(rows))
+        left, right = split(trees.feature[0][node], trees.cut[0][node])
+        assert np.isclose(part(left) + part(right) - part(rows), max(gains))
+        check(2 * node + 1, left)
+        check(2 * node + 2, right)
+
+    check(0, list(range(len(x))))
