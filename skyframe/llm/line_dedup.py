@@ -1,18 +1,21 @@
-"""Line dedup by windows of lines: later copies of repeated runs of lines are deleted, the first one stays.
-
-Texts are cut after line ends and after sentence ends, so that a passage is found inside a longer line too; such a
-piece is called a line here. A line is deleted if it lies in a run of lines of at least ``MIN_WORDS`` words in all that
-is also found before: in an earlier document (by document id, then hash of the text) or earlier in the same one.
-
-This is settled without comparing documents. From each line on there is one shortest run of ``MIN_WORDS`` words, and
-one that ends with it; what these windows hold depends on their own lines only, so every copy of a run has the same
-ones, and together they cover it. Windows are compared by hash, and each but the first of its hash is deleted.
+"""Line dedup by winnowing: later copies of repeated runs of lines are deleted, the first one stays.
+
+Texts are cut after line ends, after marks that end a sentence or a part of one, and after words that end in ``d`` or ``y``,
+so that a passage that begins or ends inside a line, or has a word changed in one, is found but for a few words; such a piece
+is called a line here. A line is deleted if it lies in a run of lines of at least ``MIN_WORDS`` words in all that is also found
+before: in an earlier document (by document id, then hash of the text) or earlier in the same one, where runs may overlap.
+
+From each line on there is one shortest run of ``MIN_WORDS`` words, and one or more that end before the next line's does: these are
+the windows. The least line hash of a window is its fingerprint; neighbouring windows mostly share it, and every copy of
+a run selects the same ones. Fingerprints are joined by hash over all documents, and those found once go, with their
+windows. A match is then extended to both sides of its fingerprint by the windows around it, compared by the hash of all
+their lines: each but the first of its hash is deleted, and together these cover the run from end to end.
 Each window meets one row, its first occurrence, however many documents hold it.
 
 Defined results: a null text stays null and has no lines; null ids come before all others; rows with the same id and
 text count as one document and get the same result; blank lines are passed over in runs and go with the line before
-them; an empty table gives an empty table; extra columns pass through, but for n_lines, n_deleted and words_deleted,
-which are replaced.
+them; a text without places to cut is one line; work and memory follow the length of a text, however long; an empty table
+gives an empty table; extra columns of any name pass through, but for n_lines, n_deleted and words_deleted, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,22 +23,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, discard, documents, stage_table
+from .common import GAP, discard, documents, let, stage_table
 
 MIN_WORDS = 25
 #: Pieces keep the characters that end them, so that the kept ones make up the text.
-CUT = r"(?<=\n)|(?<=[.!?] )"
+CUT = r"(?<=\n)|(?<=[.!?,;:dy] )"
 
 
-def _lines(text: Column) -> Column:
-    return F.when(text.isNotNull() & (text != ""), F.split(text, CUT)).otherwise(F.array().cast("array<string>"))
+def _lines(text: Column, cut: str) -> Column:
+    return F.when(text.isNotNull() & (text != ""), F.split(text, cut)).otherwise(F.array().cast("array<string>"))
 
 
-def _hashed(docs: DataFrame, text: str) -> DataFrame:
+def _hashed(docs: DataFrame, text: str, cut: str) -> DataFrame:
     """(doc_id, th, n_lines, at, h, w): places, hashes and words of a text's lines that aren't blank; th is its hash."""
-    cut = docs.select("doc_id", F.xxhash64(text).alias("th"), _lines(F.col(text)).alias("lines"))
+    pieces = docs.select("doc_id", F.xxhash64(text).alias("th"), _lines(F.col(text), cut).alias("lines"))
     words = F.transform("lines", lambda x: F.trim(F.regexp_replace(x, GAP, " ")))
-    rows = cut.select("doc_id", "th", F.size("lines").cast("long").alias("n_lines"), words.alias("words"))
+    rows = pieces.select("doc_id", "th", F.size("lines").cast("long").alias("n_lines"), words.alias("words"))
     at = F.filter(F.transform("words", lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
     rows = rows.select("doc_id", "th", "n_lines", at.alias("at"), F.filter("words", lambda x: x != "").alias("words"))
     h = F.transform("words", lambda x: F.xxhash64(x))
@@ -43,40 +46,48 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
     return rows.select("doc_id", "th", "n_lines", "at", h.alias("h"), w.alias("w"))
 
 
-def _needed(k: Column, step: int) -> Column:
-    """How many lines from place k on, or back from it, hold ``MIN_WORDS`` words; null if the text ends before."""
-    w = F.col("w")
-    total, known = F.get(w, k), F.when(F.get(w, k) >= MIN_WORDS, 1)
-    for n in range(1, 4):
-        total = total + F.get(w, k + step * n)
-        known = known.when(total >= MIN_WORDS, n + 1)
-    # no line is without words, so that no window is longer than this
-    near = F.slice(w, k + 1, F.lit(MIN_WORDS)) if step > 0 else F.reverse(F.slice(w, F.greatest(k + 2 - MIN_WORDS, F.lit(1)), F.least(k + 1, F.lit(MIN_WORDS))))
-    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
-    more = lambda a, x: F.when(a["words"] >= MIN_WORDS, a).otherwise(F.struct((a["words"] + x).alias("words"), (a["n"] + 1).alias("n")))
-    return known.otherwise(F.aggregate(near, start, more, lambda a: F.when(a["words"] >= MIN_WORDS, a["n"])))
-
-
 def _windows(hashed: DataFrame) -> DataFrame:
-    """(doc_id, th, n_lines, at, windows): the shortest runs of enough words that start, or end, with each line."""
-    ahead = F.transform("w", lambda _, k: _needed(k, 1))
-    back = F.transform("w", lambda _, k: _needed(k, -1))
-    rows = hashed.withColumns({"ahead": ahead, "back": back})
-    window = lambda k, n: F.struct(k.alias("k"), n.alias("n"), F.xxhash64(F.slice("h", k + 1, n)).alias("g"))
-    starting = F.transform("ahead", lambda n, k: F.when(n.isNotNull(), window(k, n)))
-    # most of those that end with a line also start with one
-    ending = F.transform("back", lambda n, k: F.when(F.get("ahead", k + 1 - n) < n, window(k + 1 - n, n)))
-    there = F.filter(F.concat(starting, ending), lambda x: x.isNotNull())
+    """(doc_id, th, n_lines, at, windows): the shortest runs of enough words that start, or end, with each line.
+
+    ``f`` is a window's fingerprint, the least hash of its lines; ``g`` is the hash of the whole window.
+    """
+    # the line of each word: a window from a line on ends with the line of its last word
+    owner = F.flatten(F.transform("w", lambda n, k: F.array_repeat(k, n)))
+    rows = hashed.withColumn("owner", owner)
+    begin = F.filter(F.transform("owner", lambda k, j: F.when((j == 0) | (F.get("owner", j - 1) != k), j)), lambda j: j.isNotNull())
+    rows = rows.withColumn("begin", begin)
+    rows = rows.withColumn("ahead", F.transform("begin", lambda j, k: F.get("owner", j + MIN_WORDS - 1) - k + 1))
+
+    def window(k: Column, n: Column) -> Column:
+        return let(F.slice("h", k + 1, n), lambda s: F.struct(k.alias("k"), n.alias("n"), F.xxhash64(s).alias("g"), F.array_min(s).alias("f")))
+
+    # between the ends of this line's window and the next line's, windows that end with a line start here
+    last = lambda a, k: F.greatest(a, F.coalesce(F.get("ahead", k + 1), F.size("h") - k))
+    each = F.transform("ahead", lambda a, k: F.transform(F.when(a.isNotNull(), F.sequence(a, last(a, k))), lambda n: window(k, n)))
+    there = F.flatten(F.filter(each, lambda x: x.isNotNull()))
     return rows.select("doc_id", "th", "n_lines", "at", there.alias("windows"))
 
 
-def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
+def _winnowed(windows: DataFrame) -> DataFrame:
+    """(doc_id, th, n_lines, at, prints): fingerprints in order, each once, with the windows (k, n, g) it is the least of."""
+    heads = F.filter(F.transform("windows", lambda x, i: F.when((i == 0) | (F.get("windows", i - 1)["f"] != x["f"]), i)), lambda i: i.isNotNull())
+    rows = windows.withColumn("heads", heads)
+    parts = F.transform("heads", lambda i, j: F.slice("windows", i + 1, F.coalesce(F.get("heads", j + 1), F.size("windows")) - i))
+    slim = lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"), x["g"].alias("g"))
+    prints = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["f"].alias("f"), F.transform(p, slim).alias("around")))
+    return rows.select("doc_id", "th", "n_lines", "at", prints.alias("prints"))
+
+
+def repeated(docs: DataFrame, text: str = "text", cut: str = CUT) -> DataFrame:
     """(doc_id, th, n_lines, cut), stored: the lines of each distinct document, and those to delete (null for none)."""
-    texts = stage_table(_windows(_hashed(docs, text)), "windows")
-    own = texts.select("doc_id", "th", F.explode("windows").alias("x")).select("doc_id", "th", "x.g", "x.k", "x.n")
-    # what is joined with is written first: between two plain tables Spark can split the rows of a very common window
-    often = stage_table(own.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1").select("g"), "often")
-    shared = stage_table(own.join(often, "g", "left_semi"), "shared")
+    texts = stage_table(_winnowed(_windows(_hashed(docs, text, cut))), "prints")
+    own = texts.select("doc_id", "th", F.explode("prints").alias("x")).select("doc_id", "th", "x.f", "x.around")
+    # equal lines in a row make one fingerprint, which counts twice if its own windows repeat
+    twice = F.size(F.array_distinct(F.col("around.g"))) < F.size("around")
+    # what is joined with is written first: between two plain tables Spark can split the rows of a very common fingerprint
+    often = stage_table(own.groupBy("f").agg(F.sum(F.when(twice, 2).otherwise(1)).alias("times")).filter("times > 1").select("f"), "often")
+    met = own.join(often, "f", "left_semi").select("doc_id", "th", F.explode("around").alias("x"))
+    shared = stage_table(met.select("doc_id", "th", "x.k", "x.n", "x.g"), "shared")
     first = stage_table(shared.groupBy("g").agg(F.min(F.struct("doc_id", "th", "k")).alias("f")), "first")
     later = shared.join(first, "g").filter("NOT (doc_id <=> f.doc_id AND th = f.th AND k = f.k)")
     runs = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("k", "n")).alias("runs"))
@@ -85,29 +96,36 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     both = sizes.join(runs, sizes["doc_id"].eqNullSafe(runs["c_id"]) & (sizes["th"] == runs["c_th"]), "left")
     # a line goes with the blank ones behind it
     end = lambda k: F.coalesce(F.get("at", k + 1), F.col("n_lines").cast("int")) - 1
-    cut = F.flatten(F.transform("ks", lambda k: F.sequence(F.get("at", k), end(k))))
-    cuts = stage_table(both.select("doc_id", "th", "n_lines", cut.alias("cut")), "cuts")
+    gone = F.flatten(F.transform("ks", lambda k: F.sequence(F.get("at", k), end(k))))
+    cuts = stage_table(both.select("doc_id", "th", "n_lines", gone.alias("cut")), "cuts")
     discard(texts, often, shared, first)
     return cuts
 
 
-def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with later repeated runs deleted from their text; adds n_lines, n_deleted and words_deleted (long)."""
+def dedup_lines(docs: DataFrame, text: str = "text", cut: str = CUT) -> DataFrame:
+    """The documents with later repeated runs deleted from their text; adds n_lines, n_deleted and words_deleted (long).
+
+    ``cut`` is a pattern without width that matches where lines end.
+    """
     docs = docs.drop("n_lines", "n_deleted", "words_deleted")
-    cuts = repeated(docs, text)
-    keyed = docs.withColumn("__th", F.xxhash64(text))
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("th").alias("__cut_th"), "n_lines", F.col("cut").alias("__cut"))
-    joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["__id"]) & (keyed["__th"] == cuts["__cut_th"])).drop("__th", "__id", "__cut_th")
-    staged = joined.withColumn("__lines", F.when(F.col("__cut").isNotNull(), _lines(F.col(text))))
-    cut, lines = F.col("__cut"), F.col("__lines")
-    gone = F.array_join(F.transform(F.array_sort(cut), lambda k: F.get(lines, k)), "")
-    words = F.size(F.filter(F.split(gone, GAP), lambda x: x != ""))
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut), lambda k: F.get(lines, k)), "")
+    cuts = repeated(docs, text, cut)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("row_th"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("row_th") == F.col("th"))
+    joined = keyed.join(cuts, same).select("row", "n_lines", "cut")
+    whole, gone_at = F.col("row")[text], F.col("cut")
+
+    def made(lines: Column) -> Column:
+        gone = F.array_join(F.transform(F.array_sort(gone_at), lambda k: F.get(lines, k)), "")
+        left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at), lambda k: F.get(lines, k))
+        return F.struct(F.array_join(left, "").alias("left"), F.size(F.filter(F.split(gone, GAP), lambda x: x != "")).alias("words"))
+
+    # the lines are bound once: plans that read one column only must not cut the text again for each of them
+    staged = joined.withColumn("made", F.when(gone_at.isNotNull(), let(_lines(whole, cut), made)))
     return staged.select(
-        *(F.when(cut.isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns),
+        *(F.coalesce("made.left", whole).alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns),
         "n_lines",
-        F.when(cut.isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_deleted"),
-        F.when(cut.isNull(), 0).otherwise(words).cast("long").alias("words_deleted"),
+        F.when(gone_at.isNull(), 0).otherwise(F.size(gone_at)).cast("long").alias("n_deleted"),
+        F.coalesce("made.words", F.lit(0)).cast("long").alias("words_deleted"),
     )
 
 

@@ -238,13 +238,38 @@ def test_line_dedup_finds_every_run_of_lines(spark):
     texts += [[r.choice(pool) for _ in range(r.randint(1, 14))] for _ in range(60)]
     want = _repeated_lines(texts)
     assert want[4] == {1, 2, 3, 4}
-    out = line_dedup.dedup_lines(table(spark, [(k, "\n".join(t) + "\n", None) for k, t in enumerate(texts)])).collect()
+    docs = table(spark, [(k, "\n".join(t) + "\n", None) for k, t in enumerate(texts)])
+    out = line_dedup.dedup_lines(docs, cut=r"(?<=\n)").collect()
     got = {x.doc_id: x for x in out}
     for k, t in enumerate(texts):
         assert got[k].text == "".join(x + "\n" for j, x in enumerate(t) if j not in want[k])
         assert got[k].n_lines == len(t) + 1 and got[k].n_deleted in (len(want[k]), len(want[k]) + 1)
 
 
+def test_line_dedup_finds_passages_inside_sentences(spark):
+    """A passage of 55 words between other words of one sentence, and with one word changed; names that clash; a long text."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("adeginorsty") for _ in range(6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage = some(55).split(" ")
+    changed = [*passage[:40], "other", *passage[41:]]
+    texts = [" ".join([some(7), *passage, some(8)]), " ".join([some(9), *passage, some(5)]), " ".join([some(6), *changed, some(6)])]
+    texts += [some(200_000) + " " + " ".join(passage), "\n".join(["a b c d e f g"] * 9)]
+    docs = table(spark, [(k, t, "s0") for k, t in enumerate(texts)])
+    docs = docs.selectExpr("*", "source AS row", "source AS th", "source AS cut", "1 AS made", "2 AS n_lines")
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(docs).collect()}
+    assert got[0].text == texts[0] and got[0].row == got[0].th == got[0].cut == "s0" and got[0].made == 1
+    runs = {tuple(passage[j : j + 25]) for j in range(31)}
+    for k in (1, 2, 3):
+        left = got[k].text.split()
+        assert 25 <= got[k].words_deleted <= 55 and len(left) + got[k].words_deleted == len(texts[k].split())
+        assert not any(tuple(left[j : j + 25]) in runs for j in range(len(left)))
+    # runs that overlap in one text: of 18 pieces those from the third on lie in a later run
+    assert got[4].text == "a b c d e f g\n" and got[4].n_deleted == 16
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     x = (r.normal(size=(1500, 6)) / 3).astype(np.float32)

@@ -39,7 +39,7 @@ def _good(row):
 def _without_repeats(rows):
     seen, left = set(), {}
     for key in sorted({_id_order(x): x[1] for x in rows if x[1]}.items()):
-        lines = re.split(r"(?<=\n)|(?<=[.!?] )", key[1])
+        lines = re.split(r"(?<=\n)|(?<=[.!?,;:dy] )", key[1])
         at = [k for k, x in enumerate(lines) if _words(x)]
         cut = set()
         for a in range(len(at)):
