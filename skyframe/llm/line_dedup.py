@@ -28,6 +28,7 @@ from .common import GAP, discard, documents, let, stage_table
 MIN_WORDS = 25
 #: Pieces keep the characters that end them, so that the kept ones make up the text.
 CUT = r"(?<=\n)|(?<=[.!?,;:dy] )"
+UNEVEN = r"[\x09-\x0D]|\x20\x20"
 
 
 def _lines(text: Column, cut: str) -> Column:
@@ -37,12 +38,15 @@ def _lines(text: Column, cut: str) -> Column:
 def _hashed(docs: DataFrame, text: str, cut: str) -> DataFrame:
     """(doc_id, th, n_lines, at, h, w): places, hashes and words of a text's lines that aren't blank; th is its hash."""
     pieces = docs.select("doc_id", F.xxhash64(text).alias("th"), _lines(F.col(text), cut).alias("lines"))
-    words = F.transform("lines", lambda x: F.trim(F.regexp_replace(x, GAP, " ")))
-    rows = pieces.select("doc_id", "th", F.size("lines").cast("long").alias("n_lines"), words.alias("words"))
+    bare = F.transform("lines", lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
+    rows = pieces.select("doc_id", "th", F.size("lines").cast("long").alias("n_lines"), bare.alias("bare"))
+    # few lines have anything but single spaces between words
+    words = F.transform("bare", lambda x: F.when(x.rlike(UNEVEN), F.regexp_replace(x, GAP, " ")).otherwise(x))
+    rows = rows.select("doc_id", "th", "n_lines", words.alias("words"))
     at = F.filter(F.transform("words", lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
     rows = rows.select("doc_id", "th", "n_lines", at.alias("at"), F.filter("words", lambda x: x != "").alias("words"))
     h = F.transform("words", lambda x: F.xxhash64(x))
-    w = F.transform("words", lambda x: F.size(F.split(x, " ")))
+    w = F.transform("words", lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
     return rows.select("doc_id", "th", "n_lines", "at", h.alias("h"), w.alias("w"))
 
 
@@ -69,36 +73,37 @@ def _windows(hashed: DataFrame) -> DataFrame:
 
 
 def _winnowed(windows: DataFrame) -> DataFrame:
-    """(doc_id, th, n_lines, at, prints): fingerprints in order, each once, with the windows (k, n, g) it is the least of."""
+    """(doc_id, th, n_lines, at, prints): fingerprints in order, each once, with the windows it is the least of (arrays k, n, g)."""
     heads = F.filter(F.transform("windows", lambda x, i: F.when((i == 0) | (F.get("windows", i - 1)["f"] != x["f"]), i)), lambda i: i.isNotNull())
     rows = windows.withColumn("heads", heads)
     parts = F.transform("heads", lambda i, j: F.slice("windows", i + 1, F.coalesce(F.get("heads", j + 1), F.size("windows")) - i))
-    slim = lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"), x["g"].alias("g"))
-    prints = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["f"].alias("f"), F.transform(p, slim).alias("around")))
+    # arrays side by side take less than half of what an array of structs takes in a shuffle
+    prints = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["f"].alias("f"), p["k"].alias("k"), p["n"].alias("n"), p["g"].alias("g")))
     return rows.select("doc_id", "th", "n_lines", "at", prints.alias("prints"))
 
 
 def repeated(docs: DataFrame, text: str = "text", cut: str = CUT) -> DataFrame:
     """(doc_id, th, n_lines, cut), stored: the lines of each distinct document, and those to delete (null for none)."""
     texts = stage_table(_winnowed(_windows(_hashed(docs, text, cut))), "prints")
-    own = texts.select("doc_id", "th", F.explode("prints").alias("x")).select("doc_id", "th", "x.f", "x.around")
+    sizes = stage_table(texts.select("doc_id", "th", "n_lines", "at").dropDuplicates(["doc_id", "th"]), "sizes")
+    own = texts.select("doc_id", "th", F.explode("prints").alias("x")).select("doc_id", "th", "x.f", "x.k", "x.n", "x.g")
     # equal lines in a row make one fingerprint, which counts twice if its own windows repeat
-    twice = F.size(F.array_distinct(F.col("around.g"))) < F.size("around")
+    twice = F.size(F.array_distinct("g")) < F.size("g")
     # what is joined with is written first: between two plain tables Spark can split the rows of a very common fingerprint
     often = stage_table(own.groupBy("f").agg(F.sum(F.when(twice, 2).otherwise(1)).alias("times")).filter("times > 1").select("f"), "often")
-    met = own.join(often, "f", "left_semi").select("doc_id", "th", F.explode("around").alias("x"))
+    met = own.join(often, "f", "left_semi").select("doc_id", "th", F.explode(F.arrays_zip("k", "n", "g")).alias("x"))
     shared = stage_table(met.select("doc_id", "th", "x.k", "x.n", "x.g"), "shared")
+    discard(texts, often)
     first = stage_table(shared.groupBy("g").agg(F.min(F.struct("doc_id", "th", "k")).alias("f")), "first")
     later = shared.join(first, "g").filter("NOT (doc_id <=> f.doc_id AND th = f.th AND k = f.k)")
     runs = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("k", "n")).alias("runs"))
     runs = runs.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["k"], x["k"] + x["n"] - 1)))).alias("ks"))
-    sizes = texts.select("doc_id", "th", "n_lines", "at").dropDuplicates(["doc_id", "th"])
     both = sizes.join(runs, sizes["doc_id"].eqNullSafe(runs["c_id"]) & (sizes["th"] == runs["c_th"]), "left")
     # a line goes with the blank ones behind it
     end = lambda k: F.coalesce(F.get("at", k + 1), F.col("n_lines").cast("int")) - 1
     gone = F.flatten(F.transform("ks", lambda k: F.sequence(F.get("at", k), end(k))))
     cuts = stage_table(both.select("doc_id", "th", "n_lines", gone.alias("cut")), "cuts")
-    discard(texts, often, shared, first)
+    discard(sizes, shared, first)
     return cuts
 
 
