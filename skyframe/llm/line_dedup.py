@@ -94,7 +94,8 @@ def repeated(docs: DataFrame, text: str = "text", cut: str = CUT) -> DataFrame:
     met = own.join(often, "f", "left_semi").select("doc_id", "th", F.explode(F.arrays_zip("k", "n", "g")).alias("x"))
     shared = stage_table(met.select("doc_id", "th", "x.k", "x.n", "x.g"), "shared")
     discard(texts, often)
-    first = stage_table(shared.groupBy("g").agg(F.min(F.struct("doc_id", "th", "k")).alias("f")), "first")
+    firsts = shared.groupBy("g").agg(F.min(F.struct("doc_id", "th", "k")).alias("f"), F.count("*").alias("times"))
+    first = stage_table(firsts.filter("times > 1").select("g", "f"), "first")
     later = shared.join(first, "g").filter("NOT (doc_id <=> f.doc_id AND th = f.th AND k = f.k)")
     runs = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("k", "n")).alias("runs"))
     runs = runs.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["k"], x["k"] + x["n"] - 1)))).alias("ks"))
