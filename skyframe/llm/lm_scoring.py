@@ -21,7 +21,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,19 +32,22 @@ ORDER = 5
 #: No valid UTF-8 text holds this byte: it stands before the first and after the last symbol.
 EDGE = 255
 SYMBOLS = 256
-HOT_GRAMS, HOT_WORDS = 1 << 23, 1 << 20
+HOT_GRAMS, HOT_WORDS = 1 << 22, 1 << 20
 #: Bytes of text handled at once inside a task.
 BLOCK = 1 << 21
+#: Counts of grams (16 bytes each) and words that a task holds before it gives them out; Spark adds them up.
+HELD_GRAMS, HELD_WORDS = 1 << 20, 1 << 17
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first index, words of each text) in blocks of about BLOCK bytes."""
+def blocks(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(first index, words of each text) in blocks of about BLOCK bytes; only the texts of one block are decoded at once."""
     first, size, held = 0, 0, []
-    for k, t in enumerate(texts):
+    for k, value in enumerate(texts):
+        t = value.as_py()
         held.append(words_of(t))
         size += len(t or "") + ORDER + 1
         if size >= BLOCK:
@@ -70,27 +72,49 @@ def grams_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], np.concatenate([[0], np.cumsum(sizes[:-1] - ORDER)])
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    every = every[order]
+    starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    return every[starts], np.add.reduceat(np.concatenate(counts)[order], starts)
+
+
 def count(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, gram, n): counts of words, with a null token's place taken by grams; the end of a text is the word ''."""
 
+    def gram_rows(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(grams), pa.string()), pa.array(grams), pa.array(n)], ["token", "gram", "n"])
+
+    def token_rows(tokens: Counter[bytes]) -> pa.RecordBatch:
+        texts = pa.array([t.decode() for t in tokens], pa.string())
+        return pa.RecordBatch.from_arrays([texts, pa.nulls(len(texts), pa.int64()), pa.array(list(tokens.values()), pa.int64())], ["token", "gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: Counter[bytes] = Counter()
+        keys, counts, held = [], [], 0
         for b in batches:
-            tokens: Counter[bytes] = Counter()
-            keys, counts = [], []
-            for _, words in blocks(b.column(0).to_pylist()):
+            for _, words in blocks(b.column(0)):
                 for w in words:
                     tokens.update(w)
                 tokens[b""] += len(words)
                 k, c = np.unique(grams_of(words)[0], return_counts=True)
                 keys.append(k), counts.append(c)
-            if not keys:
-                continue
-            grams, where = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(where, np.concatenate(counts), len(grams)).astype(np.int64)
-            none = pa.nulls(len(grams), pa.string())
-            yield pa.RecordBatch.from_arrays([none, pa.array(grams), pa.array(n)], ["token", "gram", "n"])
-            texts = pa.array([t.decode() for t in tokens], pa.string())
-            yield pa.RecordBatch.from_arrays([texts, pa.nulls(len(texts), pa.int64()), pa.array(list(tokens.values()), pa.int64())], ["token", "gram", "n"])
+                held += len(k)
+                if held >= 2 * HELD_GRAMS:
+                    grams, n = _summed(keys, counts)
+                    keys, counts, held = [grams], [n], len(grams)
+                if held >= HELD_GRAMS and len(keys) == 1:
+                    yield gram_rows(keys[0], counts[0])
+                    keys, counts, held = [], [], 0
+                if len(tokens) >= HELD_WORDS:
+                    yield token_rows(tokens)
+                    tokens = Counter()
+        if keys:
+            yield gram_rows(*_summed(keys, counts))
+        if tokens:
+            yield token_rows(tokens)
 
     counted = docs.select(text).mapInArrow(run, "token string, gram long, n long")
     return counted.groupBy("token", "gram").agg(F.sum("n").alias("n"))
@@ -151,19 +175,24 @@ class Trie:
 
 def _first_pass(docs: DataFrame, tokens: dict[bytes, float], grams: np.ndarray, codes: np.ndarray, text: str, key: str) -> DataFrame:
     """One row per document with what the broadcast tables give, and rows for what they lack."""
+    # sorted arrays take 16 bytes a gram in each worker, and no hash table beside them; the last key is above all grams
+    order = np.argsort(grams)
+    grams, codes = np.append(grams[order], np.iinfo(np.int64).max), np.append(codes[order], 0.0)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, grams, codes))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_known, keys, values = shared.value
-        index, values = pd.Index(keys), np.append(values, 0.0)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for first, words in blocks(b.column(1).to_pylist()):
+            for first, words in blocks(b.column(1)):
                 found, starts = grams_of(words)
-                place = index.get_indexer(found)
-                scores = np.add.reduceat(values[place], starts)  # a miss is at -1, the zero
-                miss = np.flatnonzero(place < 0)
+                by_gram = np.argsort(found)  # in order, so that the look-ups walk through memory
+                place = np.empty(len(found), np.int64)
+                place[by_gram] = np.searchsorted(keys, found[by_gram])
+                place[keys[place] != found] = len(keys) - 1
+                scores = np.add.reduceat(values[place], starts)  # a miss is at the last place, the zero
+                miss = np.flatnonzero(place == len(keys) - 1)
                 doc = np.searchsorted(starts, miss, side="right") - 1
                 order = np.lexsort((found[miss], doc))
                 doc, gram = doc[order], found[miss][order]
@@ -216,9 +245,9 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     symbols = codes.agg(F.sum("n")).first()[0] or 0
 
     hot_words = tokens.filter(F.col("c") * HOT_WORDS >= size["n"]).toPandas()
-    hot_grams = codes.filter(F.col("n") * HOT_GRAMS >= symbols).select("gram", "code").toPandas()
+    hot_grams = codes.filter(F.col("n") * HOT_GRAMS >= symbols).select("gram", "code").toArrow()
     word_codes = {t.encode(): float(c) for t, c in zip(hot_words["token"], np.log10((hot_words["c"].to_numpy(float) + 1) / cells))}
-    rows = stage_table(_first_pass(docs, word_codes, hot_grams["gram"].to_numpy(np.int64), hot_grams["code"].to_numpy(float), text, key), "rows")
+    rows = stage_table(_first_pass(docs, word_codes, hot_grams["gram"].to_numpy(), hot_grams["code"].to_numpy(), text, key), "rows")
 
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     whole = rows.filter("known IS NOT NULL").select("row", "key", F.col("n").alias("n_tokens"), "known", "base", "score")
