@@ -32,9 +32,9 @@ ORDER = 5
 #: No valid UTF-8 text holds this byte: it stands before the first and after the last symbol.
 EDGE = 255
 SYMBOLS = 256
-HOT_GRAMS, HOT_WORDS = 1 << 22, 1 << 20
+HOT_GRAMS, HOT_WORDS = 1 << 23, 1 << 20
 #: Bytes of text handled at once inside a task.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Counts of grams (16 bytes each) and words that a task holds before it gives them out; Spark adds them up.
 HELD_GRAMS, HELD_WORDS = 1 << 20, 1 << 17
 
