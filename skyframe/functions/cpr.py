@@ -24,11 +24,21 @@ def _mod(x: Column, y) -> Column:
     return x - y * F.floor(x / y)
 
 
-def encode(lat: Column, lon: Column, odd: int) -> tuple[Column, Column]:
-    """The two 17-bit fields of a position in an even (0) or odd (1) report."""
+def _rounded(lat: Column, odd: int) -> tuple[Column, Column]:
+    """The field of a latitude in an even (0) or odd (1) report, and the latitude that it stands for."""
     dlat = 360.0 / (4 * ZONES - odd)
     y = F.floor(SCALE * _mod(lat, dlat) / dlat + 0.5)
-    rlat = dlat * (y / SCALE + F.floor(lat / dlat))
+    return y, dlat * (y / SCALE + F.floor(lat / dlat))
+
+
+def straddles(lat: Column) -> Column:
+    """Whether the even and the odd report of a latitude fall into different zones, so that the pair gives no place."""
+    return zones_at(_rounded(lat, 0)[1]) != zones_at(_rounded(lat, 1)[1])
+
+
+def encode(lat: Column, lon: Column, odd: int) -> tuple[Column, Column]:
+    """The two 17-bit fields of a position in an even (0) or odd (1) report."""
+    y, rlat = _rounded(lat, odd)
     dlon = 360.0 / F.greatest(zones_at(rlat) - odd, F.lit(1))
     x = F.floor(SCALE * _mod(lon, dlon) / dlon + 0.5)
     return F.pmod(y, F.lit(131072)).cast("long"), F.pmod(x, F.lit(131072)).cast("long")
