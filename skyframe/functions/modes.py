@@ -145,8 +145,40 @@ def _from_gray(bits_: int) -> list[int]:
     return out
 
 
-def gillham(code: Column) -> Column:
-    """Altitude of a Gray-coded 13-bit field (its bits in the order C1 A1 C2 A2 C4 A4 M B1 Q B2 D2 B4 D4)."""
+#: Hundreds of feet within five hundred for each code C1 C2 C4; 0 for those that mean nothing.
+_HUNDREDS = (0, 1, 3, 2, 5, 0, 4, 0)
+#: Where the bits of the two Gray codes of a high altitude stand in a 13-bit field, first bit first: D2 D4 A1 A2 A4 B1 B2 B4, C1 C2 C4.
+_FIVES_AT, _HUNDREDS_AT = (2, 0, 11, 9, 7, 5, 3, 1), (12, 10, 8)
+
+
+def _gillham_high(code: Column) -> Column:
+    """Altitude from 30,800 to 126,700 feet, as the standard codes it: counts of five hundred, and hundreds that run up and down in turn."""
+    picked = lambda places: reduce(lambda x, k: x * 2 + F.shiftright(code, k).bitwiseAND(F.lit(1)), places, F.lit(0))
+    fives = F.get(_table(_from_gray(8)), picked(_FIVES_AT).cast("int"))
+    hundreds = F.get(_table(list(_HUNDREDS)), picked(_HUNDREDS_AT).cast("int"))
+    return F.when(hundreds > 0, (fives * 500 + F.when(fives % 2 == 1, 6 - hundreds).otherwise(hundreds) * 100 - 1300).cast("int"))
+
+
+def hundreds_13(feet: Column) -> Column:
+    """The 13-bit field of an altitude from 30,800 to 126,700 feet in hundreds, rounded down: what lies too high for steps of 25 feet."""
+    n = F.floor(feet / 100) + 12
+    fives, at = F.floor(n / 5).cast("long"), F.pmod(n, F.lit(5)) + 1
+    hundreds = F.when(fives % 2 == 1, 6 - at).otherwise(at)
+    gray, code = fives.bitwiseXOR(F.shiftright(fives, 1)), F.get(_table([_HUNDREDS.index(k) for k in range(1, 6)]), (hundreds - 1).cast("int")).cast("long")
+    moved = lambda value, places: [F.shiftleft(F.shiftright(value, len(places) - 1 - k).bitwiseAND(F.lit(1)), to) for k, to in enumerate(places)]
+    return reduce(lambda a, b: a.bitwiseOR(b), moved(gray, _FIVES_AT) + moved(code, _HUNDREDS_AT))
+
+
+def gillham(code: Column, wide: Column | None = None) -> Column:
+    """Altitude of a Gray-coded 13-bit field (its bits in the order C1 A1 C2 A2 C4 A4 M B1 Q B2 D2 B4 D4).
+
+    Codes without D bits are read as the reference reads them, also those of 12 bits, which have no M. It leaves out D bits, which
+    are set from 30,800 feet on; there ``wide`` is the code with its M, if ``code`` has none.
+    """
+    return F.when(code.bitwiseAND(F.lit(5)) != 0, _gillham_high(code if wide is None else wide)).otherwise(_gillham_low(code))
+
+
+def _gillham_low(code: Column) -> Column:
     b = lambda k: F.shiftright(code, k).bitwiseAND(F.lit(1))
     c = F.get(_table(_from_gray(3)), (b(8) * 4 + b(10) * 2 + b(12)).cast("int"))
     ab = F.get(_table(_from_gray(6)), (b(7) * 32 + b(9) * 16 + b(11) * 8 + b(1) * 4 + b(3) * 2 + b(5)).cast("int"))
@@ -157,7 +189,8 @@ def gillham(code: Column) -> Column:
 def altitude_12(code: Column) -> Column:
     n = F.shiftleft(F.shiftright(code, 5), 4).bitwiseOR(code.bitwiseAND(F.lit(15)))
     q = F.shiftright(code, 4).bitwiseAND(F.lit(1))
-    return F.when(code == 0, None).when(q == 1, (n * 25 - 1000).cast("int")).otherwise(gillham(code))
+    wide = F.shiftleft(F.shiftright(code, 6), 7).bitwiseOR(code.bitwiseAND(F.lit(63)))
+    return F.when(code == 0, None).when(q == 1, (n * 25 - 1000).cast("int")).otherwise(gillham(code, wide))
 
 
 def altitude_13(code: Column) -> Column:
