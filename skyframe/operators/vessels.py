@@ -32,7 +32,9 @@ def parse_ais(documents: DataFrame, column: str = "value") -> DataFrame:
     inner = F.coalesce(*(F.when(F.col("d.MessageType") == t, F.col(f"d.Message.{t}")) for t in kinds))
     meta = F.coalesce(F.col("meta1"), F.col("meta2"))
     both = spark_case.withColumns({"meta1": F.from_json(F.get_json_object(column, "$.MetaData"), _fields(_META)), "meta2": F.from_json(F.get_json_object(column, "$.Metadata"), _fields(_META))})
-    return both.withColumns({"inner": inner, "meta": meta}).drop("meta1", "meta2")
+    rows = both.withColumns({"inner": inner, "meta": meta}).drop("meta1", "meta2")
+    # filters on what is parsed can't move below the parsing and repeat it
+    return rows.withColumn("__p", F.explode(F.array(F.struct("d", "inner", "meta")))).select(*documents.columns, "__p.*")
 
 
 def _fields(struct: str) -> str:
@@ -72,6 +74,16 @@ def parse_static(parsed: DataFrame, ship_types: DataFrame, *keep: str) -> DataFr
     return labelled.withColumn("flag", F.lit(None).cast("string"))
 
 
+def parse_updates(parsed: DataFrame, ship_types: DataFrame, *keep: str) -> DataFrame:
+    """Vessel updates from static messages and from names seen on positions, in one pass."""
+    static = F.col("__kind") == "static"
+    name = _clean(F.when(static, F.col("inner.Name")).otherwise(F.col("meta.ShipName")))
+    code = F.when(static, F.coalesce("inner.Type", "inner.ShipType"))
+    rows = parsed.withColumn("__kind", _kind()).filter("__kind IS NOT NULL").select(*keep, _mmsi().alias("mmsi"), name.alias("name"), code.alias("code"), static.alias("static"))
+    labelled = with_ship_type(rows.filter("static OR name IS NOT NULL").drop("static"), ship_types)
+    return labelled.withColumnRenamed("label", "vessel_type").drop("code").withColumn("flag", F.lit(None).cast("string"))
+
+
 def with_ship_type(rows: DataFrame, ship_types: DataFrame, code: str = "code") -> DataFrame:
     """Adds ``label`` by code: the ranges are spread to their codes (a hundred), so the join is an equality."""
     spread = ship_types.select(F.explode(F.sequence("first", "last")).alias("__code"), "label")

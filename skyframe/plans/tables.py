@@ -68,9 +68,7 @@ VESSELS = (f"WITH {VPOS}, {SHIPS_CTE}, u AS (SELECT mmsi, name, NULL AS vessel_t
 @query(VESSELS)
 def v4_vessels_upserted(spark: SparkSession, d: str) -> DataFrame:
     docs = V.parse_ais(_documents(spark, d))
-    names = V.backfill_names(V.parse_positions(docs, "timestamp", F.col("event_id").alias("seq")))
-    statics = V.parse_static(docs, R.ship_types(spark), "timestamp", F.col("event_id").alias("seq"))
-    updates = names.unionByName(statics)
+    updates = V.parse_updates(docs, R.ship_types(spark), "timestamp", F.col("event_id").alias("seq"))
     half = spark.read.parquet(f"{d}/events.parquet").agg(F.max("event_id")).first()[0] // 2
     table = A.upsert_vessels(updates.filter(F.col("seq") < half))
     return A.upsert_vessels(updates.filter(F.col("seq") >= half), table).drop("flag")
