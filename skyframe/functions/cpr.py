@@ -39,8 +39,9 @@ def straddles(lat: Column) -> Column:
 def encode(lat: Column, lon: Column, odd: int) -> tuple[Column, Column]:
     """The two 17-bit fields of a position in an even (0) or odd (1) report."""
     y, rlat = _rounded(lat, odd)
-    dlon = 360.0 / F.greatest(zones_at(rlat) - odd, F.lit(1))
-    x = F.floor(SCALE * _mod(lon, dlon) / dlon + 0.5)
+    # as a lambda the number of zones is computed once a row
+    dlon = F.array(360.0 / F.greatest(zones_at(rlat) - odd, F.lit(1)))
+    x = F.get(F.transform(dlon, lambda d: F.floor(SCALE * _mod(lon, d) / d + 0.5)), F.lit(0))
     return F.pmod(y, F.lit(131072)).cast("long"), F.pmod(x, F.lit(131072)).cast("long")
 
 

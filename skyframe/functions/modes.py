@@ -42,10 +42,10 @@ def _remainders(n: int) -> list[int]:
     return out
 
 
-def _of_byte() -> list[int]:
-    """What each value of a byte leaves when 24 bits follow it, from the polynomial."""
-    left = _remainders(8)
-    return [reduce(lambda x, bit: x ^ (left[bit] if byte >> bit & 1 else 0), range(8), 0) for byte in range(256)]
+def _of_digits(n: int) -> list[list[int]]:
+    """What each value of each of n data digits leaves, last digit first, from the polynomial."""
+    left = _remainders(4 * n)
+    return [[reduce(lambda x, bit: x ^ (left[4 * k + bit] if digit >> bit & 1 else 0), range(4), 0) for digit in range(16)] for k in range(n)]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -53,31 +53,27 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
 
 
-def _divide(value: Column, n: int, remainder: Column) -> Column:
-    """The remainder after the n low bytes of a value, first byte first, one look-up in a table of 256 for each."""
-    table = _table(_of_byte())
-
-    def step(r: Column, shift: Column) -> Column:
-        byte = F.shiftright(r, 16).bitwiseXOR(F.call_function("shiftright", value, shift)).bitwiseAND(F.lit(255))
-        return F.shiftleft(r.bitwiseAND(F.lit(0xFFFF)), 8).bitwiseXOR(F.get(table, byte.cast("int")).cast("long"))
-
-    return F.aggregate(_table([8 * k for k in reversed(range(n))]), remainder, step)
+def _remainder(high: Column, low: Column) -> Column:
+    """The remainder of 22 data digits, the last 10 in ``low``: division is linear, so each digit has its share, one look-up in a table of 16.
 
+    The last digit's is a lambda: its projection then isn't generated as one method, too large to be compiled, but as small ones.
+    """
+    digit = lambda value, k: F.shiftright(value, 4 * k).bitwiseAND(F.lit(15)).cast("int")
+    at = [digit(low, k) for k in range(10)] + [digit(high, k) for k in range(12)]
+    last, *others = zip(map(_table, _of_digits(22)), at)
+    shares = [_let(last[1], lambda d: F.get(last[0], d)), *(F.get(t, d) for t, d in others)]
+    return reduce(lambda a, b: a.bitwiseXOR(b), shares).cast("long")
 
-def data_crc(hex_: Column, long_frame: bool) -> Column:
-    """Remainder of the data part (all but the last 6 digits)."""
-    none = F.lit(0).cast("long")
-    if not long_frame:
-        return _let(number(F.substring(hex_, 1, 8)), lambda a: _divide(a, 4, none))
-    first = _let(number(F.substring(hex_, 1, 12)), lambda a: _divide(a, 6, none))
-    return _let(F.struct(first.alias("r"), number(F.substring(hex_, 13, 10)).alias("b")), lambda x: _divide(x["b"], 5, x["r"]))
 
+def with_data_crc(rows: DataFrame, hex_: str, name: str, parity_digits: int = 0) -> DataFrame:
+    """Adds the remainder of the data part, 22 or 8 digits without those of the parity behind; null for other lengths.
 
-def crc24(hex_: Column) -> Column:
-    """Remainder of a whole frame: 0 if its parity is right, the address for formats that overlay it."""
-    long_ = data_crc(hex_, True).bitwiseXOR(number(F.substring(hex_, 23, 6)))
-    short = data_crc(hex_, False).bitwiseXOR(number(F.substring(hex_, 9, 6)))
-    return F.when(F.length(hex_) == 28, long_).when(F.length(hex_) == 14, short)
+    A short frame is a long one with zeros before it. The numbers are columns of their own, so that each is read once a row.
+    """
+    size = F.length(hex_) - parity_digits
+    high = F.when(size == 22, number(F.substring(hex_, 1, 12))).when(size == 8, F.lit(0).cast("long"))
+    low = number(F.when(size == 22, F.substring(hex_, 13, 10)).otherwise(F.substring(hex_, 1, 8)))
+    return rows.withColumns({"__high": high, "__low": low}).withColumn(name, _remainder(F.col("__high"), F.col("__low"))).drop("__high", "__low")
 
 
 def downlink_format(hex_: Column) -> Column:
@@ -106,7 +102,10 @@ def flips(spark: SparkSession) -> DataFrame:
 
 def repair_frames(frames: DataFrame) -> DataFrame:
     """Frames of formats 17 and 18 with one or two wrong bits set right; adds ``crc_ok`` and ``corrected``."""
-    rows = frames.withColumns({"df": downlink_format(F.col("hex")), "residual": crc24(F.col("hex"))})
+    # the remainder of a whole frame: 0 if its parity is right, the address for formats that overlay it
+    rows = with_data_crc(frames.withColumn("df", downlink_format(F.col("hex"))), "hex", "__data", 6)
+    parity = number(F.substring("hex", F.length("hex") - 5, F.lit(6)))
+    rows = rows.withColumn("residual", F.col("__data").bitwiseXOR(parity)).drop("__data")
     wrong = F.when(F.col("df").isin(17, 18) & (F.col("residual") != 0) & (F.length("hex") == 28), F.col("residual"))
     joined = rows.withColumn("__s", wrong).join(F.broadcast(flips(frames.sparkSession)), F.col("__s") == F.col("syndrome"), "left")
     part = lambda at, n, flip: F.lpad(F.hex(number(F.substring("hex", at, n)).bitwiseXOR(F.col(flip))), n, "0")
