@@ -270,6 +270,26 @@ def test_line_dedup_finds_passages_inside_sentences(spark):
     assert got[4].text == "a b c d e f g\n" and got[4].n_deleted == 16
 
 
+def test_line_dedup_fingerprints_are_no_common_short_lines(spark):
+    """Documents that share short pieces only have no fingerprint in common, and white space doesn't change lines."""
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeginorst") for _ in range(6))
+    long = lambda: " ".join(word() for _ in range(6)) + ". "
+    texts = ["".join(long() if j % 4 == 3 else r.choice(["and ", "a, ", "we stay. "]) for j in range(60)) for _ in range(30)]
+    hashed = line_dedup._hashed(table(spark, [(k, t, None) for k, t in enumerate(texts)]), "text", line_dedup.CUT)
+    prints = line_dedup._winnowed(line_dedup._windows(hashed))
+    assert prints.filter("f IS NOT NULL").count() > 30
+    assert prints.groupBy("f").count().filter("f IS NOT NULL AND count > 1").count() == 0
+    one = ["One line here and\nanother, by me. End", "x and y z", "a\n\nb. c", "end d \n", ""]
+    odd = ["\tOne  line here and\n another,  by me.  End", " x and \ty\x0b z", "a \n\r\nb.  c", "  end d \n", ""]
+    at = lambda t: [(x.n_lines, x.at, x.h) for x in line_dedup._hashed(table(spark, [(k, y, None) for k, y in enumerate(t)]), "text", line_dedup.CUT).orderBy("doc_id").collect()]
+    even, uneven = at(one), at(odd)
+    assert even[0] == uneven[0] and even[2] == uneven[2] and even[3] == uneven[3] and even[4] == uneven[4]
+    assert even[1][2] != uneven[1][2]  # after y stands no space there, so it is no place to cut
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     x = (r.normal(size=(1500, 6)) / 3).astype(np.float32)
